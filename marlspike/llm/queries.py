@@ -5,15 +5,20 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact
+from . import decontaminate, exact
 from .common import table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.duplicate_owners(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op7_exact_dedup": op7_exact_dedup,
     "pipeline": corpus_pipeline.run,
 }
