@@ -1,31 +1,56 @@
 """The corpus pipeline: five stages over ``documents``, each reading all that its predecessor kept.
 
 Every stage takes (spark, docs, sf_dir), keeps or drops whole documents by its operator's decision and returns
-the columns of documents; the last one returns the token ids.
+the columns of documents; the last one returns the token ids of what is left.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlspike.llm import exact
+from marlspike.llm import bpe, decontaminate, exact, langid, simhash
 from marlspike.llm.common import table, written
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: documents that look like none of the corpus's languages go."""
+    return langid.drop_rejected(docs)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: one document for each distinct text."""
     return exact.drop_exact_copies(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: one document of each group of near copies."""
+    return simhash.drop_near_copies(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: documents that contain a benchmark item go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: token ids of each document, decoded again as a check."""
+    return bpe.encoded(docs)
+
+
 STAGES = [
+    ("language ID", language_id),
     ("exact dedup", exact_dedup),
+    ("SimHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("BPE encoding", encoding),
 ]
 
-#: The SimHash, hyperdimensional and byte-pair stages can't be said in SQL; tests hold run() against brute force.
+#: Hyperdimensional cosines, SimHash groups and merges can't be said in SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each one's result is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

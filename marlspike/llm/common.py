@@ -46,7 +46,7 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder; ``release`` or the end of the process removes it."""
+    """A fresh path under the shared folder; the end of the process removes it."""
     path = f"{shared_dir(spark)}/marlspike/{name}-{uuid.uuid4().hex[:12]}"
     if not _LIVE:
         atexit.register(release)
@@ -54,9 +54,9 @@ def work_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def release(keep: int = 0) -> None:
-    """Remove the work tables registered so far, all but the last ``keep``."""
-    gone, _LIVE[:] = _LIVE[: len(_LIVE) - keep], _LIVE[len(_LIVE) - keep :]
+def release() -> None:
+    """Remove the work tables made so far."""
+    gone, _LIVE[:] = _LIVE[:], []
     for uri in gone:
         try:
             files, path = filesystem(uri)
