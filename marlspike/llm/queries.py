@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact, langid, simhash
+from . import bpe, decontaminate, exact, langid, simhash, urlfilter, warc
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.scored(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.duplicate_owners(table(spark, sf_dir, "documents"))
 
@@ -29,16 +33,23 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op4_bpe": op4_bpe,
+    "op6_url_filter": op6_url_filter,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_simhash": op8_simhash,
     "op9_language_id": op9_language_id,
+    "op10_warc": op10_warc,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
+    "op6_url_filter": urlfilter.oracle(),
     "op7_exact_dedup": """
         SELECT doc_id, owner_id
         FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS owner_id FROM documents WHERE text IS NOT NULL)
