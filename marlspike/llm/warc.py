@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import posixpath
 import re
 import struct
@@ -141,11 +142,16 @@ def archived(pages: DataFrame) -> DataFrame:
     return write_warc(pages, work_path(pages.sparkSession, "warc"))
 
 
+def fields_of(head: bytes) -> dict[str, str]:
+    """A record's header, from its first line to the empty one."""
+    return dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:-2])
+
+
 def parse(block: bytes) -> tuple[dict[str, str], bytes]:
-    """Header and block of a record."""
-    head, _, rest = block.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    return fields, rest[: int(fields["Content-Length"])]
+    """Header and block of one record."""
+    end = block.index(b"\r\n\r\n") + 4
+    fields = fields_of(block[:end])
+    return fields, block[end : end + int(fields["Content-Length"])]
 
 
 def open_dictionary(data: bytes) -> tuple[zstandard.ZstdDecompressor, int]:
@@ -159,11 +165,14 @@ def open_dictionary(data: bytes) -> tuple[zstandard.ZstdDecompressor, int]:
 def unpack(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """All records of a file."""
     reader, at = open_dictionary(data)
-    while at < len(data):
-        machine = reader.decompressobj()
-        block = machine.decompress(data[at:])
-        at = len(data) - len(machine.unused_data)
-        yield parse(block)
+    stream = io.BufferedReader(reader.stream_reader(io.BytesIO(memoryview(data)[at:]), read_across_frames=True), 1 << 20)
+    while head := stream.readline():
+        while not head.endswith(b"\r\n\r\n"):
+            head += stream.readline()
+        fields = fields_of(head)
+        block = stream.read(int(fields["Content-Length"]))
+        stream.read(4)
+        yield fields, block
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
