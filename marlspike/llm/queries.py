@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact, langid, simhash, template, urlfilter, warc
+from . import bpe, decontaminate, exact, feistel, langid, simhash, template, urlfilter, warc
 from .common import table
 
 
@@ -13,6 +13,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feistel.ordered(table(spark, sf_dir, "documents"))
+
+
 def op3_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template.extracted(table(spark, sf_dir, "pages"))
 
@@ -43,6 +47,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_training_order": op2_training_order,
     "op3_html_template": op3_html_template,
     "op4_bpe": op4_bpe,
     "op6_url_filter": op6_url_filter,
