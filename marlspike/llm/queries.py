@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact, feistel, langid, simhash, template, urlfilter, warc
+from . import bpe, decontaminate, exact, feistel, langid, passages, simhash, template, urlfilter, warc
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"))
 
 
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.scored(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op2_training_order": op2_training_order,
     "op3_html_template": op3_html_template,
     "op4_bpe": op4_bpe,
+    "op5_repeated_passages": op5_repeated_passages,
     "op6_url_filter": op6_url_filter,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_simhash": op8_simhash,
@@ -59,6 +64,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_repeated_passages": passages.oracle(),
     "op6_url_filter": urlfilter.oracle(),
     "op7_exact_dedup": """
         SELECT doc_id, owner_id
