@@ -29,6 +29,8 @@ from .common import written
 
 FEWEST = 5
 SHARE = 0.02
+#: Up to so many hashes of eight bytes are broadcast; beyond them the pages are shuffled by host.
+BROADCAST_HASHES = 4_000_000
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|</([A-Za-z][^\s/>]*+)[^>]*+(?:>|\Z)|<([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -194,7 +196,9 @@ def extracted(pages: DataFrame, fewest: int = FEWEST, share: float = SHARE) -> D
     sizes = kinds.groupBy("host").agg(F.count("*").alias("pages"))
     counts = kinds.select("host", F.explode(F.array_distinct("hashes")).alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= fewest)
     site = counts.join(sizes, "host").where(F.col("n") >= F.col("pages") * F.lit(share)).groupBy("host").agg(F.collect_set("hash").alias("recurring"))
-    joined = read.drop("root").join(site, "host", "left").select("page_id", "url", "html", "hashes", "starts", "ends", "recurring")
+    site = written(site, "site")
+    total = site.agg(F.coalesce(F.sum(F.size("recurring")), F.lit(0))).first()[0]
+    joined = read.drop("root").join(F.broadcast(site) if total <= BROADCAST_HASHES else site, "host", "left").select("page_id", "url", "html", "hashes", "starts", "ends", "recurring")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
