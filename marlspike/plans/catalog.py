@@ -1,4 +1,281 @@
 """Every query of the retrieval engine by name, with the SQL that says the same."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..functions.vectors import cosine
+from ..operators import chunker, search, sync
+
+VECTOR, TEXT = 7, "the and"
+SCOPE = ["/corpus/en", "/corpus/de"]
+QUERIES, ORACLES = {}, {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with vectors as chunks: a file for each language and source."""
+    joined = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "embeddings"), F.col("doc_id") == F.col("vec_id"))
+    number = F.row_number().over(Window.partitionBy("lang", "source").orderBy("doc_id")) - 1
+    day = F.format_string("2024-01-%02dT00:00:00.000Z", (F.col("doc_id") % 28 + 1).cast("int"))
+    path = F.concat(F.lit("/corpus/"), "lang", F.lit("/"), "source", F.lit(".txt"))
+    return joined.select(path.alias("filePath"), number.cast("int").alias("chunkIndex"), "text", F.col("embedding").alias("vector"), F.sha2("text", 256).alias("contentHash"), day.alias("timestamp"))
+
+
+CHUNKS = """chunks AS (SELECT '/corpus/' || lang || '/' || source || '.txt' AS filePath,
+    (row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) - 1)::INT AS chunkIndex, text, embedding AS vector, sha256(text) AS contentHash,
+    '2024-01-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') || 'T00:00:00.000Z' AS timestamp
+    FROM documents JOIN embeddings ON doc_id = vec_id)"""
+
+
+def vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    return table(spark, sf_dir, "embeddings").where(f"vec_id = {VECTOR}").first()["embedding"]
+
+
+def _in_sql(scopes: list[str]) -> str:
+    return " OR ".join(f"filePath = '{s}' OR starts_with(filePath, '{s}/')" for s in scopes)
+
+
+def search_sql(text: str = "", limit: int = 10, scope: list[str] | None = None, max_distance: float | None = None, grouping: str | None = None, weight: float = search.WEIGHT, max_files: int | None = None, out: str = "filePath, chunkIndex, round(score, 6) + 0.0 AS score") -> str:
+    """The search in DuckDB's SQL."""
+    order = "score, filePath, chunkIndex"
+    ctes = [CHUNKS, f"q AS (SELECT embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id = {VECTOR})"]
+    ctes.append("measured AS (SELECT filePath, chunkIndex, text, round(1 - list_inner_product(vector::DOUBLE[], qv), 9) + 0.0 AS score FROM chunks, q)")
+    where = " AND ".join(["true", *([f"({_in_sql(scope)})"] if scope else []), *([f"score < {max_distance}"] if max_distance is not None else [])])
+    ctes.append(f"near AS (SELECT * FROM measured WHERE {where} ORDER BY {order} LIMIT {2 * limit})")
+    last = "near"
+    if grouping:
+        ctes.append(f"gaps AS (SELECT *, score - lag(score) OVER (ORDER BY {order}) AS gap FROM near)")
+        ctes.append("edges AS (SELECT *, coalesce((gap > avg(gap) OVER () + 1.5 * stddev_pop(gap) OVER ())::INT, 0) AS edge FROM gaps)")
+        ctes.append(f"runs AS (SELECT *, sum(edge) OVER (ORDER BY {order}) AS grp FROM edges)")
+        ctes.append(f"cut AS (SELECT filePath, chunkIndex, text, score FROM runs WHERE grp < {1 if grouping == 'similar' else 2})")
+        last = "cut"
+    if text and weight > 0:
+        ctes += bm25_sql(text, last)
+        ctes.append(f"hits AS (SELECT * FROM bm ORDER BY s DESC, filePath, chunkIndex LIMIT (SELECT 2 * count(*) FROM {last}))")
+        ctes.append(f"boosted AS (SELECT filePath, chunkIndex, text, score / (1 + coalesce(s / nullif((SELECT max(s) FROM hits), 0), 0) * {weight}) AS score FROM {last} LEFT JOIN hits USING (filePath, chunkIndex))")
+        last = "boosted"
+    if max_files:
+        ctes.append(f"files AS (SELECT filePath FROM (SELECT filePath, min(score) AS best FROM {last} GROUP BY 1) ORDER BY best, filePath LIMIT {max_files})")
+        ctes.append(f"filtered AS (SELECT * FROM {last} WHERE filePath IN (SELECT filePath FROM files))")
+        last = "filtered"
+    return f"WITH {', '.join(ctes)} SELECT {out} FROM {last} ORDER BY {order} LIMIT {limit}"
+
+
+def bm25_sql(text: str, candidates: str | None) -> list[str]:
+    grams = ", ".join(f"('{g}')" for g in tx.query_grams(text))
+    within = f"WHERE filePath IN (SELECT filePath FROM {candidates})" if candidates else ""
+    return [
+        f"grams(g) AS (VALUES {grams})",
+        "held AS (SELECT filePath, chunkIndex, lower(text) AS t, greatest(length(t) - 1, 0) + greatest(length(t) - 2, 0) AS dl FROM chunks)",
+        "tfs AS (SELECT filePath, chunkIndex, dl, g, (length(t) - length(replace(t, g, ''))) / length(g) AS tf FROM held, grams WHERE contains(t, g))",
+        "dfs AS (SELECT g, count(*) AS df FROM tfs GROUP BY g)",
+        "totals AS (SELECT count(*) AS n, avg(dl) AS mean FROM held)",
+        f"bm AS (SELECT filePath, chunkIndex, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {search.K1 + 1} / (tf + {search.K1} * (1 - {search.B} + {search.B} * dl / mean))) AS s FROM tfs JOIN dfs USING (g), totals {within} GROUP BY 1, 2)",
+    ]
+
+
+def add(name: str, make, sql: str | None = None) -> None:
+    QUERIES[name] = make
+    if sql:
+        ORACLES[name] = sql
+
+
+def _search(name: str, **options) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = search.search(chunks(spark, sf_dir), vector(spark, sf_dir), **options)
+        return found.select("filePath", "chunkIndex", (F.round("score", 6) + 0.0).alias("score"))
+
+    add(name, run, search_sql(**options))
+
+
+_search("hybrid_search", text=TEXT)
+_search("vector_topk")
+_search("vector_topk_scope", scope=SCOPE)
+_search("vector_topk_max_distance", max_distance=0.85)
+_search("hybrid_search_scope", text=TEXT, scope=SCOPE)
+_search("hybrid_weight_one", text=TEXT, weight=1.0)
+_search("group_similar", grouping="similar", limit=20)
+_search("group_related", grouping="related", limit=20)
+_search("max_files_filter", max_files=3)
+_search("search_full_pipeline", text=TEXT, scope=SCOPE, max_distance=1.2, grouping="related", max_files=4, limit=20)
+
+
+def _over_chunks(name: str, shape, sql: str) -> None:
+    add(name, lambda spark, sf_dir: shape(chunks(spark, sf_dir)), f"WITH {CHUNKS} {sql}")
+
+
+def _over(name: str, source: str, shape, sql: str | None = None) -> None:
+    add(name, lambda spark, sf_dir: shape(table(spark, sf_dir, source)), sql)
+
+
+add(
+    "fts_bm25_topk",
+    lambda spark, sf_dir: search.bm25(chunks(spark, sf_dir), TEXT).orderBy(F.desc("bm25"), *search.KEY).limit(20).select(*search.KEY, F.round("bm25", 6).alias("bm25")),
+    f"WITH {', '.join([CHUNKS, *bm25_sql(TEXT, None)])} SELECT filePath, chunkIndex, round(s, 6) AS bm25 FROM bm ORDER BY s DESC, filePath, chunkIndex LIMIT 20",
+)
+
+FILE = "/corpus/en/src1.txt"
+_over_chunks("file_scan", lambda c: c.where(F.col("filePath") == FILE).select("filePath", "chunkIndex", "contentHash", F.size("vector").alias("dims")), f"SELECT filePath, chunkIndex, contentHash, len(vector)::INT AS dims FROM chunks WHERE filePath = '{FILE}'")
+_over_chunks("chunk_range", lambda c: c.where((F.col("filePath") == FILE) & F.col("chunkIndex").between(1, 4)).select("filePath", "chunkIndex", "text").orderBy("chunkIndex"), f"SELECT filePath, chunkIndex, text FROM chunks WHERE filePath = '{FILE}' AND chunkIndex BETWEEN 1 AND 4")
+_over_chunks("list_files_agg", lambda c: c.groupBy("filePath").agg(F.count("*").alias("chunkCount"), F.max("timestamp").alias("timestamp")), "SELECT filePath, count(*) AS chunkCount, max(timestamp) AS timestamp FROM chunks GROUP BY 1")
+_over_chunks("status_counts", lambda c: c.agg(F.count_distinct("filePath").alias("documentCount"), F.count("*").alias("chunkCount")), "SELECT count(DISTINCT filePath) AS documentCount, count(*) AS chunkCount FROM chunks")
+_over_chunks("chunk_hash_manifest", lambda c: c.select("filePath", F.nullif("contentHash", F.lit("")).alias("contentHash")), "SELECT filePath, nullif(contentHash, '') AS contentHash FROM chunks")
+_over_chunks("scope_filter_multi", lambda c: c.where(search.in_scope(F.col("filePath"), [*SCOPE, FILE, "/corpus/fr/src2.tx"])).select("filePath", "chunkIndex"), f"SELECT filePath, chunkIndex FROM chunks WHERE {_in_sql([*SCOPE, FILE, '/corpus/fr/src2.tx'])}")
+_over_chunks("delete_file_result", lambda c: c.where(F.col("filePath") != FILE).groupBy("filePath").agg(F.count("*").alias("chunks")), f"SELECT filePath, count(*) AS chunks FROM chunks WHERE filePath <> '{FILE}' GROUP BY 1")
+_over_chunks(
+    "upsert_file_result",
+    lambda c: c.where(F.col("filePath") != FILE).select("filePath", "chunkIndex", "contentHash").unionByName(c.where((F.col("filePath") == FILE) & (F.col("chunkIndex") < 2)).select("filePath", "chunkIndex", F.sha2(F.upper("text"), 256).alias("contentHash"))),
+    f"SELECT filePath, chunkIndex, contentHash FROM chunks WHERE filePath <> '{FILE}' UNION ALL SELECT filePath, chunkIndex, sha256(upper(text)) FROM chunks WHERE filePath = '{FILE}' AND chunkIndex < 2",
+)
+
+
+def neighbours(turns: DataFrame, before: int = 2, after: int = 2) -> DataFrame:
+    """Each row with the texts around it in order."""
+    frame = Window.partitionBy("conv_id").orderBy("turn").rangeBetween(-before, after)
+    return turns.select("conv_id", "turn", F.concat_ws("|", F.collect_list("role").over(frame)).alias("around"))
+
+
+_over("chunk_neighbors", "conversations", neighbours, "SELECT conv_id, turn, string_agg(role, '|') OVER (PARTITION BY conv_id ORDER BY turn RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS around FROM conversations")
+
+
+def manifests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as files on disk, and as stored chunks of an earlier state."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("/docs/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filePath"), F.sha2("text", 256).alias("contentHash"), F.lit("2024-01-01T00:00:00.000Z").alias("timestamp"))
+    old = F.when(F.col("doc_id") % 11 == 0, None).when(F.col("doc_id") % 7 == 0, F.sha2(F.col("filePath"), 256)).otherwise(F.col("contentHash"))
+    return docs.where("doc_id % 10 <> 0").drop("doc_id"), docs.where("doc_id % 13 <> 0").withColumn("contentHash", old).drop("doc_id")
+
+
+MANIFESTS = """docs AS (SELECT doc_id, '/docs/' || lang || '/' || doc_id::VARCHAR || '.txt' AS filePath, sha256(text) AS h FROM documents),
+    disk AS (SELECT filePath, h AS contentHash FROM docs WHERE doc_id % 10 <> 0),
+    stored AS (SELECT filePath, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN sha256(filePath) ELSE h END AS contentHash FROM docs WHERE doc_id % 13 <> 0)"""
+_PLAN = """plan AS (SELECT coalesce(d.filePath, s.filePath) AS filePath, CASE WHEN d.filePath IS NOT NULL THEN CASE WHEN s.contentHash = d.contentHash THEN 'skip' ELSE 'upsert' END
+    WHEN (starts_with(s.filePath, '/docs/en/') OR starts_with(s.filePath, '/docs/de/')) AND NOT starts_with(s.filePath, '/docs/de/') THEN 'prune' ELSE 'keep' END AS action FROM disk d FULL JOIN stored s USING (filePath))"""
+
+
+def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.plan_sync(*manifests(spark, sf_dir), roots=["/docs/en", "/docs/de"], protected=["/docs/de"])
+
+
+add("sync_plan", _plan, f"WITH {MANIFESTS}, {_PLAN} SELECT * FROM plan")
+add("sync_summary", lambda s, d: _plan(s, d).groupBy("action").agg(F.count("*").alias("files")), f"WITH {MANIFESTS}, {_PLAN} SELECT action, count(*) AS files FROM plan GROUP BY 1")
+add("sync_prune_protected", lambda s, d: _plan(s, d).where("action = 'keep'").select("filePath"), f"WITH {MANIFESTS}, {_PLAN} SELECT filePath FROM plan WHERE action = 'keep'")
+add("list_files_join", lambda s, d: sync.listed(*manifests(s, d)), f"WITH {MANIFESTS}, c AS (SELECT filePath, count(*) AS n FROM stored GROUP BY 1) SELECT filePath, n IS NOT NULL AS ingested, coalesce(n, 0) AS chunkCount, CASE WHEN n IS NOT NULL THEN '2024-01-01T00:00:00.000Z' END AS timestamp FROM disk LEFT JOIN c USING (filePath)")
+add("list_sources_anti", lambda s, d: sync.sources(*manifests(s, d)), f"WITH {MANIFESTS} SELECT DISTINCT filePath FROM stored WHERE filePath NOT IN (SELECT filePath FROM disk)")
+
+_over("content_hash", "documents", lambda t: t.select("doc_id", F.sha2("text", 256).alias("hash")), "SELECT doc_id, sha256(text) AS hash FROM documents")
+_over("base64url_roundtrip", "pages", lambda t: t.select("page_id", tx.base64url(F.col("url")).alias("code"), tx.unbase64url(tx.base64url(F.col("url"))).alias("back")), "SELECT page_id, rtrim(translate(to_base64(encode(url)), '+/', '-_'), '=') AS code, url AS back FROM pages")
+_URL_SQL = """regexp_extract(url, '^([Hh][Tt][Tt][Pp][Ss]?)://([^/?#@]*@)?([^/?#:]+)(:[0-9]*)?([^?#]*)', ['scheme', 'user', 'host', 'port', 'path'])"""
+_NORMAL = f"""n AS (SELECT page_id, url, {_URL_SQL} AS p FROM pages), normal AS (SELECT page_id, CASE WHEN p.host = '' THEN url ELSE lower(p.scheme) || '://' || lower(p.host)
+    || CASE WHEN p.port IN ('', ':') OR lower(p.scheme) || p.port IN ('http:80', 'https:443') THEN '' ELSE p.port END || CASE WHEN p.path = '' THEN '/' ELSE p.path END END AS source FROM n)"""
+_over("normalize_source", "pages", lambda t: t.select("page_id", tx.normal_source(F.col("url")).alias("source")), f"WITH {_NORMAL} SELECT page_id, source FROM normal")
+_over("raw_data_path", "pages", lambda t: t.select("page_id", (p := tx.raw_path(F.col("url"), "/db")).alias("path"), tx.raw_source(p, "/db").alias("source")), f"WITH {_NORMAL} SELECT page_id, '/db/raw-data/' || rtrim(translate(to_base64(encode(source)), '+/', '-_'), '=') || '.md' AS path, source FROM normal")
+_NAME = r"regexp_replace(regexp_replace({0}, '^(.+)\.[^.]*$', '\1'), '[-_]', ' ', 'g')"
+_FILE_SQL = "source || '-' || doc_id::VARCHAR || '_v2.txt'"
+_over("file_title_from_name", "documents", lambda t: t.select("doc_id", tx.name_title(F.concat("source", F.lit("-"), F.col("doc_id").cast("string"), F.lit("_v2.txt"))).alias("title")), f"SELECT doc_id, {_NAME.format(_FILE_SQL)} AS title FROM documents")
+_over(
+    "markdown_title",
+    "documents",
+    lambda t: t.select("doc_id", tx.markdown_title(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("# "), "text")).otherwise(F.col("text")), F.lit("my-note.md")).alias("title")),
+    r"SELECT doc_id, coalesce(nullif(trim(regexp_extract(CASE WHEN doc_id % 2 = 0 THEN '# ' || text ELSE text END, '(?m)^# (.+)$', 1)), ''), 'my note') AS title FROM documents",
+)
+_over(
+    "txt_title",
+    "documents",
+    lambda t: t.select("doc_id", tx.txt_title(F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("\n"), F.lit("\n\n"))).otherwise(F.col("text")), F.lit("my-note.txt")).alias("title")),
+    r"WITH x AS (SELECT doc_id, string_split(CASE WHEN doc_id % 2 = 0 THEN replace(text, chr(10), chr(10) || chr(10)) ELSE text END, chr(10)) AS l FROM documents) SELECT doc_id, CASE WHEN trim(l[1]) <> '' AND len(l) > 1 AND trim(l[2]) = '' THEN trim(l[1]) ELSE 'my note' END AS title FROM x",
+)
+_over("html_title", "pages", lambda t: t.select("page_id", tx.html_title(F.col("html"), F.lit("page.html")).alias("title")), r"SELECT page_id, coalesce(nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), ''), 'page') AS title FROM pages")
+_over(
+    "garbage_filter",
+    "documents",
+    lambda t: t.select("doc_id", F.explode(F.split("text", "[.]")).alias("part")).groupBy("doc_id").agg(F.sum(tx.is_garbage(F.col("part")).cast("long")).alias("garbage")),
+    r"""WITH p AS (SELECT doc_id, trim(unnest(string_split(text, '.')), ' ' || chr(9) || chr(10) || chr(13) || chr(160)) AS t FROM documents)
+    SELECT doc_id, sum(CASE WHEN t = '' THEN 1 WHEN regexp_matches(t, '[A-Za-z0-9]') THEN 0 WHEN regexp_full_match(t, '[-=_.*#|~`@!%^&*()\[\]{}\\/<>:+\s]+') THEN 1
+        WHEN list_max(list_transform(list_distinct(string_split(t, '')), lambda c: (length(t) - length(replace(t, c, ''))))) / length(t) > 0.8 THEN 1 ELSE 0 END)::BIGINT AS garbage FROM p GROUP BY 1""",
+)
+_over("caption_postprocess", "documents", lambda t: t.select("doc_id", tx.caption(F.concat(F.lit("\x07 "), "text")).alias("caption")).select("doc_id", F.length("caption").alias("length"), F.substring("caption", -10, 10).alias("end")), r"WITH x AS (SELECT doc_id, trim(regexp_replace(text, '[\x00-\x08\x0B-\x1F\x7F-\x{9F}]', '', 'g'), ' ' || chr(9) || chr(10)) AS t FROM documents), y AS (SELECT doc_id, CASE WHEN length(t) > 1000 THEN substr(t, 1, 1000) || '…' ELSE t END AS c FROM x) SELECT doc_id, length(c)::INT AS length, right(c, 10) AS end FROM y")
+_over("ngram_tokenize", "benchmark", lambda t: t.select("item_id", F.explode(tx.grams(F.col("text"))).alias("gram")).groupBy("item_id", "gram").agg(F.count("*").alias("n")), "WITH x AS (SELECT item_id, lower(text) AS t, unnest([2, 3]) AS k FROM benchmark), y AS (SELECT item_id, substr(t, unnest(range(1, length(t) - k + 2))::INT, k) AS gram FROM x) SELECT item_id, gram, count(*) AS n FROM y GROUP BY 1, 2")
+_over("paragraph_split", "documents", lambda t: t.select("doc_id", F.posexplode(tx.paragraphs(F.col("text")))).select("doc_id", F.col("pos").cast("int").alias("n"), F.col("col").alias("paragraph")))
+_over(
+    "cosine_pairwise",
+    "embeddings",
+    lambda t: (a := t.where("label = 3").select(F.col("vec_id").alias("i"), F.col("embedding").alias("x"))).join(a.toDF("j", "y"), F.col("i") < F.col("j")).select("i", "j", (F.round(cosine(F.col("x"), F.col("y")), 6) + 0.0).alias("cosine")),
+    "WITH a AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE label = 3) SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.v, b.v), 6) + 0.0 AS cosine FROM a JOIN a b ON a.vec_id < b.vec_id",
+)
+
+
+def median_similarity(t: DataFrame) -> DataFrame:
+    """Median cosine of all pairs within each label; 1 for a single vector."""
+    a = t.select("label", F.col("vec_id").alias("i"), F.col("embedding").alias("x"))
+    pairs = a.join(a.toDF("label", "j", "y"), "label").where("i < j")
+    medians = pairs.groupBy("label").agg(F.percentile(cosine(F.col("x"), F.col("y")), 0.5).alias("m"))
+    return t.select("label").distinct().join(medians, "label", "left").select("label", (F.round(F.coalesce("m", F.lit(1.0)), 6) + 0.0).alias("median"))
+
+
+_over("median_pairwise_similarity", "embeddings", median_similarity, "WITH a AS (SELECT label, vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.label, round(quantile_cont(list_cosine_similarity(a.v, b.v), 0.5), 6) + 0.0 AS median FROM a JOIN a b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY 1")
+_over("minmax_chunker", "embeddings", lambda t: chunker.vector_groups(t, "label", "vec_id", "embedding"))
+_over("semantic_chunk_documents", "documents", lambda t: chunker.chunked(t, "doc_id", "text"))
+
+
+def layout_items(t: DataFrame) -> DataFrame:
+    """Line items as text items on pages."""
+    page, y = F.col("l_orderkey"), F.round(700 - F.col("l_linenumber") / 2 * 12)
+    return t.select(page.alias("page"), y.alias("y"), F.col("l_extendedprice").alias("x"), F.col("l_returnflag").alias("text"), (F.col("l_quantity") % 20 + 6).alias("size"))
+
+
+def page_lines(items: DataFrame) -> DataFrame:
+    """Text of each page: items of one rounded height by x, lines from the top."""
+    line = F.floor(F.col("y") + 0.5)
+    lines = items.groupBy("page", line.alias("line")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "text"))), lambda i: i["text"]), " ").alias("text"))
+    return lines.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("line")).alias("line"), "text"))), lambda i: i["text"]), "\n").alias("text"))
+
+
+_ITEMS = "items AS (SELECT l_orderkey AS page, floor(round(700 - l_linenumber / 2 * 12) + 0.5) AS line, l_extendedprice AS x, l_returnflag AS text, l_quantity % 20 + 6 AS size FROM lineitem)"
+_over("pdf_line_join", "lineitem", lambda t: page_lines(layout_items(t)), f"WITH {_ITEMS}, l AS (SELECT page, line, string_agg(text, ' ' ORDER BY x, text) AS text FROM items GROUP BY 1, 2) SELECT page, string_agg(text, chr(10) ORDER BY line DESC) AS text FROM l GROUP BY 1")
+
+
+def small_margins(items: DataFrame, height: float = 720.0) -> DataFrame:
+    """Heights whose font is under 0.7 of the page's median and that stand in the upper or lower tenth."""
+    median = items.groupBy("page").agg(F.percentile("size", 0.5).alias("median"))
+    hints = items.join(median, "page").where("size < 0.7 * median").withColumn("line", F.floor(F.col("y") + 0.5))
+    return hints.where((F.col("y") > 0.9 * height) | (F.col("y") < 0.1 * height)).select("page", "line").distinct()
+
+
+_over("pdf_header_candidates", "lineitem", lambda t: small_margins(layout_items(t)), f"WITH {_ITEMS}, m AS (SELECT page, quantile_cont(size, 0.5) AS median FROM items GROUP BY 1) SELECT DISTINCT page, line::BIGINT AS line FROM items JOIN m USING (page) WHERE size < 0.7 * median AND (line > 648 OR line < 72)")
+
+
+def visual_pages(rects: DataFrame, width: float = 612.0, height: float = 792.0) -> DataFrame:
+    """Pages with an image of a tenth, or images of 15 % of the page, and the padded crop; small corner images aside."""
+    area = F.greatest(F.lit(0.0), F.col("x1") - F.col("x0")) * F.greatest(F.lit(0.0), F.col("y1") - F.col("y0")) / (width * height)
+    side = (F.col("x0") <= 0.15 * width) | (F.col("x1") >= 0.85 * width)
+    edge = (F.col("y0") <= 0.15 * height) | (F.col("y1") >= 0.85 * height)
+    kept = rects.withColumn("area", area).where(~((F.col("area") <= 0.03) & side & edge))
+    found = kept.groupBy("page").agg(F.max("area").alias("most"), F.sum("area").alias("total"), *(f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))))
+    padx, pady = (F.greatest(F.lit(12.0), (F.col(b) - F.col(a)) * 0.08) for a, b in (("x0", "x1"), ("y0", "y1")))
+    crop = found.where("most >= 0.10 OR total >= 0.15").select("page", *(F.round(F.greatest(F.lit(0.0), F.least(F.lit(top), c)), 4).alias(n) for n, c, top in (("x0", F.col("x0") - padx, width), ("y0", F.col("y0") - pady, height), ("x1", F.col("x1") + padx, width), ("y1", F.col("y1") + pady, height))))
+    return crop.withColumn("whole", (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) / (width * height) > 0.85)
+
+
+def rectangles(t: DataFrame) -> DataFrame:
+    x, y = F.col("l_partkey") % 400, F.col("l_suppkey") % 500
+    return t.select(F.col("l_orderkey").alias("page"), x.cast("double").alias("x0"), y.cast("double").alias("y0"), (x + F.col("l_quantity") * 4).cast("double").alias("x1"), (y + F.col("l_quantity") * 3).cast("double").alias("y1"))
+
+
+_over(
+    "visual_candidates",
+    "lineitem",
+    lambda t: visual_pages(rectangles(t)),
+    """WITH r AS (SELECT l_orderkey AS page, (l_partkey % 400)::DOUBLE AS x0, (l_suppkey % 500)::DOUBLE AS y0, (l_partkey % 400 + l_quantity * 4)::DOUBLE AS x1, (l_suppkey % 500 + l_quantity * 3)::DOUBLE AS y1 FROM lineitem),
+    a AS (SELECT *, greatest(0, x1 - x0) * greatest(0, y1 - y0) / (612.0 * 792.0) AS area FROM r),
+    k AS (SELECT page, max(area) AS most, sum(area) AS total, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM a
+        WHERE NOT (area <= 0.03 AND (x0 <= 0.15 * 612 OR x1 >= 0.85 * 612) AND (y0 <= 0.15 * 792 OR y1 >= 0.85 * 792)) GROUP BY 1),
+    c AS (SELECT page, round(greatest(0, least(612, x0 - greatest(12, (x1 - x0) * 0.08))), 4) AS x0, round(greatest(0, least(792, y0 - greatest(12, (y1 - y0) * 0.08))), 4) AS y0,
+        round(greatest(0, least(612, x1 + greatest(12, (x1 - x0) * 0.08))), 4) AS x1, round(greatest(0, least(792, y1 + greatest(12, (y1 - y0) * 0.08))), 4) AS y1 FROM k WHERE most >= 0.10 OR total >= 0.15)
+    SELECT *, (x1 - x0) * (y1 - y0) / (612.0 * 792.0) > 0.85 AS whole FROM c""",
+)
