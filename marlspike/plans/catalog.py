@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.vectors import cosine
 from ..operators import chunker, search, sync
+from ..sources import readers
 
 VECTOR, TEXT = 7, "the and"
 SCOPE = ["/corpus/en", "/corpus/de"]
@@ -222,6 +223,8 @@ _over("median_pairwise_similarity", "embeddings", median_similarity, "WITH a AS
 _over("minmax_chunker", "embeddings", lambda t: chunker.vector_groups(t, "label", "vec_id", "embedding"))
 _over("semantic_chunk_documents", "documents", lambda t: chunker.chunked(t, "doc_id", "text"))
 
+_over("html_markdown", "pages", lambda t: readers.html_table(t.select("page_id", "html")))
+
 
 def layout_items(t: DataFrame) -> DataFrame:
     """Line items as text items on pages."""
