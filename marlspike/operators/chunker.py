@@ -6,6 +6,7 @@ Python worker makes once.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Callable, Iterator
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 HARD, INITIAL, FACTOR, RECENT, LONGEST = 0.6, 1.5, 0.9, 5, 15
 SHORTEST = 50
+BLOCK = 512
 DIMENSIONS = 384
 _CODE = regex.compile(r"```.*?```|`[^`\n]+`", regex.S)
 _BREAK = regex.compile(r"\n{2,}|\n(?=\S)|(?<=\x00)\n")
@@ -58,40 +60,54 @@ def is_garbage(text: str) -> bool:
     return bool(_DECORATION.fullmatch(t)) or max(map(t.count, set(t))) / (len(t.encode("utf-16-le")) / 2) > 0.8
 
 
+@functools.lru_cache(1 << 16)
+def _word_hash(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+
+
 def hashed_vectors(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
     """Unit vectors of hashed words and character trigrams: an embedder that needs no model."""
-    out = np.zeros((len(texts), dimensions))
-    for k, text in enumerate(texts):
-        if not text.strip():
-            raise ValueError("an empty text has no vector")
-        low = f" {text.lower()} "
-        for gram in [*low.split(), *(low[i : i + 3] for i in range(len(low) - 2))]:
-            h = int.from_bytes(hashlib.blake2b(gram.encode("utf-8", "replace"), digest_size=8).digest(), "little")
-            out[k, h % dimensions] += 1 if h >> 63 else -1
-        if not out[k].any():
-            out[k, 0] = 1
+    if not all(t.strip() for t in texts):
+        raise ValueError("an empty text has no vector")
+    low = [f" {t.lower()} " for t in texts]
+    points = np.concatenate([np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32) for t in low] or [np.zeros(0, np.uint32)]).astype(np.uint64)
+    sizes = np.array([len(t) for t in low], np.int64)
+    owner = np.repeat(np.arange(len(low)), sizes)
+    inside = owner[2:] == owner[:-2]
+    grams = points[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ points[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ points[2:] * np.uint64(0x165667B19E3779F9)
+    grams = (grams ^ grams >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    split = [t.split() for t in low]
+    named = np.array([_word_hash(w) for words in split for w in words], np.uint64)
+    h = np.concatenate([grams[inside], named])
+    owner = np.concatenate([owner[2:][inside], np.repeat(np.arange(len(low)), [len(words) for words in split])])
+    place = owner * dimensions + (h >> np.uint64(20)).astype(np.int64) % dimensions
+    out = np.bincount(place, np.where(h >> np.uint64(63), 1.0, -1.0), len(low) * dimensions).reshape(len(low), dimensions)
+    out[~out.any(axis=1), 0] = 1
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
-    return np.divide(vectors, norm, out=np.zeros_like(vectors, dtype=float), where=norm > 0)
+    return np.divide(vectors, norm, out=np.zeros(vectors.shape, np.result_type(vectors, np.float32)), where=norm > 0)
 
 
 def groups(vectors: np.ndarray, hard: float = HARD) -> list[int]:
     """Group number of each sentence, by the Max-Min rule over what came before it."""
-    v = _unit(np.asarray(vectors, float))
+    v = _unit(np.asarray(vectors))
+    n = len(v)
+    # like[d][i] is the cosine of sentences i and i + d; no group is longer than LONGEST
+    like = [[]] + [np.einsum("ij,ij->i", v[d:], v[: n - d]).tolist() if d < n else [] for d in range(1, LONGEST)]
     out, start = [], 0
-    for i in range(len(v)):
-        n = i - start
-        if n == 1:
-            joins = INITIAL * float(v[start] @ v[i]) > hard
-        elif n >= LONGEST:
+    for i in range(n):
+        held = i - start
+        if held == 1:
+            joins = INITIAL * like[1][start] > hard
+        elif held >= LONGEST:
             joins = False
-        elif n:
-            recent = v[max(start, i - RECENT) : i]
-            least = min(1.0, float((recent @ recent.T)[np.triu_indices(len(recent), 1)].min()))
-            joins = float((v[start:i] @ v[i]).max()) > max(FACTOR * least / (1 + math.exp(-n)), hard)
+        elif held:
+            low = max(start, i - RECENT)
+            least = min(1.0, min(like[y - x][x] for x in range(low, i) for y in range(x + 1, i)))
+            joins = max(like[i - x][x] for x in range(start, i)) > max(FACTOR * least / (1 + math.exp(-held)), hard)
         else:
             joins = True
         if not joins:
@@ -106,7 +122,8 @@ def chunks_of(text: str, embed: Callable[[list[str]], np.ndarray] = hashed_vecto
     if not parts:
         return []
     merged: dict[int, list[str]] = {}
-    for g, s in zip(groups(embed(parts), hard), parts):
+    vectors = np.concatenate([np.asarray(embed(parts[a : a + BLOCK]), np.float32) for a in range(0, len(parts), BLOCK)])
+    for g, s in zip(groups(vectors, hard), parts):
         merged.setdefault(g, []).append(s)
     joined = (" ".join(m) for m in merged.values())
     return [c for c in joined if len(c.encode("utf-16-le")) // 2 >= shortest and not is_garbage(c)]
