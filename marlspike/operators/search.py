@@ -57,7 +57,7 @@ def grouped(ranked: DataFrame, mode: str | None) -> DataFrame:
     return cut.where(F.col("group") < (1 if mode == "similar" else 2)).drop("gap", "edge", "group")
 
 
-def bm25(chunks: DataFrame, text: str, files: DataFrame | None = None) -> DataFrame:
+def bm25(chunks: DataFrame, text: str, files: list[str] | None = None) -> DataFrame:
     """(filePath, chunkIndex, bm25) of every chunk (of ``files``) that has a gram of the query."""
     wanted = query_grams(text)
     low = F.lower("text")
@@ -67,7 +67,7 @@ def bm25(chunks: DataFrame, text: str, files: DataFrame | None = None) -> DataFr
     df = F.array(*[F.sum((F.get("tf", F.lit(k)) > 0).cast("long")) for k in range(len(wanted))])
     stats = held.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"), df.alias("df"))
     if files is not None:
-        held = held.join(F.broadcast(files.select("filePath").distinct()), "filePath", "left_semi")
+        held = held.where(F.col("filePath").isin(files))
     idf = lambda d: F.log(1 + (F.col("n") - d + 0.5) / (d + 0.5))
     gain = lambda t: t * (K1 + 1) / (t + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
     score = F.aggregate(F.zip_with("tf", "df", lambda t, d: F.when(t > 0, idf(d) * gain(t)).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
@@ -92,13 +92,12 @@ def best_files(ranked: DataFrame, most: int | None) -> DataFrame:
 
 def search(chunks: DataFrame, vector: Sequence[float], text: str = "", limit: int = 10, scope: str | Iterable[str] | None = None, max_distance: float | None = None, grouping: str | None = None, weight: float = WEIGHT, max_files: int | None = None) -> DataFrame:
     """The ``limit`` best rows, ascending by score."""
-    # few rows, read more than once: kept for the query's own plan by exchange reuse, not by caching
     ranked = grouped(nearest(chunks, vector, limit, scope, max_distance), grouping)
     if text.strip() and weight > 0:
-        scored = bm25(chunks, text, ranked)
-        place = F.row_number().over(Window.orderBy(F.desc("bm25"), *KEY))
-        most = ranked.agg((F.count("*") * 2).alias("most"))
-        hits = scored.orderBy(F.desc("bm25"), *KEY).limit(4 * limit).withColumn("place", place)
-        hits = hits.crossJoin(F.broadcast(most)).where("place <= most").drop("place", "most")
-        ranked = boosted(ranked, hits, weight)
+        # at most 40 rows: taken to the driver, the vectors are scanned once and the files' names reach the text's scan
+        rows = ranked.collect()
+        ranked = chunks.sparkSession.createDataFrame(rows, ranked.schema)
+        if rows:
+            found = bm25(chunks, text, sorted({r["filePath"] for r in rows if r["filePath"] is not None}))
+            ranked = boosted(ranked, found.orderBy(F.desc("bm25"), *KEY).limit(2 * len(rows)), weight)
     return best_files(ranked, max_files).orderBy("score", *KEY).limit(limit)
