@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.vectors import cosine
-from ..operators import chunker, search, sync
+from ..operators import chunker, pairs, search, sync
 from ..sources import readers
 
 VECTOR, TEXT = 7, "the and"
@@ -209,6 +209,8 @@ _over(
     lambda t: (a := t.where("label = 3").select(F.col("vec_id").alias("i"), F.col("embedding").alias("x"))).join(a.toDF("j", "y"), F.col("i") < F.col("j")).select("i", "j", (F.round(cosine(F.col("x"), F.col("y")), 6) + 0.0).alias("cosine")),
     "WITH a AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE label = 3) SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.v, b.v), 6) + 0.0 AS cosine FROM a JOIN a b ON a.vec_id < b.vec_id",
 )
+# cosine_pairwise is what its SQL says, one label; this one is the whole table, too much for the SQL
+_over("cosine_pairwise_all", "embeddings", lambda t: pairs.all_pairs(t, "vec_id", "embedding"))
 
 
 def median_similarity(t: DataFrame) -> DataFrame:
