@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import filesystem, written
+from .common import filesystem, work_path, written
 from .words import U, mix, row_slices
 
 LENGTH = 1024
@@ -137,46 +137,80 @@ def ordered(docs: DataFrame, vocabulary: str = bpe.VOCABULARY, length: int = LEN
     return ranged.select("slot", "shard", ((F.col("slot") % per_shard) * stride).alias("byte_offset"), "doc_id", "sequence", "n_tokens", record.alias("record"))
 
 
+class Shards:
+    """Shard files of one task, each written under another name and moved when it is whole."""
+
+    def __init__(self, path: str):
+        self.files, self.base = filesystem(path)
+        self.files.create_dir(self.base, recursive=True)
+        self.now, self.out, self.hidden, self.rows = None, None, "", []
+        self.count = self.size = 0
+
+    def put(self, shard: int, data: bytes) -> None:
+        if shard != self.now:
+            self.close()
+            self.now, self.count, self.size = shard, 0, 0
+            self.hidden = posixpath.join(self.base, f".{shard}-{uuid.uuid4().hex}")
+            self.out = self.files.open_output_stream(self.hidden)
+        self.out.write(data)
+        self.count, self.size = self.count + 1, self.size + len(data)
+
+    def close(self) -> None:
+        if self.now is not None:
+            self.out.close()
+            self.files.move(self.hidden, posixpath.join(self.base, shard_name(self.now)))
+            self.rows.append((self.now, shard_name(self.now), self.count, self.size))
+            self.now = None
+
+
+def shard_name(shard: int) -> str:
+    return f"shard-{shard:06d}.bin"
+
+
 def write_shards(sequenced: DataFrame, path: str) -> DataFrame:
     """Write what ``ordered`` gives as files shard-NNNNNN.bin when the result is computed: (shard, file, records, bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, base = filesystem(path)
-        files.create_dir(base, recursive=True)
-        now, out, hidden, rows = None, None, "", []
-
-        def close() -> None:
-            out.close()
-            name = f"shard-{now:06d}.bin"
-            files.move(hidden, posixpath.join(base, name))
-            rows.append((now, name, count, size))
-
-        count = size = 0
+        shards = Shards(path)
         for batch in batches:
             for shard, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if shard != now:
-                    if now is not None:
-                        close()
-                    now, count, size = shard, 0, 0
-                    hidden = posixpath.join(base, f".{shard}-{uuid.uuid4().hex}")
-                    out = files.open_output_stream(hidden)
-                out.write(data)
-                count, size = count + 1, size + len(data)
-        if now is not None:
-            close()
+                shards.put(shard, data)
+        shards.close()
+        rows = shards.rows
         kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], ["shard", "file", "records", "bytes"])
 
     return sequenced.select("shard", "record").mapInArrow(run, "shard int, file string, records long, bytes long")
 
 
+def write_indexed(sequenced: DataFrame, path: str) -> DataFrame:
+    """Write the shards as ``write_shards`` does; the result has each record's place: (slot, shard, byte_offset, doc_id, sequence, n_tokens, file)."""
+    names = ["slot", "shard", "byte_offset", "doc_id", "sequence", "n_tokens"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards = Shards(path)
+        for batch in batches:
+            own = batch.column(1).to_pylist()
+            for shard, data in zip(own, batch.column(6)):
+                shards.put(shard, data.as_buffer())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array([shard_name(s) for s in own], pa.string())], [*names, "file"])
+        shards.close()
+
+    return sequenced.select(*names, "record").mapInArrow(run, "slot long, shard int, byte_offset long, doc_id long, sequence int, n_tokens int, file string")
+
+
+def materialised(docs: DataFrame) -> DataFrame:
+    """The index of the shards, their files in the cluster's shared folder."""
+    return write_indexed(ordered(docs), work_path(docs.sparkSession, "shards"))
+
+
 def read_slots(path: str, start: int, stop: int, length: int = LENGTH, per_shard: int = PER_SHARD, kind: str = "<u2") -> Iterator[np.ndarray]:
     """The sequences of slots start to stop - 1, read one after the other from where ``start`` is."""
     files, base = filesystem(path)
     stride, slot = length * np.dtype(kind).itemsize, start
     while slot < stop:
         shard, at = divmod(slot, per_shard)
-        with files.open_input_file(posixpath.join(base, f"shard-{shard:06d}.bin")) as data:
+        with files.open_input_file(posixpath.join(base, shard_name(shard))) as data:
             data.seek(at * stride)
             for _ in range(min(stop - slot, per_shard - at)):
                 yield np.frombuffer(data.read(stride), kind)

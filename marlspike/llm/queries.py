@@ -14,7 +14,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feistel.ordered(table(spark, sf_dir, "documents"))
+    return feistel.materialised(table(spark, sf_dir, "documents"))
 
 
 def op3_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,25 @@
+"""That the operators do the whole job: cases that a part of it would miss."""
+
+from __future__ import annotations
+
+import numpy as np
+from marlspike.llm import common, feistel, queries
+
+
+def test_training_order_query_writes_its_shards(spark, sf):
+    before = set(common._LIVE)
+    index = queries.QUERIES["op2_training_order"](spark, sf).collect()
+    (path,) = [p for p in common._LIVE if p not in before and "/shards-" in p]
+    want = feistel.ordered(common.table(spark, sf, "documents")).orderBy("slot").collect()
+    assert [r["slot"] for r in sorted(index, key=lambda r: r["slot"])] == list(range(len(want)))
+    read = list(feistel.read_slots(path, 0, len(want)))
+    assert len(read) == len(want)
+    for got, w in zip(read, want):
+        assert got.tobytes() == w["record"]
+    files, base = common.filesystem(path)
+    for r in index:
+        w = want[r["slot"]]
+        assert (r["shard"], r["byte_offset"], r["doc_id"], r["sequence"], r["n_tokens"]) == tuple(w[1:6])
+        with files.open_input_file(f"{base}/{r['file']}") as data:
+            data.seek(r["byte_offset"])
+            assert np.array_equal(np.frombuffer(data.read(2048), "<u2"), read[r["slot"]])
