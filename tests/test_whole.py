@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from marlspike.functions.vectors import cosine
-from marlspike.operators import pairs
+from marlspike.operators import ngrams, pairs
 from marlspike.plans import catalog
 from pyspark.sql import functions as F
 
@@ -27,3 +28,15 @@ def test_pairs_of_odd_vectors(spark):
     want = a.join(a.toDF("j", "y"), F.col("i") < F.col("j")).select("i", "j", (F.round(cosine(F.col("x"), F.col("y")), 6) + 0.0).alias("cosine"))
     for tile in (2, 1024):
         assert sorted(map(repr, pairs.all_pairs(t, "vec_id", "embedding", tile).collect())) == sorted(map(repr, want.collect()))
+
+
+def test_ngrams_of_whole_documents(spark, sf):
+    def brute(rows):
+        return Counter((i, g, n) for i, t in rows for g, n in Counter(t[k : k + m] for m in (2, 3) for k in range(len(t) - m + 1)).items())
+
+    rows = [(r[0], r[1].lower()) for r in catalog.table(spark, sf, "documents").select("doc_id", "text").collect()]
+    got = catalog.QUERIES["ngram_tokenize_documents"](spark, sf).toArrow()
+    assert Counter(zip(*(got.column(c).to_pylist() for c in ("doc_id", "gram", "n")))) == brute(rows)
+    odd = [(1, None), (2, ""), (3, "a"), (4, "Ab"), (4, "Ab"), (None, "\U0001f600é\U0001f600é"), (5, "a\0b\0\0")]
+    found = ngrams.postings(spark.createDataFrame(odd, "doc_id long, text string"), "doc_id", "text").collect()
+    assert Counter(tuple(r) for r in found) == brute([(i, t.lower()) for i, t in odd if t is not None])
