@@ -54,7 +54,7 @@ def bits(h: np.ndarray) -> np.ndarray:
 class Index:
     """The benchmark's items, their shingles, weights and fingerprints."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], radius: int = RADIUS, least: float = LEAST):
+    def __init__(self, items: list[tuple[int | None, str | None]], radius: int = RADIUS, least: float = LEAST, shared: tuple[int, np.ndarray, np.ndarray] | None = None):
         self.radius, self.least = radius, least
         data, offsets = texts(pa.array([t for _, t in items], pa.string()), True)
         h, _, _, first = words(data, offsets, LETTERS)
@@ -65,8 +65,9 @@ class Index:
                 self.words.append(h[a:b])
                 self.sets.append(frozenset(shingles(h[a:b], min(SHINGLE, b - a)).tolist()))
         count = Counter(s for own in self.sets for s in own)
-        self.rare = math.log(1 + len(self.ids))
-        self.weight = {s: math.log(1 + len(self.ids) / n) for s, n in count.items()}
+        total, self.common, self.often = shared or (len(self.ids), np.zeros(0, U), np.zeros(0, np.int64))
+        self.total, self.rare = total, math.log(1 + total)  # a shingle of one item weighs as much as an unseen one
+        self.weight = {s: math.log(1 + total / n) for s, n in count.items()} if shared is None else {s: self._rarity(s) for s in count}
         self.totals = [sum(self.weight[s] for s in own) for own in self.sets]
         self.size = np.array([len(w) for w in self.words], np.int64)
         self.prints = np.concatenate([fingerprints(bits(w).sum(axis=0, dtype=np.int32)[None]) for w in self.words]) if self.words else np.zeros(0, U)
@@ -107,11 +108,16 @@ class Index:
         pairs = np.unique(np.concatenate(rows) * max(1, len(self.prints)) + np.concatenate(found)) if rows else np.zeros(0, np.int64)
         return pairs // max(1, len(self.prints)), pairs % max(1, len(self.prints))
 
+    def _rarity(self, shingle: int) -> float:
+        """The weight by the counts of the whole benchmark."""
+        at = int(np.searchsorted(self.common, U(shingle)))
+        return math.log(1 + self.total / int(self.often[at])) if at < len(self.common) and int(self.common[at]) == shingle else self.rare
+
     def similarity(self, window: np.ndarray, item: int) -> float:
         k = min(SHINGLE, len(self.words[item]))
         own, other = self.sets[item], set(shingles(window, min(k, len(window))).tolist())
         both = sum(self.weight[s] for s in own & other)
-        return both / (self.totals[item] + sum(self.weight.get(s, self.rare) for s in other - own))
+        return both / (self.totals[item] + sum(self.weight[s] if s in self.weight else self._rarity(s) for s in other - own))
 
     def hits(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Windows (first word, words, text) of the given texts that share a shingle with an item of their size."""
@@ -171,13 +177,33 @@ class Index:
         return sorted((t, i, -like, at, n) for (t, i), (like, at, n) in best.items())
 
 
+def shared_shingles(benchmark: DataFrame, text: str = "text") -> tuple[int, np.ndarray, np.ndarray]:
+    """The number of items with words, and in order the shingles that several of them have, with the number of these items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in row_slices(whole, text):
+                h, _, _, first = words(*texts(batch.column(0), True), LETTERS)
+                own = [np.unique(shingles(h[a:b], min(SHINGLE, b - a))) for a, b in zip(first, first[1:]) if b > a]
+                if own:  # a null for each item
+                    yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.nulls(len(own), pa.int64()), pa.array(np.concatenate(own).view(np.int64))])], ["shingle"])
+
+    counts = benchmark.select(text).mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("shingle IS NULL OR n > 1").toArrow()
+    known, n = counts.column("shingle").combine_chunks(), counts.column("n").to_numpy()
+    none = known.is_null().to_numpy(zero_copy_only=False)
+    common, often = known.drop_null().to_numpy(zero_copy_only=False).astype(np.int64).view(U), n[~none]
+    order = np.argsort(common)
+    return int(n[none].sum()), common[order], often[order]
+
+
 def indexes(benchmark: DataFrame, radius: int, least: float, item_id: str = "item_id", text: str = "text") -> Iterator[Index]:
-    """One index, or as many as the benchmark's size asks for."""
+    """One index, or as many as the benchmark's size asks for, weighted by the whole benchmark each."""
     total = benchmark.agg(F.sum(F.octet_length(text))).first()[0] or 0
     passes = max(1, math.ceil(total / INDEX_BYTES))
+    shared = shared_shingles(benchmark, text) if passes > 1 else None
     for k in range(passes):
         part = benchmark.where(F.pmod(F.xxhash64(text), F.lit(passes)) == k) if passes > 1 else benchmark
-        yield Index(sorted(((r[0], r[1]) for r in part.select(item_id, text).collect()), key=repr), radius, least)
+        yield Index(sorted(((r[0], r[1]) for r in part.select(item_id, text).collect()), key=repr), radius, least, shared)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, least: float = LEAST) -> DataFrame:

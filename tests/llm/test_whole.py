@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from marlspike.llm import common, feistel, queries
+from marlspike.llm import common, decontaminate, feistel, queries
 
 
 def test_training_order_query_writes_its_shards(spark, sf):
@@ -23,3 +23,21 @@ def test_training_order_query_writes_its_shards(spark, sf):
         with files.open_input_file(f"{base}/{r['file']}") as data:
             data.seek(r["byte_offset"])
             assert np.array_equal(np.frombuffer(data.read(2048), "<u2"), read[r["slot"]])
+
+
+def test_decontamination_in_passes_is_that_in_one(spark, monkeypatch):
+    stock = [" ".join(f"stock{k}x{j}" for j in range(6)) for k in range(8)]
+    items = [(k, f"{stock[k % 8]} " + " ".join(f"own{k}x{j}" for j in range(9)) + f" {stock[(3 * k + 1) % 8]}") for k in range(40)] + [(40, None), (41, "..."), (42, "two words"), (43, items_text := "said twice over"), (44, items_text)]
+    rows = []
+    for k in range(40):
+        w = items[k][1].split()
+        rows += [(100 * cut + k, "before " + " ".join([*w[:cut], *stock[(k + cut) % 8].split()][: len(w)]) + " after") for cut in (9, 11, 13, 15, 17)]
+    rows += [(9000, "two words said twice over"), (9001, None)]
+    text, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = lambda: sorted(map(tuple, decontaminate.matches(text, benchmark).collect()))
+    kept = lambda: sorted(r[0] for r in decontaminate.drop_contaminated(text, benchmark).collect())
+    want, left = found(), kept()
+    assert len(want) > 40 and any(r[2] < 0.7 for r in want)
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 1500)
+    assert len(list(decontaminate.indexes(benchmark, decontaminate.RADIUS, decontaminate.LEAST))) > 2
+    assert found() == want and kept() == left
