@@ -6,14 +6,14 @@ text's vector bundles (adds) the vectors of all its trigrams, a language's proto
 labelled texts, and a text belongs to the language whose prototype has the largest cosine with it.
 
 Prototypes are trained on at most about ``PER_LANGUAGE`` labelled rows for each language, chosen by a hash of
-the row; every row of the table is then scored over its whole text.  A document is rejected if it has no letter,
+the row's id and text (the row of least hash, should that choose none); every row of the table is then scored over its whole text.  A document is rejected if it has no letter,
 or at least ``ENOUGH`` trigrams and a best cosine under ``LEAST`` (about three standard deviations of the cosine of
 unrelated vectors): it looks like none of the languages.  A shorter one says too little to be rejected.
 
 Defined results
 * letters are lower case; every run of other characters counts as one space, and each text is framed by spaces;
 * a null text, or one without a letter, has no language (null) and cosine 0 and is rejected;
-* rows without a language train nothing; without any labelled row nothing has a language and all is rejected;
+* a row that is repeated trains once; rows without a language train nothing; without any labelled row nothing has a language and all is rejected;
 * cosines are rounded to six places; of equal ones the first language in alphabetical order wins;
 * repeated rows are scored alike; other columns are kept as they are by ``drop_rejected``.
 """
@@ -149,12 +149,13 @@ def _blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 def prototypes(docs: DataFrame, per_language: int = PER_LANGUAGE, dimensions: int = DIMENSIONS, seed: int = SEED) -> tuple[list[str], np.ndarray]:
     """Languages in order and their unit prototypes."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rates = {r[0]: per_language / r[1] for r in labelled.groupBy("lang").count().collect()}
+    hashed = labelled.select("lang", "text", F.xxhash64("doc_id", "text", F.lit(seed)).alias("hash"))
+    draw = F.pmod("hash", F.lit(1 << 40)) / float(1 << 40)
+    rates = {r[0]: (per_language / max(1, r[1]), r[2]) for r in hashed.groupBy("lang").agg(F.least(F.count("*"), F.approx_count_distinct("hash")), F.min(draw)).collect()}
     if not rates:
         return [], np.zeros((0, dimensions))
-    rate = F.element_at(F.create_map(*[x for k, v in sorted(rates.items()) for x in (F.lit(k), F.lit(float(v)))]), F.col("lang"))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    sample = labelled.where(draw < rate).select("lang", "text").repartition(16, F.xxhash64("text"))
+    rate, first = (F.element_at(F.create_map(*[x for lang, v in sorted(rates.items()) for x in (F.lit(lang), F.lit(float(v[k])))]), F.col("lang")) for k in range(2))
+    sample = hashed.where((draw < rate) | (draw == first)).dropDuplicates(["lang", "hash"]).select("lang", "text").repartition(16, F.xxhash64("text"))
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, sums = encoder(dimensions, seed), {}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from marlspike.llm import common, decontaminate, feistel, queries
+from marlspike.llm import common, decontaminate, feistel, langid, queries
 
 
 def test_training_order_query_writes_its_shards(spark, sf):
@@ -41,3 +41,16 @@ def test_decontamination_in_passes_is_that_in_one(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "INDEX_BYTES", 1500)
     assert len(list(decontaminate.indexes(benchmark, decontaminate.RADIUS, decontaminate.LEAST))) > 2
     assert found() == want and kept() == left
+
+
+def test_language_of_rows_with_one_id(spark):
+    words = {"en": "the house and river with that have this", "de": "das haus und der fluss mit nicht werden", "xx": "zolu mipa krevo tandu"}
+    for doc in (None, 4):
+        rows = [(doc, f"{own} {own.split()[k % 4]} {'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyzabcd'[k // 100 % 10]}{'efghijklmn'[k // 1000]}", lang) for lang, own in words.items() for k in range(2500)]
+        table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        assert langid.prototypes(table)[0] == sorted(words)
+        assert langid.prototypes(table, per_language=0)[0] == sorted(words)
+        assert langid.drop_rejected(table).count() == len(rows)
+    once = spark.createDataFrame([(1, f"{own} {k}", lang) for lang, own in words.items() for k in range(3)], "doc_id long, text string, lang string")
+    again = once.unionAll(spark.createDataFrame([(1, f"{words['en']} 0", "en")] * 3000, once.schema))
+    assert np.array_equal(langid.prototypes(once)[1], langid.prototypes(again)[1])
