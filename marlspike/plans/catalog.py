@@ -145,6 +145,18 @@ def neighbours(turns: DataFrame, before: int = 2, after: int = 2) -> DataFrame:
 _over("chunk_neighbors", "conversations", neighbours, "SELECT conv_id, turn, string_agg(role, '|') OVER (PARTITION BY conv_id ORDER BY turn RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS around FROM conversations")
 
 
+def neighbour_texts(turns: DataFrame, before: int = 2, after: int = 2) -> DataFrame:
+    """Each row with the whole texts around it in order, the row's own flagged."""
+    frame = Window.partitionBy("conv_id").orderBy("turn").rangeBetween(-before, after)
+    found = turns.select("conv_id", "turn", F.array_sort(F.collect_list(F.struct("turn", "text")).over(frame)).alias("around"))
+    return found.withColumn("around", F.transform("around", lambda x: F.struct(x["turn"].alias("turn"), x["text"].alias("text"), (x["turn"] == F.col("turn")).alias("target"))))
+
+
+# chunk_neighbors and caption_postprocess are what their SQL says; these return the texts
+_over("chunk_neighbor_texts", "conversations", neighbour_texts)
+_over("caption_text", "documents", lambda t: t.select("doc_id", tx.caption(F.concat(F.lit("\x07 "), "text")).alias("caption")))
+
+
 def manifests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Documents as files on disk, and as stored chunks of an earlier state."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("/docs/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filePath"), F.sha2("text", 256).alias("contentHash"), F.lit("2024-01-01T00:00:00.000Z").alias("timestamp"))

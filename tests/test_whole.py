@@ -40,3 +40,14 @@ def test_ngrams_of_whole_documents(spark, sf):
     odd = [(1, None), (2, ""), (3, "a"), (4, "Ab"), (4, "Ab"), (None, "\U0001f600é\U0001f600é"), (5, "a\0b\0\0")]
     found = ngrams.postings(spark.createDataFrame(odd, "doc_id long, text string"), "doc_id", "text").collect()
     assert Counter(tuple(r) for r in found) == brute([(i, t.lower()) for i, t in odd if t is not None])
+
+
+def test_neighbours_and_captions_are_whole(spark, sf):
+    rows = [tuple(r) for r in catalog.table(spark, sf, "conversations").select("conv_id", "turn", "text").collect()]
+    key = lambda x: (x[0], x[1] is not None, x[1] or "")
+    want = sorted((c, n, tuple((m, t, m == n) for m, t in sorted(((m, t) for d, m, t in rows if d == c and abs(m - n) <= 2), key=key))) for c, n, _ in rows)
+    got = sorted((r["conv_id"], r["turn"], tuple(tuple(x) for x in r["around"])) for r in catalog.QUERIES["chunk_neighbor_texts"](spark, sf).collect())
+    assert got == want
+    short = {r["doc_id"]: r for r in catalog.QUERIES["caption_postprocess"](spark, sf).collect()}
+    for r in catalog.QUERIES["caption_text"](spark, sf).collect():
+        assert r["caption"] is None or (len(r["caption"]), r["caption"][-10:]) == (short[r["doc_id"]]["length"], short[r["doc_id"]]["end"])
