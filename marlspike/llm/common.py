@@ -74,6 +74,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shipped(spark: SparkSession, what: object, name: str) -> str:
+    """Put an object in the shared folder, for ``loaded`` in the workers; nothing is broadcast, whatever its size."""
+    path = work_path(spark, name)
+    files, at = filesystem(path)
+    files.create_dir(at, recursive=True)
+    with files.open_output_stream(posixpath.join(at, "object")) as out:
+        out.write(pickle.dumps(what, protocol=5))
+    return path
+
+
+def loaded(path: str) -> object:
+    files, at = filesystem(path)
+    with files.open_input_stream(posixpath.join(at, "object")) as data:
+        return pickle.loads(data.read())
+
+
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
     """Column names that ``df`` doesn't have in any spelling, one for each wanted name."""
     taken = {c.lower() for c in df.columns}

@@ -22,8 +22,8 @@ _rng = np.random.Generator(np.random.PCG64(20240229))
 BYTES = _rng.integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = U(0x9E3779B97F4A7C15 | 1)
 _BACK = U(pow(int(_BASE), -1, 1 << 64))
-_POWERS = np.concatenate([[U(1)], np.multiply.accumulate(np.full(PIECE + HUGE, _BASE))])
-_INVERSE = np.concatenate([[U(1)], np.multiply.accumulate(np.full(PIECE + HUGE, _BACK))])
+POWERS = np.concatenate([[U(1)], np.multiply.accumulate(np.full(PIECE + HUGE, _BASE))])
+INVERSE = np.concatenate([[U(1)], np.multiply.accumulate(np.full(PIECE + HUGE, _BACK))])
 
 SPACES = np.ones(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = False
@@ -75,9 +75,9 @@ def words(data: np.ndarray, offsets: np.ndarray, flags: np.ndarray) -> tuple[np.
         huge = e - s > HUGE
         last = int(e[-1]) if not huge[-1] else int(s[-1])
         part = data[base : base + last]
-        sums = np.concatenate([[U(0)], np.cumsum(BYTES[part] * _POWERS[: len(part)])])
+        sums = np.concatenate([[U(0)], np.cumsum(BYTES[part] * POWERS[: len(part)])])
         stop = np.where(huge, s, e)
-        h = mix((sums[stop] - sums[s]) * _INVERSE[s] ^ (e - s).astype(U))
+        h = mix((sums[stop] - sums[s]) * INVERSE[s] ^ (e - s).astype(U))
         for k in np.flatnonzero(huge):
             h[k] = xxhash.xxh64_intdigest(data[start[at + k] : end[at + k]].tobytes())
         hashes[at:to] = h
