@@ -5,7 +5,13 @@ equal minimizers, so each partition can be sorted on its own.  Consecutive windo
 segment of text.  Minimizers that only one document has go no further, and equal segments become one.  Each
 partition's segments, cut to the windows whose hash occurs twice among the segments of a minimizer (no other window
 can recur), form a text whose suffixes are sorted by external induction (``induced``); neighbours that have
-50 words in common are one passage, and belong to the document with the smallest ``doc_id``.
+50 words in common are one passage, and belong to the document with the smallest ``doc_id``.  The segments of a
+minimizer that outgrow ``_BATCH`` bytes are sorted uncut.
+
+Places don't travel with the text.  A task numbers its different segments and writes (number, document, place) for
+each occurrence beside (number, segment); sorting gives ranges of segments, which are joined to the places by number.  A
+number belongs to one task's batch, so a segment that a third of all documents have is spread over all tasks there, and reaches
+the sorter once a batch.
 
 A word is what stands between white space (space, tab, line ends, form feed); words are compared by 63-bit hashes.
 
@@ -20,12 +26,12 @@ Defined results
 
 from __future__ import annotations
 
-from array import array
-from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,30 +84,36 @@ def window_hashes(h: np.ndarray, window: int) -> np.ndarray:
 
 
 class Shard:
-    """The segments of one partition, in order of minimizer and text."""
+    """The segments of one partition, in order of minimizer and text.
+
+    ``found`` takes what is known so far: (number, entry, None, None, None) for the segments that make up an entry, and
+    (None, entry, first window, windows, owner) for what recurs of an entry.
+    """
 
-    def __init__(self, scratch, window: int, most: int):
+    def __init__(self, scratch, window: int, most: int, base: int = 0):
         self.scratch, self.window, self.most = scratch, window, most
         self.text = Text(scratch, most * 8)
-        self.starts, self.sizes = array("q"), array("q")
-        self.owner, self.low, self.high = array("q"), array("q"), array("q")
-        self.places = Log(scratch, most)
-        self.whole: list[tuple] = []  # ranges that are known without sorting
-        self.batch: list[tuple] = []
-        self.bytes, self.group, self.key, self.seg = 0, -1, None, None
-
-    def add(self, key: int, seg: bytes, places: list[tuple[int, int, int]]) -> None:
-        """places: (row, doc_id, first word)."""
-        if key == self.key and seg == self.seg:
-            self.batch[-1][2].extend(places)
-            return
-        if key != self.key:
+        self.sorted, self.spans = Log(scratch, most), Log(scratch, most)
+        self.batch: list[list] = []
+        self.found: list[tuple] = []
+        self.entry, self.base = -1, base
+        self.bytes, self.group, self.key, self.seg, self.parted = 0, -1, None, None, False
+
+    def add(self, key: int, seg: bytes, number: int, low: int, high: int, owner: int) -> None:
+        """A segment of the documents (their hashes) from ``low`` to ``high``, the least id of which is ``owner``."""
+        if key != self.key or seg != self.seg:
             if self.bytes > _BATCH:
+                self.parted = key == self.key
                 self.flush()
-            self.group += 1
-        self.key, self.seg = key, seg
-        self.batch.append((self.group, seg, places))
-        self.bytes += len(seg)
+            if key != self.key:
+                self.group, self.parted = self.group + 1, False
+            self.key, self.seg, self.entry = key, seg, self.entry + 1
+            self.batch.append([self.group, seg, low, high, owner, self.parted])
+            self.bytes += len(seg)
+        else:
+            last = self.batch[-1]
+            last[2:5] = min(last[2], low), max(last[3], high), min(last[4], owner)
+        self.found.append((number, self.base + self.entry, None, None, None))
 
     def flush(self) -> None:
         batch, self.batch, self.bytes = self.batch, [], 0
@@ -117,68 +129,76 @@ class Shard:
         order = np.lexsort((found, group))
         f, g = found[order], group[order]
         same = (f[1:] == f[:-1]) & (g[1:] == g[:-1])
-        again = np.zeros(len(at), bool)
+        again = np.repeat(np.array([x[5] for x in batch]), sizes)  # other segments of the minimizer were or will be elsewhere
+        if self.parted:
+            again |= group == self.group
         again[order[1:]] |= same
         again[order[:-1]] |= same
         ends = np.cumsum(sizes)
         hits = np.flatnonzero(again)
         low, high = np.searchsorted(hits, ends - sizes), np.searchsorted(hits, ends)
         symbols = h | U(1 << 63)
-        for k, (_, _, places) in enumerate(batch):
-            n, base = int(sizes[k]), int(ends[k] - sizes[k])
-            rows = [p[0] for p in places]
-            ids = [p[1] for p in places if p[1] is not None]
-            owner, least, most = min(ids, default=_NOBODY), min(rows), max(rows)
-            if low[k] == high[k]:
-                begin, end = n, n
-            else:
+        for k, (_, _, least, most, owner, _) in enumerate(batch):
+            n, base, entry = int(sizes[k]), int(ends[k] - sizes[k]), self.entry - len(batch) + 1 + k
+            begin = end = n
+            if low[k] < high[k]:
                 begin, end = int(hits[low[k]]) - base, int(hits[high[k] - 1]) - base + 1
-                self.starts.append(self.text.n)
-                self.sizes.append(end - begin)
-                self.owner.append(owner)
-                self.low.append(least)
-                self.high.append(most)
-                self.places.add([(r, i, a + begin) for r, i, a in places])
-                self.text.extend(symbols[first[k] + begin : first[k] + end + self.window - 1].tolist() + [len(self.starts)])
+                span = entry, self.text.n, begin, end - begin, owner, least, most
+                self.sorted.add(span)
+                self.spans.add(span)
+                self.text.extend(symbols[first[k] + begin : first[k] + end + self.window - 1].tolist() + [entry + 1])
             if least != most:
-                self.whole += [(r, i, a + x, y - x, owner) for x, y in ((0, begin), (end, n)) if y > x for r, i, a in places]
+                self.found += [(None, self.base + entry, x, y - x, owner) for x, y in ((0, begin), (end, n)) if y > x]
 
-    def ranges(self) -> Iterator[tuple[int, int | None, int, int, int]]:
-        """(row, doc_id, first word, windows, owner) of everything that recurs."""
-        self.flush()
-        yield from self.whole
-        marked = Sorter(self.scratch, self.most)
+    def ranges(self) -> Iterator[tuple[None, int, int, int, int]]:
+        """(None, entry, first window, windows, owner) of what recurs by sorting."""
+        placed = Sorter(self.scratch, self.most)
         cluster: list[int] = []
-
-        def close() -> None:
-            entries = [bisect_right(self.starts, p) - 1 for p in cluster]
-            if min(self.low[e] for e in entries) != max(self.high[e] for e in entries):
-                owner = min(self.owner[e] for e in entries)
-                for p, e in zip(cluster, entries):
-                    marked.add((e, p - self.starts[e], owner))
-
+        number = 0
         for position, shared in suffixes(self.text, self.window, self.scratch, self.most):
             if shared < self.window:
                 if len(cluster) > 1:
-                    close()
-                cluster = []
-            cluster.append(position)
-        if len(cluster) > 1:
-            close()
+                    number += 1
+                cluster = cluster[:0]
+            if len(cluster) == 1:
+                placed.add((cluster[0], number))
+            if cluster:
+                placed.add((position, number))
+            cluster = [position] if not cluster else [position, position]
+        # by position to entries, by cluster to owners, by entry to ranges
+        clustered = Sorter(self.scratch, self.most)
+        coming = iter(placed)
+        mark = next(coming, None)
+        for entry, start, _, size, owner, low, high in self.sorted.forwards():
+            while mark and mark[0] < start + size:
+                clustered.add((mark[1], entry, mark[0] - start, owner, low, high))
+                mark = next(coming, None)
+            while mark and mark[0] < start + size + self.window:  # the end of a segment and its mark
+                mark = next(coming, None)
+        marked = Sorter(self.scratch, self.most)
+        for _, same in groupby(clustered, key=lambda x: x[0]):
+            first = next(same)
+            owner, low, high = first[3:]
+            members = Log(self.scratch, self.most)
+            members.add(first[1:3])
+            for x in same:
+                owner, low, high = min(owner, x[3]), min(low, x[4]), max(high, x[5])
+                members.add(x[1:3])
+            if low != high:
+                for entry, place in members.forwards():
+                    marked.add((entry, place, owner))
         coming = iter(marked)
         mark = next(coming, None)
-        for e, places in enumerate(self.places.forwards()):
-            own = self.owner[e] if self.low[e] != self.high[e] else None
-            owners = [own] * self.sizes[e]
-            while mark and mark[0] == e:
+        for entry, _, offset, size, owner, low, high in self.spans.forwards():
+            owners = [owner if low != high else None] * size
+            while mark and mark[0] == entry:
                 owners[mark[1]] = mark[2]
                 mark = next(coming, None)
             begin = 0
-            for k in range(1, len(owners) + 1):
-                if k == len(owners) or owners[k] != owners[begin]:
+            for k in range(1, size + 1):
+                if k == size or owners[k] != owners[begin]:
                     if owners[begin] is not None:
-                        for r, i, a in places:
-                            yield r, i, a + begin, k - begin, owners[begin]
+                        yield None, self.base + entry, offset + begin, k - begin, owners[begin]
                     begin = k
 
 
@@ -193,69 +213,89 @@ def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int
                 data, base = texts(batch.column(0), False)
                 h, start, end, first = words(data, base, SPACES)
                 doc, key, at, n = segments(h, first, window, gram)
-                columns = [batch.column(1).take(pa.array(doc)), pa.array(key), pa.array((at - first[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array((start[at] - base[doc]).astype(np.int32)), pa.array((end[at + n + window - 2] - base[doc]).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "key", "at", "n", "begin", "end"])
-
-    cuts = written(source.select("text", "row").mapInArrow(cut, "row long, key long, at int, n int, begin int, end int"), "cuts")
-    same = Window.partitionBy("key")
-    shared_cuts = cuts.withColumns({"low": F.min("row").over(same), "high": F.max("row").over(same)}).where("low <> high")
-    wanted = shared_cuts.groupBy("row").agg(F.collect_list(F.struct("key", "at", "begin", "end")).alias("cuts"))
-    joined = source.join(wanted, "row").select("row", "doc_id", "text", "cuts")
-    kinds = "key long, seg binary, rows array<long>, ids array<long>, ats array<int>"
-    names = ["key", "seg", "rows", "ids", "ats"]
-    arrow = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+                columns = [batch.column(1).take(pa.array(doc)), batch.column(2).take(pa.array(doc)), pa.array(key), pa.array((at - first[doc]).astype(np.int32)), pa.array((start[at] - base[doc]).astype(np.int32)), pa.array((end[at + n + window - 2] - base[doc]).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "key", "at", "begin", "end"])
+
+    cuts = written(source.select("text", "row", "doc_id").mapInArrow(cut, "row long, doc_id long, key long, at int, begin int, end int"), "cuts")
+    keys = cuts.groupBy("key").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low <> high").select("key")
+    wanted = cuts.join(keys, "key", "left_semi").groupBy("row", "doc_id").agg(F.collect_list(F.struct("key", "at", "begin", "end")).alias("cuts"))
+    # rows are told apart by their hash and their id
+    joined = source.alias("s").join(wanted.alias("w"), (F.col("s.row") == F.col("w.row")) & F.col("s.doc_id").eqNullSafe(F.col("w.doc_id"))).select("s.row", "s.doc_id", "text", "cuts")
+    kinds = "number long, row long, doc_id long, at int, key long, seg binary, low long, high long, owner long"
+    names = [x.split()[0] for x in kinds.split(", ")]
+    arrow = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+
+    def table(columns: list) -> pa.RecordBatch:
+        n = max(len(c) for c in columns if c is not None)
+        return pa.RecordBatch.from_arrays([pa.nulls(n, k) if c is None else pa.array(c, k) for c, k in zip(columns, arrow)], names)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 36
         held: dict[tuple[int, bytes], list] = {}
         size = 0
 
         def flush() -> pa.RecordBatch:
-            rows = [(key, seg, [p[0] for p in places], [p[1] for p in places], [p[2] for p in places]) for (key, seg), places in held.items()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), arrow)] if rows else [pa.array([], k) for k in arrow], names)
+            rows = [(x[0], key, seg, *x[1:]) for (key, seg), x in held.items()]
+            n, key, seg, low, high, owner = zip(*rows) if rows else [()] * 6
+            return table([n, None, None, None, key, seg, low, high, owner])
 
         for whole in batches:
             for batch in row_slices(whole, "text"):
+                places = []
                 for row, doc, text, found in zip(*(batch.column(k).to_pylist() for k in (0, 1)), batch.column(2).cast(pa.large_binary()).to_pylist(), batch.column(3).to_pylist()):
+                    owner = _NOBODY if doc is None else doc
                     for c in found:
-                        seg = text[c["begin"] : c["end"]]
-                        if (c["key"], seg) not in held:
-                            held[c["key"], seg] = []
-                            size += len(seg) + 300
-                        held[c["key"], seg].append((row, doc, c["at"]))
-                    if size > 24 << 20:
-                        yield flush()
-                        held, size = {}, 0
+                        name = c["key"], text[c["begin"] : c["end"]]
+                        if (x := held.get(name)) is None:
+                            held[name] = x = [number, row, row, owner]
+                            number += 1
+                            size += len(name[1]) + 400
+                        else:
+                            x[1:] = min(x[1], row), max(x[2], row), min(x[3], owner)
+                        places.append((x[0], row, doc, c["at"]))
+                if places:
+                    yield table([*zip(*places), None, None, None, None, None])
+                if size > 24 << 20:
+                    yield flush()
+                    held, size = {}, 0
         yield flush()
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         home = Scratched(shared)
         try:
-            shard = Shard(home, window, most)
+            shard = Shard(home, window, most, TaskContext.get().partitionId() << 36)
             for batch in batches:
-                for key, seg, rows, ids, ats in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                    shard.add(key, seg, list(zip(rows, ids, ats)))
+                for row in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                    shard.add(*row)
+                yield _ranges(shard.found)
+            shard.flush()
+            yield _ranges(shard.found)
             held: list[tuple] = []
             for x in shard.ranges():
                 held.append(x)
                 if len(held) == 50_000:
                     yield _ranges(held)
-                    held = []
             yield _ranges(held)
         finally:
             home.close()
 
-    gathered = joined.mapInArrow(gather, kinds).repartition("key").sortWithinPartitions("key", "seg")
-    ranges = gathered.mapInArrow(sort, "row long, doc_id long, start long, n long, owner_id long").distinct()
-    own = Window.partitionBy("row", "owner_id").orderBy("start")
+    gathered = written(joined.mapInArrow(gather, kinds), "segments")
+    segs = gathered.where("key IS NOT NULL").select("key", "seg", "number", "low", "high", "owner").repartition("key").sortWithinPartitions("key", "seg")
+    found = written(segs.mapInArrow(sort, "number long, entry long, start long, n long, owner_id long"), "ranges")
+    ranges = found.where("number IS NOT NULL").select("number", "entry").join(found.where("number IS NULL").select("entry", "start", "n", "owner_id"), "entry").drop("entry")
+    places = gathered.where("key IS NULL").select("number", "row", "doc_id", "at").join(ranges, "number").select("row", "doc_id", (F.col("at") + F.col("start")).alias("start"), "n", "owner_id").distinct()
+    own = Window.partitionBy("row", "doc_id", "owner_id").orderBy("start")
     before = F.lag(F.col("start") + F.col("n")).over(own)
-    islands = ranges.withColumn("new", F.when(before >= F.col("start"), 0).otherwise(1)).withColumn("island", F.sum("new").over(own))
+    islands = places.withColumn("new", F.when(before >= F.col("start"), 0).otherwise(1)).withColumn("island", F.sum("new").over(own))
     spans = islands.groupBy("row", "doc_id", "owner_id", "island").agg(F.min("start").alias("word_start"), F.max(F.col("start") + F.col("n")).alias("stop"))
     return spans.select("doc_id", "word_start", (F.col("stop") - F.col("word_start") + window - 1).alias("n_words"), "owner_id")
 
 
 def _ranges(held: list[tuple]) -> pa.RecordBatch:
-    names = ["row", "doc_id", "start", "n", "owner_id"]
+    """The rows as a batch; the list is emptied."""
+    names = ["number", "entry", "start", "n", "owner_id"]
     rows = [(*x[:4], None if x[4] == _NOBODY else x[4]) for x in held]
+    held.clear()
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5, names)
 
 
