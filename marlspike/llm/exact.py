@@ -7,6 +7,11 @@ combines its own rows in a trie of bounded size, so that a text repeated a milli
 once a task.  A trie beyond its memory hands its largest subtree to a scratch file, along with every later
 key that falls into it, and inserts that file's keys on their own afterwards.
 
+Members never travel with their text.  A map task numbers the texts of its trie and writes (number, doc_id) for each row
+beside (number, text, least doc_id) for each text; the reducers' tries turn numbers into owners, and
+the members are joined to these by number.  A number belongs to one task, so a text that a third of all rows
+have is spread over all tasks in that join.
+
 Defined results
 * null texts are compared with nothing; the empty text is a text like any other;
 * the owner is the smallest ``doc_id`` with nulls last, then the row whose other columns have the smallest
@@ -20,12 +25,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Scratch, fresh, put_record, records, shared_dir
+from .common import Scratch, fresh, put_record, records, shared_dir, written
 
 MAP_BYTES = 32 << 20
 TRIE_BYTES = 96 << 20
@@ -68,14 +73,15 @@ def common(a: bytes, b: bytes) -> int:
 
 
 class Trie:
-    """merge(old, new) joins the values of equal keys; scratch() opens the task's scratch folder."""
+    """merge(old, new) joins the values of equal keys; scratch() opens the task's scratch folder; weigh(value) is a value's size."""
 
-    def __init__(self, merge: Callable, most: int, scratch: Callable[[], Scratch] | None = None):
-        self.root, self.merge, self.most, self.scratch = Node(b""), merge, most, scratch
+    def __init__(self, merge: Callable, most: int, scratch: Callable[[], Scratch] | None = None, weigh: Callable[[object], int] = lambda value: 0):
+        self.root, self.merge, self.most, self.scratch, self.weigh = Node(b""), merge, most, scratch, weigh
         self.size = 0
         self.spills: list[Spilled] = []
 
-    def insert(self, key: bytes, value: object) -> None:
+    def insert(self, key: bytes, value: object) -> object:
+        """The key's value from now on; None if it went to a scratch file."""
         node, at = self.root, 0
         while True:
             if at == len(key):
@@ -85,11 +91,11 @@ class Trie:
             if kid is None:
                 kid = node.kids[key[at]] = Node(key[at:])
                 self.size += len(kid.label) + NODE_BYTES
-                self._end(kid, value)
+                self._end(node := kid, value)
                 break
             if isinstance(kid, Spilled):
                 put_record(kid.stream, (key, value))
-                return
+                return None
             label = kid.label
             if key.startswith(label, at):
                 node, at = kid, at + len(label)
@@ -100,12 +106,17 @@ class Trie:
             fork.kids[label[n]] = kid
             self.size += NODE_BYTES
             node, at = fork, at + n
+        value = node.value
         if self.scratch and self.size > self.most:
             self._spill()
+        return value
 
     def _end(self, node: Node, value: object) -> None:
-        node.value = self.merge(node.value, value) if node.ends else value
-        node.ends = True
+        if node.ends:
+            self.size -= self.weigh(node.value)
+            value = self.merge(node.value, value)
+        node.value, node.ends = value, True
+        self.size += self.weigh(value)
 
     def items(self, node: Node | None = None, prefix: bytes = b"") -> Iterator[tuple[bytes, object]]:
         stack = [(node or self.root, prefix)]
@@ -120,7 +131,7 @@ class Trie:
         total, stack = 0, [node]
         while stack:
             x = stack.pop()
-            total += len(x.label) + NODE_BYTES
+            total += len(x.label) + NODE_BYTES + (self.weigh(x.value) if x.ends else 0)
             stack += [kid for kid in x.kids.values() if isinstance(kid, Node)]
         return total
 
@@ -149,7 +160,7 @@ class Trie:
         self.root, self.size = Node(b""), 0
         for spilled in self.spills:
             spilled.stream.close()
-            inner = Trie(self.merge, self.most, self.scratch)
+            inner = Trie(self.merge, self.most, self.scratch, self.weigh)
             with self.scratch().reader(spilled.path) as stream:
                 for key, value in records(stream):
                     inner.insert(key, value)
@@ -194,54 +205,124 @@ def _partitioned(df: DataFrame, text: str, length: str, digest: str) -> DataFram
     return df.withColumns({length: F.octet_length(text), digest: F.xxhash64(text)})
 
 
+class Text:
+    """A terminal's value: the smallest identifier, the number of the first combined text, its rows, and the class once there are two."""
+
+    __slots__ = ("least", "number", "rows", "group")
+
+    def __init__(self, least: int | None, number: int, rows: int):
+        self.least, self.number, self.rows, self.group = least, number, rows, -1
+
+    def __reduce__(self):
+        return _text, (self.least, self.number, self.rows, self.group)
+
+    def take(self, doc_id: int | None) -> None:
+        if doc_id is not None and (self.least is None or doc_id < self.least):
+            self.least = doc_id
+
+
+def _text(least: int | None, number: int, rows: int, group: int) -> Text:
+    made = Text(least, number, rows)
+    made.group = group
+    return made
+
+
 def duplicate_owners(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, owner_id) of every row whose text another row owns."""
-    length, digest, ids = "length", "digest", "ids"
     shared = shared_dir(docs.sparkSession)
-    keyed = _partitioned(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull()), "text", length, digest)
-    combined = T.StructType([T.StructField(ids, T.ArrayType(T.LongType())), T.StructField("text", T.StringType()), T.StructField(length, T.IntegerType()), T.StructField(digest, T.LongType())])
-    arrow = to_arrow_schema(combined)
+    keyed = _partitioned(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull()), "text", "length", "digest")
+    names, kinds = ["number", "doc_id", "rows", "text", "length", "digest"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
 
-    def join(a: tuple, b: tuple) -> tuple:
-        a[0].extend(b[0])
-        return a
+    def table(columns: list) -> pa.RecordBatch:
+        arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
+        arrays[3] = arrays[3].cast(pa.string(), safe=False)
+        return pa.RecordBatch.from_arrays(arrays, names)
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 36
+        trie, places = Trie(lambda a, b: a, MAP_BYTES), {}
+
         def flush() -> Iterator[pa.RecordBatch]:
-            rows = ({"text": key, ids: v[0], length: v[1], digest: v[2]} for key, v in trie.items())
-            yield from _binary(rows, arrow, "text")
+            held, size = [], 0
+            for key, value in trie.items():
+                held.append((value.number, value.least, value.rows, key, *places[value.number]))
+                size += len(key) + 64
+                if size > 8 << 20:
+                    yield table(list(zip(*held)))
+                    held, size = [], 0
+            if held:
+                yield table(list(zip(*held)))
 
-        trie = Trie(join, MAP_BYTES)
         for batch in batches:
-            for key, row in _rows(batch, "text"):
-                trie.insert(key, ([row["doc_id"]], row[length], row[digest]))
+            ids, lengths, digests = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "length", "digest"))
+            own = []
+            for (key, _), doc, length, digest in zip(_rows(batch.select(["text"]), "text"), ids, lengths, digests):
+                value = trie.insert(key, Text(doc, number, 0))
+                if value.number == number:
+                    places[number] = length, digest
+                    number += 1
+                value.take(doc)
+                value.rows += 1
+                own.append(value.number)
                 if trie.size > MAP_BYTES:
                     yield from flush()
-                    trie = Trie(join, MAP_BYTES)
+                    trie, places = Trie(lambda a, b: a, MAP_BYTES), {}
+            none = [None] * len(own)
+            yield table([own, ids, none, none, none, none])
         yield from flush()
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, links = TaskContext.get().partitionId() << 36, []
+
+        def join(a: Text, b: Text) -> Text:
+            nonlocal group
+            if a.group < 0:
+                a.group = group
+                group += 1
+                links.append((a.number, a.group))
+            links.append((b.number, a.group))
+            a.take(b.least)
+            return a
+
+        def linked() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64()), pa.nulls(len(links), pa.int64())], ["number", "group", "owner_id"])
+            links.clear()
+            return made
+
         home = Scratched(shared)
         trie = Trie(join, TRIE_BYTES, home)
         try:
             for batch in batches:
-                for key, row in _rows(batch, "text"):
-                    trie.insert(key, (row[ids],))
-            member, owner = [], []
-            for _, (found,) in trie.drain():
-                if len(found) > 1:
-                    least = min((x for x in found if x is not None), default=None)
-                    others = [x for x in found if x != least]
-                    member += others
-                    owner += [least] * len(others)
-                if len(member) > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(member, pa.int64()), pa.array(owner, pa.int64())], ["doc_id", "owner_id"])
-                    member, owner = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(member, pa.int64()), pa.array(owner, pa.int64())], ["doc_id", "owner_id"])
+                numbers, ids, rows = (batch.column(k).to_pylist() for k in range(3))
+                for key, number, doc, n in zip(batch.column(3).cast(pa.large_binary()).to_pylist(), numbers, ids, rows):
+                    trie.insert(key, Text(doc, number, n))
+                yield linked()
+            owners = []
+            for _, value in trie.drain():
+                if value.group < 0 and value.rows > 1:
+                    value.group = group
+                    group += 1
+                    links.append((value.number, value.group))
+                if value.group >= 0:
+                    owners.append((value.group, value.least))
+                if len(owners) > 100_000 or len(links) > 100_000:
+                    yield linked()
+                    yield _owners(owners)
+                    owners = []
+            yield linked()
+            yield _owners(owners)
         finally:
             home.close()
 
-    return keyed.mapInArrow(combine, combined).repartition(length, digest).mapInArrow(own, "doc_id long, owner_id long")
+    combined = written(keyed.mapInArrow(combine, "number long, doc_id long, rows long, text string, length int, digest long"), "texts")
+    found = written(combined.where("length IS NOT NULL").repartition("length", "digest").mapInArrow(own, "number long, group long, owner_id long"), "owners")
+    owners = found.where("number IS NULL").select("group", "owner_id")
+    links = found.where("number IS NOT NULL").select("number", "group").join(owners, "group").select("number", "owner_id")
+    return combined.where("length IS NULL").select("number", "doc_id").join(links, "number").where(~F.col("doc_id").eqNullSafe(F.col("owner_id"))).select("doc_id", "owner_id")
+
+
+def _owners(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64())], ["number", "group", "owner_id"])
 
 
 def _binary(rows: Iterator[dict], schema: pa.Schema, text: str) -> Iterator[pa.RecordBatch]:
@@ -258,11 +339,13 @@ def drop_exact_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     """``docs`` with one row for each distinct text, and every row without a text."""
     length, digest = fresh(docs, "length", "digest")
     shared = shared_dir(docs.sparkSession)
-    keyed = _partitioned(docs, text, length, digest)
-    spread = F.when(F.col(text).isNull(), F.xxhash64(doc_id)).otherwise(F.col(digest))
-    keyed = keyed.withColumn(digest, spread)
+    none = docs.where(F.col(text).isNull())
+    keyed = _partitioned(docs.where(F.col(text).isNotNull()), text, length, digest)
     arrow, final = to_arrow_schema(keyed.schema), to_arrow_schema(docs.schema)
 
+    def weigh(row: dict) -> int:
+        return 300 + sum(len(v) for v in row.values() if isinstance(v, (str, bytes, list, dict)))
+
     def rank(row: dict) -> tuple:
         x = row[doc_id]
         return x is None, 0 if x is None else x, repr(sorted((k, repr(v)) for k, v in row.items()))
@@ -275,23 +358,19 @@ def drop_exact_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     def sift(schema: pa.Schema, most: int, last: bool) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             home = Scratched(shared) if last else None
-            trie = Trie(least, most, home)
+            trie = Trie(least, most, home, weigh)
             names = [f.name for f in schema]
 
             def out(items: Iterator) -> Iterator[pa.RecordBatch]:
-                yield from _binary((row | {text: key} for key, row in items), schema, text)
+                yield from _binary(({k: row[k] for k in names if k != text} | {text: key} for key, row in items), schema, text)
 
             try:
                 for batch in batches:
-                    here = batch.column(batch.schema.get_field_index(text)).is_null()
-                    if here.true_count:
-                        yield pa.RecordBatch.from_arrays(batch.filter(here).select(names).columns, schema=schema)
-                        batch = batch.filter(pa.compute.invert(here))
                     for key, row in _rows(batch, text):
                         trie.insert(key, row)
                         if not last and trie.size > most:
                             yield from out(trie.items())
-                            trie = Trie(least, most)
+                            trie = Trie(least, most, None, weigh)
                 yield from out(trie.drain() if last else trie.items())
             finally:
                 if home:
@@ -300,4 +379,4 @@ def drop_exact_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
         return run
 
     combined = keyed.mapInArrow(sift(arrow, MAP_BYTES, False), keyed.schema)
-    return combined.repartition(length, digest).mapInArrow(sift(final, TRIE_BYTES, True), docs.schema)
+    return combined.repartition(length, digest).mapInArrow(sift(final, TRIE_BYTES, True), docs.schema).unionAll(none)
