@@ -5,7 +5,11 @@ the hashes of what it contains, white space aside.  Spark counts on how many dif
 subtree occurs.  Subtrees on at least ``FEWEST`` pages and ``SHARE`` of the host's pages are the site's template:
 they are deleted from every page of that host, and the rest becomes text, one line for each block.
 
+Pages are never shuffled.  What moves are hashes: for each task's share of the pages its different (host, hash)
+pairs, of which those that recur are written beside the pages and read again by the task that strips that share.
+
 Defined results
+* attributes count as they are written, so elements whose ids differ from page to page don't match (what is inside them may);
 * the host is the URL's authority in lower case without user, port and a leading www.; a page without one keeps all;
 * equal pages of a host (the same subtree as a whole) count as one page, so copies make no template;
 * only elements with visible text are counted; script, style, head and the like are never text;
@@ -17,20 +21,24 @@ Defined results
 from __future__ import annotations
 
 import html as entities
+import posixpath
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
+from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import filesystem, work_path, written
 
 FEWEST = 5
 SHARE = 0.02
-#: Up to so many hashes of eight bytes are broadcast; beyond them the pages are shuffled by host.
-BROADCAST_HASHES = 4_000_000
+#: Shares of the pages whose recurring hashes stand in one folder.
+_SHARES = 16
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|</([A-Za-z][^\s/>]*+)[^>]*+(?:>|\Z)|<([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -52,9 +60,11 @@ def elements(html: str) -> tuple[list[tuple[int, int, int]], int]:
     """(hash, start, end) of each element with visible text, inner ones first, and the hash of the page."""
     root = Element("", "", 0)
     stack, found = [root], []
+    open_: dict[str, list[int]] = {}  # where in the stack the elements of a tag are
 
     def close(end: int) -> None:
         x = stack.pop()
+        open_[x.tag].pop()
         body = "\x00".join(x.parts)
         h = xxhash.xxh64_intdigest(f"{x.tag}\x01{x.attributes}\x01{body}")
         if x.seen and x.tag not in _HIDDEN:
@@ -68,14 +78,14 @@ def elements(html: str) -> tuple[list[tuple[int, int, int]], int]:
             stack[-1].parts.append(words)
             stack[-1].seen = True
 
+    def innermost(tags: Iterable[str]) -> int:
+        return max((open_[t][-1] for t in tags if open_.get(t)), default=0)
+
     def leave(tags: set[str], fence: set[str], at: int) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                while len(stack) > k:
-                    close(at)
-                return
-            if stack[k].tag in fence:
-                return
+        k = innermost(tags)
+        if k > innermost(fence):
+            while len(stack) > k:
+                close(at)
 
     at = 0
     while m := _TOKEN.search(html, at):
@@ -91,6 +101,7 @@ def elements(html: str) -> tuple[list[tuple[int, int, int]], int]:
             if tag in _VOID:
                 stack[-1].parts.append(f"\x03{tag} {attributes}")
                 continue
+            open_.setdefault(tag, []).append(len(stack))
             stack.append(Element(tag, attributes, m.start()))
             if tag in _RAW:
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
@@ -98,13 +109,10 @@ def elements(html: str) -> tuple[list[tuple[int, int, int]], int]:
                 text(m.end(), stop)
                 close(at)
         elif m[1]:
-            tag = m[1].lower()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    while len(stack) > k + 1:
-                        close(m.start())
-                    close(at)
-                    break
+            if k := innermost([m[1].lower()]):
+                while len(stack) > k + 1:
+                    close(m.start())
+                close(at)
     text(at, len(html))
     while len(stack) > 1:
         close(len(html))
@@ -172,7 +180,8 @@ def _signed(x: int) -> int:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """page_id, url, host, html with the page's hash and the hashes and spans of its elements."""
+    """page_id, url, host, html with the page's hash, the hashes and spans of its elements and the number of the task."""
+    share = TaskContext.get().partitionId()
     for batch in batches:
         for a in range(0, batch.num_rows, 512):
             part = batch.slice(a, 512)
@@ -183,38 +192,61 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hashes.append([_signed(x) for x, _, _ in found])
                 starts.append([x for _, x, _ in found])
                 ends.append([x for _, _, x in found])
-            extra = [pa.array(roots, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*part.columns, *extra], names=[*part.schema.names, "root", "hashes", "starts", "ends"])
+            extra = [pa.array(roots, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array([share] * len(roots), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*part.columns, *extra], names=[*part.schema.names, "root", "hashes", "starts", "ends", "share"])
+
+
+def _recurring(read: DataFrame, fewest: int, share: float) -> str:
+    """Write the recurring (share, host, hash) of every task's share of the pages; the folder's path."""
+    sited = read.where("host IS NOT NULL")
+    kinds = written(sited.groupBy("host", "root").agg(F.first("hashes").alias("hashes")), "kinds")
+    sizes = kinds.groupBy("host").agg(F.count("*").alias("pages"))
+    counts = kinds.select("host", F.explode(F.array_distinct("hashes")).alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= fewest)
+    site = counts.join(sizes, "host").where(F.col("n") >= F.col("pages") * F.lit(share)).select("host", "hash")
+    own = sited.select("share", "host", F.explode(F.array_distinct("hashes")).alias("hash")).distinct()
+    path = work_path(read.sparkSession, "recurring")
+    found = own.join(site, ["host", "hash"], "left_semi").withColumn("folder", F.floor(F.col("share") / _SHARES).cast("int"))
+    found.repartition("folder").sortWithinPartitions("folder", "share", "host").write.partitionBy("folder").parquet(path)
+    return path
+
+
+def _template(path: str, share: int) -> dict[str, set[int]]:
+    """The recurring hashes of each host in one share of the pages."""
+    files, base = filesystem(path)
+    at = posixpath.join(base, f"folder={share // _SHARES}")
+    out: dict[str, set[int]] = {}
+    if files.get_file_info(at).type != pafs.FileType.NotFound:
+        found = pq.read_table(at, filesystem=files, columns=["host", "hash"], filters=[("share", "=", share)], partitioning=None)
+        for host, hash_ in zip(found.column(0).to_pylist(), found.column(1).to_pylist()):
+            out.setdefault(host, set()).add(hash_)
+    return out
 
 
 def extracted(pages: DataFrame, fewest: int = FEWEST, share: float = SHARE) -> DataFrame:
     """(page_id, url, text, n_removed, removed_chars) of every page."""
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host().alias("host"), "html")
-    read = written(source.mapInArrow(_read, "page_id long, url string, host string, html string, root long, hashes array<long>, starts array<int>, ends array<int>"), "read")
-    kinds = read.where("host IS NOT NULL").groupBy("host", "root").agg(F.first("hashes").alias("hashes"))
-    kinds = written(kinds, "kinds")
-    sizes = kinds.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = kinds.select("host", F.explode(F.array_distinct("hashes")).alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= fewest)
-    site = counts.join(sizes, "host").where(F.col("n") >= F.col("pages") * F.lit(share)).groupBy("host").agg(F.collect_set("hash").alias("recurring"))
-    site = written(site, "site")
-    total = site.agg(F.coalesce(F.sum(F.size("recurring")), F.lit(0))).first()[0]
-    joined = read.drop("root").join(F.broadcast(site) if total <= BROADCAST_HASHES else site, "host", "left").select("page_id", "url", "html", "hashes", "starts", "ends", "recurring")
+    read = written(source.mapInArrow(_read, "page_id long, url string, host string, html string, root long, hashes array<long>, starts array<int>, ends array<int>, share int"), "read")
+    path = _recurring(read, fewest, share)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, template = None, {}
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
                 texts, removed, chars = [], [], []
-                for html, h, s, e, recurring in zip(*(part.column(k).to_pylist() for k in range(2, 7))):
+                for html, h, s, e, own, site in zip(*(part.column(k).to_pylist() for k in range(2, 8))):
+                    if own != now:
+                        now, template = own, _template(path, own)
                     if html is None:
                         texts.append(None)
                         removed.append(None)
                         chars.append(None)
                         continue
-                    spans = outermost(list(zip(h, s, e)), set(recurring or ()))
+                    spans = outermost(list(zip(h, s, e)), template.get(site, set()))
                     texts.append(plain(html, spans))
                     removed.append(len(spans))
                     chars.append(sum(y - x for x, y in spans))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(removed, pa.int32()), pa.array(chars, pa.int64())], ["page_id", "url", "text", "n_removed", "removed_chars"])
 
-    return joined.mapInArrow(strip, "page_id long, url string, text string, n_removed int, removed_chars long")
+    columns = read.select("page_id", "url", "html", "hashes", "starts", "ends", "share", "host")
+    return columns.mapInArrow(strip, "page_id long, url string, text string, n_removed int, removed_chars long")
