@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import loaded, shipped
 from .words import LETTERS, U, row_slices, shingles, texts, words
 
 SHINGLE = 3
@@ -37,8 +38,8 @@ RADIUS = 11
 LEAST = 0.5
 BLOCKS = 4
 SEGMENT = 200_000
-#: Bytes of benchmark text that one broadcast index may hold; a larger benchmark is searched in several passes.
-INDEX_BYTES = 32 << 20
+#: Bytes of benchmark text that one index may hold; a larger benchmark is searched in several passes.
+INDEX_BYTES = 16 << 20
 _FLAGS_BITS = 22
 
 
@@ -51,6 +52,11 @@ def bits(h: np.ndarray) -> np.ndarray:
     return np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int8) * 2 - 1
 
 
+def weight(items: int, having: int) -> int:
+    """The rarity of a shingle, as a whole number so that sums don't depend on their order."""
+    return round(math.log(1 + items / having) * (1 << 32))
+
+
 class Index:
     """The benchmark's items, their shingles, weights and fingerprints."""
 
@@ -66,19 +72,19 @@ class Index:
                 self.sets.append(frozenset(shingles(h[a:b], min(SHINGLE, b - a)).tolist()))
         count = Counter(s for own in self.sets for s in own)
         total, self.common, self.often = shared or (len(self.ids), np.zeros(0, U), np.zeros(0, np.int64))
-        self.total, self.rare = total, math.log(1 + total)  # a shingle of one item weighs as much as an unseen one
-        self.weight = {s: math.log(1 + total / n) for s, n in count.items()} if shared is None else {s: self._rarity(s) for s in count}
+        self.total, self.rare = total, weight(total, 1)  # a shingle of one item weighs as much as an unseen one
+        self.weight = {s: weight(total, n) for s, n in count.items()} if shared is None else {s: self._rarity(s) for s in count}
         self.totals = [sum(self.weight[s] for s in own) for own in self.sets]
         self.size = np.array([len(w) for w in self.words], np.int64)
         self.prints = np.concatenate([fingerprints(bits(w).sum(axis=0, dtype=np.int32)[None]) for w in self.words]) if self.words else np.zeros(0, U)
-        # shingle -> items, in the order of the shingles' hashes, for each length of shingle that occurs
+        # shingle -> sizes of the items that have it, in the order of the shingles' hashes, for each length of shingle
         self.lookup = {}
         for k in sorted({min(SHINGLE, n) for n in self.size.tolist()}):
-            pairs = sorted((s, i) for i, own in enumerate(self.sets) if min(SHINGLE, self.size[i]) == k for s in own)
+            pairs = sorted({(s, int(self.size[i])) for i, own in enumerate(self.sets) if min(SHINGLE, self.size[i]) == k for s in own})
             keys = np.array([s for s, _ in pairs], U)
             flags = np.zeros(1 << _FLAGS_BITS, bool)
             flags[keys >> U(64 - _FLAGS_BITS)] = True
-            self.lookup[k] = flags, keys, np.array([i for _, i in pairs], np.int64)
+            self.lookup[k] = flags, keys, np.array([n for _, n in pairs], np.int64)
         width = 64 // BLOCKS
         self.width = width
         self.tables = []
@@ -108,21 +114,50 @@ class Index:
         pairs = np.unique(np.concatenate(rows) * max(1, len(self.prints)) + np.concatenate(found)) if rows else np.zeros(0, np.int64)
         return pairs // max(1, len(self.prints)), pairs % max(1, len(self.prints))
 
-    def _rarity(self, shingle: int) -> float:
+    def _rarity(self, shingle: int) -> int:
         """The weight by the counts of the whole benchmark."""
         at = int(np.searchsorted(self.common, U(shingle)))
-        return math.log(1 + self.total / int(self.often[at])) if at < len(self.common) and int(self.common[at]) == shingle else self.rare
+        return weight(self.total, int(self.often[at])) if at < len(self.common) and int(self.common[at]) == shingle else self.rare
 
     def similarity(self, window: np.ndarray, item: int) -> float:
-        k = min(SHINGLE, len(self.words[item]))
-        own, other = self.sets[item], set(shingles(window, min(k, len(window))).tolist())
-        both = sum(self.weight[s] for s in own & other)
-        return both / (self.totals[item] + sum(self.weight[s] if s in self.weight else self._rarity(s) for s in other - own))
+        return self.similarities(window, np.zeros(1, np.int64), len(window), item)[0]
+
+    def similarities(self, h: np.ndarray, starts: np.ndarray, size: int, item: int) -> list[float]:
+        """The item's similarity with the windows of ``size`` words at ``starts`` (ascending), which slide: what they share is counted once."""
+        k = min(SHINGLE, len(self.words[item]), size)
+        base, n = int(starts[0]), size - k + 1
+        run = shingles(h[base : int(starts[-1]) + size], k).tolist()
+        own, weights, known = self.sets[item], self.weight, {}
+        count: dict[int, int] = {}
+        both = other = low = high = 0
+        out = []
+        for start in (starts - base).tolist():
+            if start >= high:
+                count, both, other, low, high = {}, 0, 0, start, start
+            for s in run[low:start]:
+                count[s] -= 1
+                if not count[s]:
+                    if s in own:
+                        both -= weights[s]
+                    else:
+                        other -= known[s]
+            for s in run[high : start + n]:
+                count[s] = count.get(s, 0) + 1
+                if count[s] == 1:
+                    if s in own:
+                        both += weights[s]
+                    else:
+                        if s not in known:
+                            known[s] = weights[s] if s in weights else self._rarity(s)
+                        other += known[s]
+            low, high = start, start + n
+            out.append(both / (self.totals[item] + other))
+        return out
 
     def hits(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Windows (first word, words, text) of the given texts that share a shingle with an item of their size."""
-        starts, sizes, owners = [], [], []
-        for k, (flags, keys, items) in self.lookup.items():
+        begins, ends, sizes, owners = [], [], [], []
+        for k, (flags, keys, known) in self.lookup.items():
             s = shingles(h, k)
             at = np.flatnonzero(flags[s >> U(64 - _FLAGS_BITS)])
             low, high = np.searchsorted(keys, s[at]), np.searchsorted(keys, s[at], "right")
@@ -131,17 +166,24 @@ class Index:
             whole = at + k <= first[doc + 1]
             at, low, n, doc = at[whole], low[whole], n[whole], doc[whole]
             place = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at, doc, size = np.repeat(at, n), np.repeat(doc, n), self.size[items[place]]
-            begin = np.maximum(at + k - size, first[doc])
-            end = np.maximum(np.minimum(at, first[doc + 1] - size), begin)
-            m = end - begin + 1
-            starts.append(np.repeat(begin, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m))
-            sizes.append(np.repeat(size, m))
-            owners.append(np.repeat(doc, m))
-        if not starts:
+            at, doc, size = np.repeat(at, n), np.repeat(doc, n), known[place]
+            begins.append(np.maximum(at + k - size, first[doc]))
+            ends.append(np.maximum(np.minimum(at, first[doc + 1] - size), begins[-1]) + 1)
+            sizes.append(size)
+            owners.append(doc)
+        if not begins or not sum(map(len, begins)):
             return (np.zeros(0, np.int64),) * 3
-        both = np.unique(np.stack([np.concatenate(starts), np.concatenate(sizes), np.concatenate(owners)]), axis=1)
-        return both[0], both[1], both[2]
+        begin, end, size, doc = map(np.concatenate, (begins, ends, sizes, owners))
+        # intervals of windows of one size and text that meet become one, so that each window comes once
+        order = np.lexsort((begin, size, doc))
+        begin, end, size, doc = begin[order], end[order], size[order], doc[order]
+        group = np.cumsum(np.concatenate([[0], (size[1:] != size[:-1]) | (doc[1:] != doc[:-1])])) * (len(h) + 2)
+        reach = np.maximum.accumulate(end + group)
+        new = np.concatenate([[True], begin[1:] + group[1:] > reach[:-1]])
+        at = np.flatnonzero(new)
+        begin, size, doc = begin[at], size[at], doc[at]
+        n = reach[np.append(at[1:], len(new)) - 1] - group[at] - begin
+        return np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), np.repeat(size, n), np.repeat(doc, n)
 
     def search(self, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int, float, int, int]]:
         """(text, item, similarity, first word, words) of the best window for each text and item."""
@@ -168,12 +210,17 @@ class Index:
                 row, item = self.candidates(fingerprints(sums[e] - sums[s]))
                 row = row + w
                 fits = self.size[item] == size[row]
-                for r, i in zip(row[fits].tolist(), item[fits].tolist()):
-                    like = self.similarity(part[start[r] : end[r]], i)
-                    if like >= self.least:
-                        text = int(doc[r] + lo)
-                        found = (-like, int(start[r] + a - first[text]), int(end[r] - start[r]))
-                        best[text, i] = min(best.get((text, i), found), found)
+                row, item = row[fits], item[fits]
+                by = np.lexsort((start[row], doc[row], item))
+                row, item = row[by], item[by]
+                edges = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (doc[row[1:]] != doc[row[:-1]]), [True]])) if len(row) else []
+                for x, y in zip(edges, edges[1:]):
+                    own, i, n = row[x:y], int(item[x]), int(end[row[x]] - start[row[x]])
+                    text = int(doc[own[0]] + lo)
+                    for s, like in zip(start[own].tolist(), self.similarities(part, start[own], n, i)):
+                        if like >= self.least:
+                            found = (-like, int(s + a - first[text]), n)
+                            best[text, i] = min(best.get((text, i), found), found)
         return sorted((t, i, -like, at, n) for (t, i), (like, at, n) in best.items())
 
 
@@ -206,16 +253,27 @@ def indexes(benchmark: DataFrame, radius: int, least: float, item_id: str = "ite
         yield Index(sorted(((r[0], r[1]) for r in part.select(item_id, text).collect()), key=repr), radius, least, shared)
 
 
+_LOADED: dict[str, Index] = {}
+
+
+def index_of(path: str) -> Index:
+    """A shipped index, kept in the Python worker until the next one."""
+    if path not in _LOADED:
+        _LOADED.clear()
+        _LOADED[path] = loaded(path)
+    return _LOADED[path]
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, least: float = LEAST) -> DataFrame:
     """(doc_id, item_id, similarity, word_start, n_words) of every document and item that it contains."""
     out = None
     schema = "doc_id long, item_id long, similarity double, word_start long, n_words long"
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     for index in indexes(benchmark, radius, least):
-        held = docs.sparkSession.sparkContext.broadcast(index)
+        at = shipped(docs.sparkSession, index, "index")
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = held.value
+        def run(batches: Iterator[pa.RecordBatch], at=at) -> Iterator[pa.RecordBatch]:
+            index = index_of(at)
             for whole in batches:
                 for batch in row_slices(whole, "text"):
                     h, _, _, first = words(*texts(batch.column(1), True), LETTERS)
@@ -232,10 +290,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIU
     """``docs`` without the documents that contain an item."""
     schema, text = docs.schema, "text"
     for index in indexes(benchmark, radius, least):
-        held = docs.sparkSession.sparkContext.broadcast(index)
+        at = shipped(docs.sparkSession, index, "index")
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = held.value
+        def run(batches: Iterator[pa.RecordBatch], at=at) -> Iterator[pa.RecordBatch]:
+            index = index_of(at)
             for whole in batches:
                 for batch in row_slices(whole, text):
                     h, _, _, first = words(*texts(batch.column(batch.schema.get_field_index(text)), True), LETTERS)
