@@ -7,8 +7,9 @@ that, so tile pairs (and, inside a pair, blocks of rows) that far apart are skip
 exactly in numpy.  Documents connected by such pairs are a group; its smallest ``doc_id`` owns it.
 
 The comparison is quadratic in the number of distinct fingerprints by its nature.  It moves little: tiles are
-binary rows of 16 bytes a point, a Cartesian product streams them, and each pair of tiles returns a forest of its
-matches (one edge a point at most), however many pairs match.
+binary rows of 16 bytes a point, in groups of neighbours; each tile is sent to the tasks of the groups that its counts
+can reach, one task for a pair of groups, and each task returns a forest of its matches (one edge a point at most),
+however many pairs match.  Which groups a count can reach is a table of 129 counts.
 
 Defined results
 * a null text, and one without a word, has no fingerprint and belongs to no group;
@@ -36,6 +37,10 @@ from .words import LETTERS, U, mix, row_slices, texts, words
 
 RADIUS = 20
 TILE = 8192
+#: Tiles of a group at most; a task holds two groups.
+GROUP = 64
+#: Tasks that pairs of groups are spread over at most.
+_TASKS = 20_000
 _ROWS, _COLUMNS = 128, 4096
 _SALTS = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
 
@@ -162,33 +167,71 @@ def _points(prints: DataFrame, tile: int) -> tuple[DataFrame, int]:
     return tiles, n
 
 
+def _pairs(tiles: DataFrame, n: int, radius: int) -> DataFrame:
+    """``tiles`` with the pairs of groups (pair, group, other) that each of them takes part in, the pairs one after the other."""
+    parallel = tiles.sparkSession.sparkContext.defaultParallelism
+    groups = min(n, max(math.ceil(n / GROUP), math.ceil(math.sqrt(16 * parallel))))
+    size = math.ceil(n / groups)
+    tiles = tiles.withColumn("group", F.floor(F.shiftright("base", 36) / size).cast("int"))
+    highs = {r[0]: r[1] for r in tiles.groupBy("high").agg(F.min("group")).collect()}
+    lows = {r[0]: r[1] for r in tiles.groupBy("low").agg(F.max("group")).collect()}
+    first = [min((g for c, g in highs.items() if c >= k), default=groups) for k in range(129)]
+    last = [max((g for c, g in lows.items() if c <= k), default=-1) for k in range(129)]
+    reach = lambda table, at: F.element_at(F.array(*map(F.lit, table)), (at + 1).cast("int"))
+    others = F.sequence(reach(first, F.greatest(F.col("low") - radius, F.lit(0))), reach(last, F.least(F.col("high") + radius, F.lit(128))))
+    spread = tiles.withColumn("other", F.explode(others))
+    one, two = F.least("group", "other").cast("long"), F.greatest("group", "other").cast("long")
+    spread = spread.withColumn("pair", one * groups - (one * (one - 1) / 2).cast("long") + two - one)
+    tasks = min(groups * (groups + 1) // 2, _TASKS)
+    return spread.repartitionById(tasks, (F.col("pair") % tasks).cast("int")).sortWithinPartitions("pair", "base")
+
+
 def components(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """(a, b, root) of the fingerprints that have another one within the radius."""
     tiles, n = _points(prints, tile)
-    width = min(n, math.ceil(math.sqrt(8 * prints.sparkSession.sparkContext.defaultParallelism)))
-    left = tiles.repartition(width, "tile")
-    right = tiles.toDF(*[c + "_" for c in tiles.columns]).repartition(width, "tile_")
-    pairs = left.join(right, (F.col("tile") <= F.col("tile_")) & (F.col("low_") - F.col("high") <= radius) & (F.col("low") - F.col("high_") <= radius))
+    pairs = _pairs(tiles, n, radius).select("pair", "group", "other", "low", "high", "base", "a", "b")
+
+    def forest(held: list[tuple]) -> pa.RecordBatch:
+        """The matches between the tiles of two groups, or inside one."""
+        points = np.concatenate([x[3] for x in held], axis=1)
+        number = np.concatenate([x[2] + np.arange(x[3].shape[1]) for x in held])
+        begin = np.cumsum([0, *(x[3].shape[1] for x in held)])
+        inside = held[0][4]
+        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, (low, high, _, one, _, g) in enumerate(held):
+            for j in range(i, len(held)):
+                if (not inside and held[j][5] == g) or held[j][0] - high > radius or low - held[j][1] > radius:
+                    continue
+                m = one.shape[1]
+                own = Forest(m if i == j else m + held[j][3].shape[1])
+                for x, y in near(one, held[j][3], i == j, radius):
+                    own.join(x, y if i == j else y + m)
+                place = begin[i] + np.arange(m)
+                if i != j:
+                    place = np.concatenate([place, begin[j] + np.arange(held[j][3].shape[1])])
+                node = np.flatnonzero(own.label != np.arange(len(own.label)))
+                u.append(place[node])
+                v.append(place[own.label[node]])
+        whole = Forest(len(number))
+        whole.join(np.concatenate(u), np.concatenate(v))
+        node = np.flatnonzero(whole.label != np.arange(len(number)))
+        root = whole.label[node]
+        columns = [number[node], number[root], *(points[h, x].view(np.int64) for x in (node, root) for h in (0, 1))]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["u", "v", "ua", "ub", "va", "vb"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
         for batch in batches:
             for k in range(batch.num_rows):
-                row = {f: batch.column(j)[k] for j, f in enumerate(batch.schema.names)}
-                read = lambda name: np.frombuffer(row[name].as_buffer(), U)
-                one, two = np.stack([read("a"), read("b")]), np.stack([read("a_"), read("b_")])
-                same = row["tile"].as_py() == row["tile_"].as_py()
-                m = one.shape[1]
-                forest = Forest(m if same else m + two.shape[1])
-                for i, j in near(one, two, same, radius):
-                    forest.join(i, j if same else j + m)
-                node = np.flatnonzero(forest.label != np.arange(len(forest.label)))
-                root = forest.label[node]
-                number = row["base"].as_py() + np.arange(m)
-                points = one
-                if not same:
-                    number, points = np.concatenate([number, row["base_"].as_py() + np.arange(two.shape[1])]), np.concatenate([one, two], axis=1)
-                columns = [number[node], number[root], *(points[h, x].view(np.int64) for x in (node, root) for h in (0, 1))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["u", "v", "ua", "ub", "va", "vb"])
+                pair, group, other, low, high, base = (batch.column(j)[k].as_py() for j in range(6))
+                if pair != now and held:
+                    yield forest(held)
+                    held = []
+                now = pair
+                a, b = (np.frombuffer(batch.column(j)[k].as_buffer(), U) for j in (6, 7))
+                held.append((low, high, base, np.stack([a, b]), group == other, group))
+        if held:
+            yield forest(held)
 
     edges = written(pairs.mapInArrow(compare, "u long, v long, ua long, ub long, va long, vb long"), "near")
     names = edges.select(F.col("u").alias("node"), F.col("ua").alias("a"), F.col("ub").alias("b")).union(edges.select("v", "va", "vb")).distinct()
