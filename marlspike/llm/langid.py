@@ -6,9 +6,12 @@ text's vector bundles (adds) the vectors of all its trigrams, a language's proto
 labelled texts, and a text belongs to the language whose prototype has the largest cosine with it.
 
 Prototypes are trained on at most about ``PER_LANGUAGE`` labelled rows for each language, chosen by a hash of
-the row's id and text (the row of least hash, should that choose none); every row of the table is then scored over its whole text.  A document is rejected if it has no letter,
-or at least ``ENOUGH`` trigrams and a best cosine under ``LEAST`` (about three standard deviations of the cosine of
-unrelated vectors): it looks like none of the languages.  A shorter one says too little to be rejected.
+the row's id and text (the row of least hash, should that choose none); every row of the table is then scored over
+its whole text.  A document is rejected if it has no letter or its best cosine is under ``threshold`` of its number n
+of trigrams, ``least`` * (1 - sqrt(``EVEN`` / n)): the cosine of unrelated vectors has a standard deviation of
+1/sqrt(``DIMENSIONS``), of which ``LEAST`` is about three, while that of a text of the language rises with its length as its
+trigrams average out, by an error that shrinks with sqrt(n).  At ``EVEN`` trigrams a cosine of 0 is the limit, a shorter text
+is given more room and a longer one nears ``LEAST``; there is no length at which the rule changes.
 
 Defined results
 * letters are lower case; every run of other characters counts as one space, and each text is framed by spaces;
@@ -33,7 +36,8 @@ from .words import U, mix, slices
 DIMENSIONS = 1024
 PER_LANGUAGE = 1000
 LEAST = 0.1
-ENOUGH = 24
+#: Trigrams at which the threshold is 0.
+EVEN = 24
 SEED = 7
 _SLOTS = 128
 _CACHED = 1 << 15
@@ -129,6 +133,11 @@ class Encoder:
         return self._bound(grams, _SLOTS)
 
 
+def threshold(grams: np.ndarray, least: float = LEAST) -> np.ndarray:
+    """The least cosine at which a text of so many trigrams is accepted."""
+    return least * (1 - np.sqrt(EVEN / np.maximum(grams, 1)))
+
+
 _ENCODERS: dict[tuple[int, int], Encoder] = {}
 
 
@@ -196,7 +205,7 @@ def score(texts: list[str | None], names: list[str], profile: np.ndarray, least:
         cosine[a:b] = like[np.arange(b - a), top] * (norm > 0)
         rest = np.sort(like, axis=1)
         lead[a:b] = np.round(rest[:, -1] - (rest[:, -2] if len(names) > 1 else 0), 6) * (norm > 0)
-        keep[a:b] = (grams > 0) & ((grams < ENOUGH) | (cosine[a:b] >= least))
+        keep[a:b] = (grams > 0) & (cosine[a:b] >= threshold(grams, least))
     return best, cosine + 0.0, lead + 0.0, keep
 
 

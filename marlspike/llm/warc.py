@@ -2,7 +2,8 @@
 
 Each file begins with a skippable frame that holds a Zstandard dictionary, followed by one Zstandard frame for each
 record: first a warcinfo record, then one resource record for each page.  The dictionary is built from the
-records of the very file, all of them; a file is closed at ``FILE_BYTES`` of records, which bounds what is held in
+records of the very file, all of them: trained, or raw content from the records' beginnings where they are too few or
+too small for training; a file is closed at ``FILE_BYTES`` of records, which bounds what is held in
 memory.  Every record can be read on its own, given the dictionary: the index has file, offset and length.
 
 Every task writes its own files under names made of its partition's number, first under another name and then moved,
@@ -39,7 +40,6 @@ DICTIONARY_BYTES = 112_640
 LEVEL = 3
 DATE = "1970-01-01T00:00:00Z"
 SKIPPABLE = 0x184D2A5D
-_FEWEST = 8
 
 
 def record(kind: str, uri: str | None, identity: str, block: bytes, mime: str, date: str = DATE) -> tuple[bytes, str]:
@@ -58,20 +58,20 @@ def target(url: str | None, page_id: int | None) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
 
 
-def dictionary(blocks: list[bytes], size: int = DICTIONARY_BYTES) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary of all blocks; None if they are too few or too small for one."""
-    if len(blocks) < _FEWEST:
-        return None
+def dictionary(blocks: list[bytes], size: int = DICTIONARY_BYTES) -> zstandard.ZstdCompressionDict:
+    """A dictionary of all blocks: a trained one, or where they are too few or too small to train one, what they begin with."""
+    size = min(size, max(256, sum(map(len, blocks)) // 8))
     try:
-        return zstandard.train_dictionary(min(size, max(256, sum(map(len, blocks)) // 8)), blocks, k=200, d=8, level=LEVEL)
+        return zstandard.train_dictionary(size, blocks, k=200, d=8, level=LEVEL)
     except zstandard.ZstdError:
-        return None
+        each = max(64, size // len(blocks))
+        return zstandard.ZstdCompressionDict(b"".join(x[:each] for x in reversed(blocks))[-size:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 def pack(blocks: list[bytes], size: int = DICTIONARY_BYTES, level: int = LEVEL) -> tuple[bytes, list[tuple[int, int]]]:
     """A file's bytes, and offset and length of each record's frame."""
     made = dictionary(blocks, size)
-    held = made.as_bytes() if made else b""
+    held = made.as_bytes()
     out, at, places = [struct.pack("<II", SKIPPABLE, len(held)) + held], 8 + len(held), []
     packer = zstandard.ZstdCompressor(level=level, dict_data=made, write_checksum=True, write_content_size=True)
     for block in blocks:
@@ -159,7 +159,7 @@ def open_dictionary(data: bytes) -> tuple[zstandard.ZstdDecompressor, int]:
     magic, n = struct.unpack("<II", data[:8])
     if magic != SKIPPABLE:
         raise ValueError("the file doesn't begin with a dictionary frame")
-    return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8 : 8 + n]) if n else None), 8 + n
+    return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8 : 8 + n])), 8 + n
 
 
 def unpack(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
