@@ -30,7 +30,7 @@ def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.scored(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return urlfilter.scored(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), urlfilter.SEEDS)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

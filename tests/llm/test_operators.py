@@ -374,13 +374,30 @@ def test_url_scores_are_the_sqls(spark, sf):
 def test_url_filter_of_odd_rows(spark):
     pages = spark.createDataFrame([(1, None), (2, ""), (3, "https://casino.example/1"), (3, "https://casino.example/1"), (4, "https://good.example/7"), (None, "https://good.example/8")], "page_id long, url string")
     labels = spark.createDataFrame([(7, 1, 0), (8, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
-    got = urlfilter.scored(pages, labels).collect()
+    got = urlfilter.scored(pages, labels, urlfilter.SEEDS).collect()
     assert len(got) == 6
     by = {r["page_id"]: r for r in got}
     assert by[1]["score"] is None and by[1]["kept"] and not by[3]["kept"] and by[4]["kept"] and by[None]["kept"]
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert urlfilter.scored(pages, none).first()["threshold"] == 0
-    assert urlfilter.scored(pages.limit(0), none).count() == 0
+    assert urlfilter.scored(pages, none, urlfilter.SEEDS).first()["threshold"] == 0
+    assert urlfilter.scored(pages.limit(0), none, urlfilter.SEEDS).count() == 0
+    hosts = {"downloads-x.example": False, "alphabets.example": False, "free-bets.example": True, "ads-x.example": True, "www.casino-win.example": True}
+    rows = spark.createDataFrame([(k, f"http://{h}/") for k, h in enumerate(hosts)], "page_id long, url string")
+    marked = {r["page_id"]: r["rejected"] for r in urlfilter.labelled(rows, labels, urlfilter.SEEDS).collect()}
+    assert [marked[k] for k in range(5)] == list(hosts.values())
+
+
+def test_url_filter_on_hosts_of_a_seed_left_out_and_clashing_columns(spark):
+    rng = random.Random(9)
+    word = lambda kinds: "".join(rng.choices(kinds, k=6))
+    good = [(k, f"https://news.{word('abcdel')}.example/{k}/{word('aeilnrst')}") for k in range(400)]
+    bad = [(1000 + k, f"http://{seed}-{word('xqzjvk')}.example/?{word('xqzjvk')}={k}") for k, seed in enumerate(["casino", "pills", "spam", "bets"] * 60)]
+    pages = spark.createDataFrame([(*r, 0.5, True) for r in good + bad], "page_id long, url string, score double, kept boolean")
+    labels = spark.createDataFrame([(k, 1, 0, "u") for k in range(400)], "doc_id long, quality int, toxic int, url string")
+    out = {r["page_id"]: r for r in urlfilter.scored(pages, labels, ("casino", "pills", "spam")).collect()}
+    assert np.mean([out[i]["kept"] for i, _ in good]) > 0.97
+    left_out = [i for i, u in bad if "//bets" in u]
+    assert len(left_out) == 60 and np.mean([out[i]["kept"] for i in left_out]) < 0.1
 
 
 # 10: WARC
