@@ -61,3 +61,38 @@ def postings(t: DataFrame, key: str, text: str) -> DataFrame:
 
     source = t.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias(key), F.lower(text).alias("low"))
     return source.mapInArrow(run, f"{key} long, gram string, n long")
+
+
+def length(low: F.Column) -> F.Column:
+    """How many runs of two and three characters a lower-case text has."""
+    return (F.greatest(F.length(low) - 1, F.lit(0)) + F.greatest(F.length(low) - 2, F.lit(0))).cast("long")
+
+
+def chunk_postings(chunks: DataFrame, *kept: str) -> DataFrame:
+    """(filePath, chunkIndex, gram, tf, dl and the ``kept`` columns of type int) of every chunk with a text, grams counted at all positions."""
+    names = ["filePath", "chunkIndex", *kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made() -> pa.RecordBatch:
+            owner = pa.array(np.repeat(np.arange(len(grams)), [len(g) for g in grams]))
+            own = pa.Table.from_batches([b.slice(k, 1) for b, k in rows]).combine_chunks().to_batches()[0]
+            return pa.RecordBatch.from_arrays([*(own.column(c).take(owner) for c in names), pa.concat_arrays(grams), pa.array(np.concatenate(counts)), own.column("dl").take(owner)], [*names, "gram", "tf", "dl"])
+
+        rows, grams, counts, held = [], [], [], 0
+        for batch in batches:
+            for k, low in enumerate(batch.column(batch.num_columns - 1)):
+                found, n = counted(low.as_py())
+                if len(n):
+                    rows.append((batch, k))
+                    grams.append(found)
+                    counts.append(n)
+                    held += len(n)
+                if held >= ROWS:
+                    yield made()
+                    rows, grams, counts, held = [], [], [], 0
+        if rows:
+            yield made()
+
+    low = F.lower("text")
+    source = chunks.where("text IS NOT NULL").select(*names, length(low).alias("dl"), low.alias("low"))
+    return source.mapInArrow(run, "filePath string, chunkIndex int, " + "".join(f"{c} int, " for c in kept) + "gram string, tf long, dl long")

@@ -8,8 +8,11 @@ task), and the scores are one more scan of the candidates' files.  Ties go by fi
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import re
+import warnings
+from collections.abc import Callable, Iterable, Sequence
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +20,7 @@ from ..functions.text import gram_count, query_grams
 from ..functions.vectors import distance, literal
 
 KEY = ["filePath", "chunkIndex"]
+HITS = "filePath string, chunkIndex int, bm25 double"
 K1, B = 1.2, 0.75
 WEIGHT = 0.6
 MOST = 20
@@ -38,7 +42,7 @@ def nearest(chunks: DataFrame, vector: Sequence[float], limit: int = 10, scope:
         raise ValueError(f"limit must be from 1 to {MOST}, not {limit}")
     if scope:
         chunks = chunks.where(in_scope(F.col("filePath"), scope))
-    scored = chunks.withColumn("score", distance(F.col("vector"), literal(vector))).drop("vector")
+    scored = chunks.where("vector IS NOT NULL").withColumn("score", distance(F.col("vector"), literal(vector))).drop("vector")
     if max_distance is not None:
         scored = scored.where(F.col("score") < max_distance)
     return scored.orderBy("score", *KEY).limit(2 * limit)
@@ -74,6 +78,15 @@ def bm25(chunks: DataFrame, text: str, files: list[str] | None = None) -> DataFr
     return held.where(F.exists("tf", lambda t: t > 0)).crossJoin(F.broadcast(stats)).select(*KEY, score.alias("bm25"))
 
 
+def bm25_of_postings(postings: DataFrame, rows: int, mean: float, files: list[str] | None = None) -> DataFrame:
+    """As ``bm25``, from the index: ``postings`` (filePath, chunkIndex, gram, tf, dl) of the query's grams, ``rows`` indexed rows of ``mean`` length."""
+    df = postings.groupBy("gram").agg(F.count("*").alias("df"))  # a row for each gram of the query
+    held = postings if files is None else postings.where(F.col("filePath").isin(files))
+    idf = F.log(1 + (rows - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / max(mean, 1e-9)))
+    return held.join(F.broadcast(df), "gram").groupBy(*KEY).agg(F.sum(idf * gain).alias("bm25"))
+
+
 def boosted(ranked: DataFrame, hits: DataFrame, weight: float) -> DataFrame:
     """Score over 1 + weight times the hit's share of the best hit; the best counts even if it isn't ranked."""
     share = hits.withColumn("share", F.coalesce(F.col("bm25") / F.nullif(F.max("bm25").over(Window.partitionBy()), F.lit(0.0)), F.lit(0.0))).drop("bm25")
@@ -90,14 +103,30 @@ def best_files(ranked: DataFrame, most: int | None) -> DataFrame:
     return first.withColumn("place", F.dense_rank().over(Window.orderBy("best", "filePath"))).where(F.col("place") <= most).drop("best", "lead", "place")
 
 
-def search(chunks: DataFrame, vector: Sequence[float], text: str = "", limit: int = 10, scope: str | Iterable[str] | None = None, max_distance: float | None = None, grouping: str | None = None, weight: float = WEIGHT, max_files: int | None = None) -> DataFrame:
-    """The ``limit`` best rows, ascending by score."""
+def search(chunks: DataFrame, vector: Sequence[float], text: str = "", limit: int = 10, scope: str | Iterable[str] | None = None, max_distance: float | None = None, grouping: str | None = None, weight: float = WEIGHT, max_files: int | None = None, index: Callable[[list[str]], tuple[DataFrame, int, float]] | None = None) -> DataFrame:
+    """The ``limit`` best rows, ascending by score.
+
+    ``index`` gives the postings of a query's grams (``Store.postings``); without it the texts are scanned.  If the
+    keyword part fails, the vectors' order stands and a warning says so.
+    """
     ranked = grouped(nearest(chunks, vector, limit, scope, max_distance), grouping)
     if text.strip() and weight > 0:
         # at most 40 rows: taken to the driver, the vectors are scanned once and the files' names reach the text's scan
         rows = ranked.collect()
         ranked = chunks.sparkSession.createDataFrame(rows, ranked.schema)
+        files = sorted({r["filePath"] for r in rows if r["filePath"] is not None})
         if rows:
-            found = bm25(chunks, text, sorted({r["filePath"] for r in rows if r["filePath"] is not None}))
-            ranked = boosted(ranked, found.orderBy(F.desc("bm25"), *KEY).limit(2 * len(rows)), weight)
+            try:
+                grams = query_grams(text)
+                found = bm25_of_postings(*index(grams), files) if index and grams else bm25(chunks, text, files)
+                hits = found.orderBy(F.desc("bm25"), *KEY).limit(2 * len(rows)).collect()
+            except (PySparkException, OSError) as e:
+                warnings.warn(f"keywords are left out of this query: {str(e).splitlines()[0]}", stacklevel=2)
+            else:
+                ranked = boosted(ranked, chunks.sparkSession.createDataFrame(hits, HITS), weight)
     return best_files(ranked, max_files).orderBy("score", *KEY).limit(limit)
+
+
+def not_absolute(scopes: str | Iterable[str] | None) -> list[str]:
+    """Scopes that match nothing because they aren't absolute paths."""
+    return [s for s in ([scopes] if isinstance(scopes, str) else scopes or []) if not re.match(r"[/\\]|[A-Za-z]:[/\\]", s)]

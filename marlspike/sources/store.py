@@ -1,91 +1,181 @@
-"""The chunk table as immutable Parquet snapshots with an atomic pointer.
+"""The chunk table and its n-gram index as immutable Parquet folders under a manifest with an atomic pointer.
 
-A commit writes a new folder and then moves the pointer, so readers see one state or the next and a failed
-commit leaves the old one.  The folder must be a path that all executors share.
+Rows are in ``BUCKETS`` buckets by a checksum of their path.  A commit writes the buckets that it touches into new folders
+(an insertion only adds a folder to them), then a manifest that lists every bucket's folders, and then moves
+the pointer; readers see one state or the next and a failed commit leaves the old one.  Beside each bucket's rows are
+their postings, by a checksum of the gram, so that a query reads the lists of its own grams and no text; the manifest
+has the number of indexed rows and the sum of their lengths.
+
+The folder may be on any file system that Spark and pyarrow both know; a path without a scheme is a local one.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import shutil
+import posixpath
 import time
 import uuid
+import zlib
 from collections.abc import Iterable
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import ngrams
 from ..operators.search import in_scope
 
 _META = T.StructType([T.StructField("fileName", T.StringType()), T.StructField("fileSize", T.LongType()), T.StructField("fileType", T.StringType())])
 _KINDS = [("id", T.StringType()), ("filePath", T.StringType()), ("chunkIndex", T.IntegerType()), ("text", T.StringType()), ("vector", T.ArrayType(T.FloatType())), ("metadata", _META), ("fileTitle", T.StringType()), ("contentHash", T.StringType()), ("timestamp", T.StringType())]
 SCHEMA = T.StructType([T.StructField(name, kind) for name, kind in _KINDS])
-#: Seconds that a replaced snapshot stays for readers that are under way.
+POSTINGS = T.StructType([T.StructField("filePath", T.StringType()), T.StructField("chunkIndex", T.IntegerType()), T.StructField("gram", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("dl", T.LongType())])
+#: Seconds that a replaced folder stays for readers that are under way.
 GRACE = 60.0
-#: Rows of one file of the compacted table.
-FILE_ROWS = 1_000_000
+#: Buckets of a new store; a large one takes more, as a deletion rewrites whole buckets.
+BUCKETS = 16
+#: Folders of one bucket's postings.
+PARTS = 16
 
 
-class Store:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, os.path.abspath(path)
+def bucket_of(path: str, buckets: int) -> int:
+    return zlib.crc32(path.encode()) % buckets
 
-    @property
-    def _pointer(self) -> str:
-        return os.path.join(self.path, "_CURRENT")
 
-    def version(self) -> str | None:
+def _checksum(column: str, n: int) -> F.Column:
+    return F.pmod(F.crc32(F.encode(F.coalesce(column, F.lit("")), "UTF-8")), F.lit(n)).cast("int")
+
+
+class Store:
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.buckets = spark, buckets
+        self.path = path.rstrip("/") if "://" in path else "file://" + os.path.abspath(path)
+        self.files_, self.base = pafs.FileSystem.from_uri(self.path)
+
+    def _bytes(self, name: str) -> bytes | None:
         try:
-            with open(self._pointer) as f:
-                return f.read().strip()
+            with self.files_.open_input_stream(posixpath.join(self.base, name)) as data:
+                return data.read()
         except FileNotFoundError:
             return None
 
-    def read(self) -> DataFrame:
-        """The current rows; columns that an older snapshot lacks are null, empty titles and hashes too."""
+    def _put(self, name: str, data: bytes) -> None:
+        """Write under another name and move, so that no reader sees half of it."""
+        self.files_.create_dir(self.base, recursive=True)
+        hidden = posixpath.join(self.base, f".{uuid.uuid4().hex}")
+        with self.files_.open_output_stream(hidden) as out:
+            out.write(data)
+        self.files_.move(hidden, posixpath.join(self.base, name))
+
+    def version(self) -> str | None:
+        now = self._bytes("_CURRENT")
+        return now.decode().strip() if now else None
+
+    def manifest(self) -> dict:
         now = self.version()
-        if now is None:
+        return json.loads(self._bytes(now)) if now else {"buckets": self.buckets, "rows": {}, "grams": {}, "totals": {}}
+
+    def _rows(self, folders: list[str]) -> DataFrame:
+        """Rows of some folders; columns that an older folder lacks are null, empty titles and hashes too."""
+        if not folders:
             return self.spark.createDataFrame([], SCHEMA)
-        rows = self.spark.read.schema(SCHEMA).parquet(os.path.join(self.path, now))
+        rows = self.spark.read.schema(SCHEMA).parquet(*[f"{self.path}/{f}" for f in folders])
         return rows.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in ("fileTitle", "contentHash")})
 
-    def commit(self, rows: DataFrame) -> None:
-        name = f"v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
-        rows.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMA]).write.option("compression", "zstd").parquet(os.path.join(self.path, name))
-        hidden = os.path.join(self.path, f".{name}")
-        with open(hidden, "w") as f:
-            f.write(name)
-        os.replace(hidden, self._pointer)
+    def read(self) -> DataFrame:
+        return self._rows([f for own in self.manifest()["rows"].values() for f in own])
+
+    def of_file(self, path: str) -> DataFrame:
+        """The rows of exactly this path, from its bucket alone."""
+        m = self.manifest()
+        return self._rows(m["rows"].get(str(bucket_of(path, m["buckets"])), [])).where(F.col("filePath") == path)
+
+    def postings(self, grams: list[str]) -> tuple[DataFrame, int, float]:
+        """(filePath, chunkIndex, gram, tf, dl) of the rows that have the grams, how many rows are indexed and their mean length."""
+        m = self.manifest()
+        n, total = (sum(x[k] for x in m["totals"].values()) for k in range(2))
+        parts = {f"part={zlib.crc32(g.encode()) % PARTS}" for g in grams}
+        folders = [f"{self.path}/{f}" for own in m["grams"].values() for f in own if f.rsplit("/", 1)[1] in parts]
+        found = self.spark.read.schema(POSTINGS).parquet(*folders) if folders else self.spark.createDataFrame([], POSTINGS)
+        return found.where(F.col("gram").isin(grams)), n, total / max(1, n)
+
+    def _write(self, rows: DataFrame, touched: set[int] | None, add: bool) -> None:
+        """``rows`` instead of (or, to ``add``, beside) what the touched buckets have, in one commit; None: all buckets."""
+        m = self.manifest()
+        touched = set(range(m["buckets"])) if touched is None else touched
+        name = f"c-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+        fields = rows.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMA])
+        spread = fields.withColumn("bucket", _checksum("filePath", m["buckets"])).hint("rebalance", "bucket").sortWithinPartitions("bucket", "filePath", "chunkIndex")
+        spread.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/{name}/rows")
+        folder = lambda kind, b: f"{name}/{kind}/bucket={b}"
+        there = lambda kind: {b for b in touched if self.files_.get_file_info(posixpath.join(self.base, folder(kind, b))).type != pafs.FileType.NotFound}
+        made = there("rows")
+        if made:
+            new = self.spark.read.schema(T.StructType([*SCHEMA.fields, T.StructField("bucket", T.IntegerType())])).parquet(f"{self.path}/{name}/rows").where("text IS NOT NULL")
+            listed = ngrams.chunk_postings(new, "bucket").withColumn("part", _checksum("gram", PARTS))
+            listed.hint("rebalance", "bucket", "part").sortWithinPartitions("bucket", "part", "gram").write.option("compression", "zstd").partitionBy("bucket", "part").parquet(f"{self.path}/{name}/grams")
+            totals = {r[0]: (r[1], r[2]) for r in new.groupBy("bucket").agg(F.count("*"), F.sum(ngrams.length(F.lower("text")))).collect()}
+        parts = {b: sorted(x.base_name for x in self.files_.get_file_info(pafs.FileSelector(posixpath.join(self.base, folder("grams", b)))) if x.type == pafs.FileType.Directory) for b in (there("grams") if made else ())}
+        for b in touched:
+            key = str(b)
+            old = {k: m[k].get(key, [] if k != "totals" else [0, 0]) if add else ([] if k != "totals" else [0, 0]) for k in ("rows", "grams", "totals")}
+            n, dl = totals.get(b, (0, 0)) if made else (0, 0)
+            new_ = {"rows": old["rows"] + [folder("rows", b)] * (b in made), "grams": old["grams"] + [f"{folder('grams', b)}/{x}" for x in parts.get(b, ())], "totals": [old["totals"][0] + n, old["totals"][1] + int(dl or 0)]}
+            for k, v in new_.items():
+                if new_["rows"]:
+                    m[k][key] = v
+                else:
+                    m[k].pop(key, None)
+        manifest = f"m-{name[2:]}.json"
+        self._put(manifest, json.dumps(m).encode())
+        self._put("_CURRENT", manifest.encode())
 
     def insert(self, rows: DataFrame) -> None:
-        if not rows.isEmpty():
-            self.commit(self.read().unionByName(rows))
+        n = self.manifest()["buckets"]
+        touched = {r[0] for r in rows.select(_checksum("filePath", n)).distinct().collect()}
+        if touched:
+            self._write(rows, touched, True)
 
     def replace_files(self, rows: DataFrame, paths: Iterable[str]) -> None:
-        """Rows of ``paths`` go and ``rows`` come, in one commit."""
+        """Rows of ``paths`` go and ``rows`` come, in one commit that rewrites the buckets of what goes."""
+        m = self.manifest()
+        paths = list(paths)
         gone = self.spark.createDataFrame([(p,) for p in paths], "filePath string")
-        self.commit(self.read().join(gone, "filePath", "left_anti").unionByName(rows))
+        old = {bucket_of(p, m["buckets"]) for p in paths}
+        stored = self._rows([f for b in sorted(old) for f in m["rows"].get(str(b), [])])
+        touched = old | {r[0] for r in rows.select(_checksum("filePath", m["buckets"])).distinct().collect()}
+        if stored.join(gone, "filePath", "left_semi").isEmpty():
+            if touched:
+                self._write(rows, touched, True)
+            return
+        kept = self._rows([f for b in sorted(touched) for f in m["rows"].get(str(b), [])]).join(gone, "filePath", "left_anti")
+        self._write(kept.unionByName(rows), touched, False)
 
     def delete(self, path: str) -> int:
         """Removes the rows of exactly this path; how many they were."""
-        rows = self.read()
-        n = rows.where(F.col("filePath") == path).count()
+        n = self.of_file(path).count()
         if n:
-            self.commit(rows.where(F.col("filePath") != path))
+            m = self.manifest()
+            b = bucket_of(path, m["buckets"])
+            self._write(self._rows(m["rows"][str(b)]).where(~F.col("filePath").eqNullSafe(F.lit(path))), {b}, False)
         return n
 
     def optimize(self, grace: float = GRACE) -> None:
-        """Fewer files, ordered by path so that scans skip; snapshots older than ``grace`` seconds go."""
-        if self.version() is None:
-            return
-        rows = self.read()
-        parts = max(1, -(-rows.count() // FILE_ROWS))
-        self.commit(rows.repartitionByRange(parts, "filePath", "chunkIndex").sortWithinPartitions("filePath", "chunkIndex"))
+        """Buckets of several folders become one each, with their postings; folders that are in no manifest and older than ``grace`` seconds go."""
+        m = self.manifest()
+        many = {int(b) for b, own in m["rows"].items() if len(own) > 1}
+        if many:
+            self._write(self._rows([f for b in sorted(many) for f in m["rows"][str(b)]]), many, False)
         now = self.version()
-        for name in os.listdir(self.path):
-            if name.startswith("v-") and name != now and time.time_ns() - int(name.split("-")[1]) > grace * 1e9:
-                shutil.rmtree(os.path.join(self.path, name), ignore_errors=True)
+        if now is None:
+            return
+        m = self.manifest()
+        used = {f.split("/")[0] for kind in ("rows", "grams") for own in m[kind].values() for f in own}
+        for info in self.files_.get_file_info(pafs.FileSelector(self.base)):
+            stem = info.base_name.removesuffix(".json")
+            if stem[:2] in ("c-", "m-") and info.base_name != now and stem not in used and time.time_ns() - int(stem.split("-")[1]) > grace * 1e9:
+                (self.files_.delete_dir if info.type == pafs.FileType.Directory else self.files_.delete_file)(info.path)
 
     def files(self, scope: str | list[str] | None = None) -> DataFrame:
         rows = self.read().where("filePath IS NOT NULL")
@@ -96,7 +186,7 @@ class Store:
     def chunk_range(self, path: str, low: int, high: int) -> DataFrame:
         if low < 0 or high < low:
             raise ValueError("a range goes from 0 at least to its end")
-        return self.read().where((F.col("filePath") == path) & F.col("chunkIndex").between(low, high)).select("filePath", "chunkIndex", "text", "fileTitle").orderBy("chunkIndex")
+        return self.of_file(path).where(F.col("chunkIndex").between(low, high)).select("filePath", "chunkIndex", "text", "fileTitle").orderBy("chunkIndex")
 
     def status(self) -> dict[str, int]:
         n, files = self.read().agg(F.count("*"), F.count_distinct("filePath")).first()
