@@ -10,6 +10,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from .service import Engine, Settings
+from .sources import scan
 
 
 def parser() -> argparse.ArgumentParser:
@@ -21,7 +22,7 @@ def parser() -> argparse.ArgumentParser:
     q.add_argument("text")
     q.add_argument("--limit", type=int, default=10)
     q.add_argument("--scope", action="append")
-    sub.add_parser("ingest").add_argument("paths", nargs="+")
+    sub.add_parser("ingest", help="files, and folders with all that can be read in them").add_argument("paths", nargs="+")
     n = sub.add_parser("read-neighbors")
     n.add_argument("chunk", type=int)
     n.add_argument("--path")
@@ -42,12 +43,14 @@ def main(args: list[str] | None = None) -> int:
     settings = Settings.from_env(dict(os.environ))
     if a.root:
         settings.roots = a.root
+    for warning in settings.warnings:
+        print(warning, file=sys.stderr)
     engine = Engine(SparkSession.builder.appName("marlspike").getOrCreate(), a.db, settings)
     rows = lambda df: [r.asDict(True) for r in df.collect()]
     try:
         out = {
             "query": lambda: rows(engine.query_documents(a.text, a.limit, a.scope)),
-            "ingest": lambda: [engine.ingest_file(os.path.abspath(p)) for p in a.paths],
+            "ingest": lambda: engine.ingest_files(list(dict.fromkeys(f for p in a.paths for f in scan.files_of(os.path.abspath(p), settings.roots, [engine.db])))),
             "read-neighbors": lambda: rows(engine.read_chunk_neighbors(a.chunk, a.path, a.source, a.before, a.after)),
             "list": lambda: dict(zip(("files", "sources"), map(rows, engine.list_files(a.scope)))),
             "delete": lambda: engine.delete_file(a.path, a.source),
@@ -58,7 +61,7 @@ def main(args: list[str] | None = None) -> int:
         print(str(e), file=sys.stderr)
         return 1
     print(json.dumps(out, ensure_ascii=False))
-    return 0
+    return int(isinstance(out, dict) and bool(out.get("error")))
 
 
 if __name__ == "__main__":

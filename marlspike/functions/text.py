@@ -56,6 +56,12 @@ def html_title(html: Column, name: Column) -> Column:
     return _or_name(trimmed(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)), name)
 
 
+def pdf_title(own: Column, hint: Column, size: Column, first_chunk: Column, name: Column, least: float = 14.0) -> Column:
+    """Own title unless it is a path, print of the first page larger than ``least``, its first chunk, or the file name."""
+    filled = lambda c: F.when(trimmed(c) != "", trimmed(c))
+    return F.coalesce(F.when(~own.rlike(r"[/\\]"), filled(own)), F.when(size > least, filled(hint)), filled(first_chunk), name_title(name))
+
+
 def caption(text: Column) -> Column:
     """A model's caption without control characters; null if nothing is left, cut beyond ``CAPTION`` units."""
     t = trimmed(F.regexp_replace(text, r"[\x00-\x08\x0B-\x1F\x7F-\x9F]", ""))
@@ -76,6 +82,15 @@ def unbase64url(text: Column) -> Column:
     return F.decode(F.unbase64(F.rpad(plain, F.ceil(F.length(plain) / 4).cast("int") * 4, F.lit("="))), "UTF-8")
 
 
+def path_key(path: Column, windows: bool = False) -> Column:
+    """The path as files are told apart by: absolute, without empty, . and .. parts; on Windows in lower case with backslashes."""
+    parts = F.split(F.translate(path, "\\", "/") if windows else path, "/")
+    none = F.array().cast("array<string>")
+    back = lambda held: F.when(F.size(held) > 0, F.slice(held, 1, F.size(held) - 1)).otherwise(held)
+    joined = F.aggregate(parts, none, lambda held, x: F.when(x.isin("", "."), held).when(x == "..", back(held)).otherwise(F.array_append(held, x)))
+    return F.lower(F.array_join(joined, "\\")) if windows else F.concat(F.lit("/"), F.array_join(joined, "/"))
+
+
 _URL = r"^([Hh][Tt][Tt][Pp][Ss]?)://(?:[^/?#@]*@)?([^/?#:]+)(?::([0-9]*))?([^?#]*)"
 
 

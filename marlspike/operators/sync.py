@@ -4,29 +4,46 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from .search import in_scope
 
 
-def stored_files(chunks: DataFrame) -> DataFrame:
-    """(key, paths, low, high, whole) of each stored file; whole: every chunk has a hash."""
-    return chunks.groupBy(F.col("filePath").alias("key")).agg(F.sort_array(F.collect_set("filePath")).alias("paths"), F.min("contentHash").alias("low"), F.max("contentHash").alias("high"), (F.count("contentHash") == F.count("*")).alias("whole"))
+def stored_files(chunks: DataFrame, windows: bool = False) -> DataFrame:
+    """(key, paths, low, high, whole) of each stored file, however its path was spelled; whole: every chunk has a hash."""
+    return chunks.groupBy(tx.path_key(F.col("filePath"), windows).alias("key")).agg(F.sort_array(F.collect_set("filePath")).alias("paths"), F.min("contentHash").alias("low"), F.max("contentHash").alias("high"), (F.count("contentHash") == F.count("*")).alias("whole"))
 
 
-def plan_sync(disk: DataFrame, chunks: DataFrame, roots: Iterable[str] = ("/",), protected: Iterable[str] = ()) -> DataFrame:
-    """(filePath, action): skip what is equal, upsert what differs or is new, prune what is gone.
+def _under(key: Column, paths: Iterable[str], windows: bool) -> Column:
+    """The key is that of one of the paths or below it."""
+    found = F.lit(False)
+    mark = "\\" if windows else "/"
+    for path in paths:
+        own = tx.path_key(F.lit(path), windows)
+        found = found | (key == own) | key.startswith(F.when(own == mark, own).otherwise(F.concat(own, F.lit(mark))))
+    return found
 
-    Only paths under ``roots`` are pruned, and none under ``protected`` (unread folders, raw data, exclusions).
+
+def plan_sync(disk: DataFrame, chunks: DataFrame, roots: Iterable[str] = ("/",), protected: Iterable[str] = (), file: str | None = None, db: str | None = None, windows: bool = False) -> DataFrame:
+    """(filePath, action, paths): skip what is equal, upsert what differs or is new, prune what is gone, keep the rest.
+
+    paths are the stored spellings that an upsert or a prune takes away beside the file's own one.  Only what is under
+    ``roots`` is pruned (with ``file``, that file alone), and nothing under ``protected`` (unread folders, exclusions) or
+    among the raw data of ``db``.  Spellings of one path are one file; with several stored, it is upserted.
     """
+    keyed = disk.withColumn("key", tx.path_key(F.col("filePath"), windows))
     own = Window.partitionBy("key").orderBy("filePath")
-    seen = disk.withColumn("key", F.col("filePath")).withColumn("n", F.row_number().over(own)).where("n = 1").select("key", F.col("contentHash").alias("now"))
-    both = seen.join(stored_files(chunks).withColumn("there", F.lit(True)), "key", "full_outer")
+    seen = keyed.withColumn("n", F.row_number().over(own)).where("n = 1").select("key", F.col("filePath").alias("found"), F.col("contentHash").alias("now"))
+    both = seen.join(stored_files(chunks, windows), "key", "full_outer")
     same = F.coalesce((F.size("paths") == 1) & F.col("whole") & (F.col("low") == F.col("now")) & (F.col("high") == F.col("now")), F.lit(False))
-    gone = in_scope(F.col("key"), list(roots)) & ~in_scope(F.col("key"), list(protected))
-    action = F.when(F.col("now").isNotNull(), F.when(same, "skip").otherwise("upsert")).when(gone, "prune").otherwise("keep")
-    return both.select(F.col("key").alias("filePath"), action.alias("action"))
+    asked = F.col("key") == tx.path_key(F.lit(file), windows) if file else _under(F.col("key"), roots, windows)
+    raw = F.exists("paths", lambda p: tx.is_raw_path(p, db)) if db else F.lit(False)
+    gone = asked & ~_under(F.col("key"), protected, windows) & ~F.coalesce(raw, F.lit(False))
+    action = F.when(F.col("found").isNotNull(), F.when(same, "skip").otherwise("upsert")).when(gone, "prune").otherwise("keep")
+    path = F.coalesce("found", F.get("paths", F.lit(0)))
+    return both.select(path.alias("filePath"), action.alias("action"), F.filter(F.coalesce("paths", F.array().cast("array<string>")), lambda p: p != path).alias("paths"))
 
 
 def listed(disk: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -35,6 +52,10 @@ def listed(disk: DataFrame, chunks: DataFrame) -> DataFrame:
     return disk.select("filePath").distinct().join(stored, "filePath", "left").select("filePath", F.col("chunkCount").isNotNull().alias("ingested"), F.coalesce("chunkCount", F.lit(0)).cast("long").alias("chunkCount"), "timestamp")
 
 
-def sources(disk: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Stored files that aren't on disk: raw data or orphans."""
-    return chunks.select("filePath").distinct().join(disk.select("filePath"), "filePath", "left_anti")
+def sources(disk: DataFrame, chunks: DataFrame, scope: str | Iterable[str] | None = None, db: str | None = None) -> DataFrame:
+    """Stored files that aren't on disk: raw data (of ``db``, in any scope) or orphans (in the scope)."""
+    found = chunks.select("filePath").distinct().join(disk.select("filePath"), "filePath", "left_anti")
+    if not scope:
+        return found
+    raw = tx.is_raw_path(F.col("filePath"), db) if db else F.lit(False)
+    return found.where(raw | in_scope(F.col("filePath"), scope))

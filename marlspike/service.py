@@ -5,8 +5,10 @@ from __future__ import annotations
 import datetime
 import json
 import os
+import re
 import threading
 import uuid
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -59,44 +61,58 @@ class Settings:
             roots = json.loads(raw)
             if not isinstance(roots, list) or not roots or not all(isinstance(r, str) and r.strip() for r in roots):
                 raise ValueError("BASE_DIRS must be a JSON list of folders")
-            made.roots = scan.surviving_roots(roots)
+            nested = scan.nested_roots(r.strip() for r in roots)
+            made.roots = [r for r, ancestor in nested.items() if ancestor is None]
+            made.warnings += [f"{scan.shown(r)} is inside {scan.shown(a)}" for r, a in nested.items() if a]
         elif raw := env.get("BASE_DIR", "").strip():
             made.roots = [raw]
         return made
 
+    def checked(self) -> Settings:
+        """Itself, if no root is a folder of the system or of keys."""
+        for root in self.roots:
+            if scan.sensitive(root):
+                raise ValueError(f"{root} can't be a document folder")
+        return self
+
+
+_JOB = re.compile(r"[0-9a-fA-F-]{1,128}")
+
 
 class Engine:
-    """embed gives unit vectors of a list of texts; it is sent to the workers."""
+    """embed gives unit vectors of a list of texts; pdf gives the pages of a PDF file's bytes (``operators.pdf.Document``);
+    caption gives a text for a page number and a PDF file's bytes.  They are sent to the workers."""
 
-    def __init__(self, spark: SparkSession, db: str, settings: Settings | None = None, embed: Callable[[list[str]], np.ndarray] = chunker.hashed_vectors, pdf: Callable | None = None):
-        self.spark, self.db, self.settings, self.embed, self.pdf = spark, os.path.abspath(db), settings or Settings(), embed, pdf
+    def __init__(self, spark: SparkSession, db: str, settings: Settings | None = None, embed: Callable[[list[str]], np.ndarray] = chunker.hashed_vectors, pdf: Callable | None = None, caption: Callable | None = None):
+        self.spark, self.db, self.settings, self.embed, self.pdf = spark, os.path.abspath(db), (settings or Settings()).checked(), embed, pdf
+        self.caption = caption
         self.store = Store(spark, os.path.join(self.db, "chunks"))
         self._writing = threading.Lock()
         self._job: dict | None = None
 
     def _rows(self, files: DataFrame) -> DataFrame:
-        """Rows of the store from (filePath, contentHash, text, title); one pass, nothing is shuffled."""
+        """Rows of the store from (filePath, contentHash, text, title, ranges, captions); one pass, nothing is shuffled."""
         embed, shortest = self.embed, self.settings.shortest
 
         def run(batches):
             for batch in batches:
-                for path, digest, text, title in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                    parts = chunker.chunks_of(text or "", embed, shortest)
-                    vectors = [v for a in range(0, len(parts), 16) for v in embed(parts[a : a + 16]).tolist()]
-                    columns = [[str(uuid.uuid4()) for _ in parts], [path] * len(parts), range(len(parts)), parts, vectors, [len((text or "").encode("utf-16-le")) // 2] * len(parts), [title] * len(parts), [digest] * len(parts)]
+                for path, digest, text, title, ranges, captions in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                    parts = chunker.chunks_of(text or "", embed, shortest, ranges=[(r["start"], r["end"]) for r in ranges or []]) + (captions or [])
+                    vectors = chunker.embedded(parts, embed).tolist()
+                    columns = [[str(uuid.uuid4()) for _ in parts], [path] * len(parts), range(len(parts)), parts, vectors, [chunker.units(text or "")] * len(parts), [title] * len(parts), [digest] * len(parts)]
                     kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.float32()), pa.int64(), pa.string(), pa.string()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["id", "filePath", "chunkIndex", "text", "vector", "size", "fileTitle", "contentHash"])
 
         name = F.regexp_extract("filePath", "([^/]+)$", 1)
         own = F.when(F.col("title") != "", F.col("title"))
         title = F.coalesce(own, F.when(F.lower("filePath").endswith(".md"), tx.markdown_title(F.col("text"), name)).when(F.lower("filePath").endswith(".txt"), tx.txt_title(F.col("text"), name)).otherwise(tx.name_title(name)))
-        made = files.select("filePath", "contentHash", "text", title.alias("title")).mapInArrow(run, "id string, filePath string, chunkIndex int, text string, vector array<float>, size long, fileTitle string, contentHash string")
+        made = files.select("filePath", "contentHash", "text", title.alias("title"), "ranges", "captions").mapInArrow(run, "id string, filePath string, chunkIndex int, text string, vector array<float>, size long, fileTitle string, contentHash string")
         now = datetime.datetime.now(datetime.UTC).isoformat(timespec="milliseconds").replace("+00:00", "Z")
         kind = F.regexp_extract(name, r"\.([^.]+)$", 1)
         return made.select("id", "filePath", "chunkIndex", "text", "vector", F.struct(name.alias("fileName"), F.col("size").alias("fileSize"), kind.alias("fileType")).alias("metadata"), "fileTitle", "contentHash", F.lit(now).alias("timestamp")).select(*SCHEMA.names)
 
-    def _write(self):
-        if not self._writing.acquire(blocking=False):
+    def _write(self, wait: bool = False):
+        if not self._writing.acquire(blocking=wait):
             raise RuntimeError("another change is under way")
         return self._writing
 
@@ -104,21 +120,64 @@ class Engine:
         if not query.strip():
             raise ValueError("the query is empty")
         s = self.settings
-        found = search.search(self.store.read(), self.embed([query])[0].tolist(), query, limit, scope, s.max_distance, s.grouping, s.hybrid_weight, s.max_files)
+        self._warn(scope)
+        found = search.search(self.store.read(), self.embed([query])[0].tolist(), query, limit, scope, s.max_distance, s.grouping, s.hybrid_weight, s.max_files, self.store.postings)
         return found.select("filePath", "chunkIndex", "text", "score", "fileTitle", tx.raw_source(F.col("filePath"), self.db).alias("source"))
 
-    def ingest_file(self, path: str) -> dict:
-        managed = scan.below(path, os.path.join(self.db, "raw-data"))
-        scan.validate(path, [self.db] if managed else self.settings.roots)
-        found = readers.read_files(self.spark, [path], self.settings.most_bytes, self.pdf)
+    @staticmethod
+    def _warn(scope: str | list[str] | None) -> None:
+        for s in search.not_absolute(scope):
+            warnings.warn(f"the scope {s} isn't an absolute path and matches nothing", stacklevel=3)
+
+    def managed(self, path: str) -> bool:
+        """The path lies among the raw data, by its spelling and by where it really is."""
+        home = os.path.join(self.db, "raw-data")
+        try:
+            return scan.below(os.path.normpath(path), home) and scan.below(os.path.realpath(path), os.path.realpath(home))
+        except OSError:
+            return False
+
+    def ingest_file(self, path: str, visual: bool = False) -> dict:
+        return self.ingest_files([path], visual)[0]
+
+    def ingest_files(self, paths: list[str], visual: bool = False) -> list[dict]:
+        """Replace the files' chunks in one commit.  A file that can't be read or leaves no chunk is an error; the store is untouched then."""
+        for path in paths:
+            scan.validate(path, [self.db] if self.managed(path) else self.settings.roots)
+        if visual and self.caption is None:
+            raise ValueError("captions take a provider")
+        found = self._parsed(paths, visual)
         with self._write_lock():
             staged = self._stage(found)
-            if (n := staged.count()) == 0:
-                error = found.select("error").first()
-                raise ValueError(f"{path}: {error[0] if error and error[0] else 'no chunk is left of it'}")
-            self.store.replace_files(staged, [path])
-        row = self.store.read().where(F.col("filePath") == path).first()
-        return {"filePath": path, "chunkCount": n, "timestamp": row["timestamp"], "fileTitle": row["fileTitle"]}
+            made = {r[0]: tuple(r[1:]) for r in staged.groupBy("filePath").agg(F.count("*"), F.max("timestamp"), F.max("fileTitle")).collect()}
+            for path in paths:
+                if path not in made:
+                    error = found.where(F.col("filePath") == path).select("error").first()
+                    raise ValueError(f"{path}: {error[0] if error and error[0] else 'no chunk is left of it'}")
+            self.store.replace_files(staged, paths)
+            self.store.optimize()
+        return [{"filePath": p, "chunkCount": made[p][0], "timestamp": made[p][1], "fileTitle": made[p][2]} for p in paths]
+
+    def _parsed(self, paths: list[str], visual: bool = False) -> DataFrame:
+        """The files' texts; the title of raw data is that of its sidecar."""
+        files = readers.read_files(self.spark, paths, self.settings.most_bytes, self.pdf, self.caption if visual else None, self.embed)
+        own = [(p, m["title"]) for p in paths if self.managed(p) and (m := self.load_meta(p)) and m.get("title")]
+        if not own:
+            return files
+        titles = self.spark.createDataFrame(own, "filePath string, known string")
+        return files.join(F.broadcast(titles), "filePath", "left").withColumn("title", F.coalesce("known", "title")).drop("known")
+
+    @staticmethod
+    def load_meta(path: str) -> dict | None:
+        """The sidecar of a raw-data file: title, source and format; None if there is none."""
+        try:
+            with open(path[:-3] + ".meta.json") as f:
+                found = json.load(f)
+        except FileNotFoundError:
+            return None
+        if not isinstance(found, dict):
+            raise ValueError(f"{path} has a sidecar that isn't an object")
+        return found
 
     def _stage(self, files: DataFrame) -> DataFrame:
         """The rows, written once in the store's folder so that they are parsed and embedded once."""
@@ -126,12 +185,12 @@ class Engine:
         self._rows(files.where("error IS NULL")).write.parquet(at)
         return self.spark.read.schema(SCHEMA).parquet(at)
 
-    def _write_lock(self):
+    def _write_lock(self, wait: bool = False):
         engine = self
 
         class Held:
             def __enter__(self):
-                engine._write()
+                engine._write(wait)
 
             def __exit__(self, *_):
                 import shutil
@@ -153,12 +212,26 @@ class Engine:
         text, title = readers.html_markdown(content) if form == "html" else (content, "")
         path = self.raw_path(source)
         os.makedirs(os.path.dirname(path), exist_ok=True)
-        for name, data in ((path, text), (path[:-3] + ".meta.json", json.dumps({"title": title or None, "source": source, "format": form}))):
-            hidden = name + f".{uuid.uuid4().hex}.new"
-            with open(hidden, "w") as f:
-                f.write(data)
-            os.replace(hidden, name)
-        return self.ingest_file(path)
+        new = ((path, text), (path[:-3] + ".meta.json", json.dumps({"title": title or None, "source": source, "format": form})))
+        old = {name: open(name, "rb").read() if os.path.exists(name) else None for name, _ in new}
+        try:
+            for name, data in new:
+                self._save(name, data.encode())
+            return self.ingest_file(path)
+        except BaseException:
+            for name, data in old.items():  # as it was before
+                if data is not None:
+                    self._save(name, data)
+                elif os.path.exists(name):
+                    os.unlink(name)
+            raise
+
+    @staticmethod
+    def _save(name: str, data: bytes) -> None:
+        hidden = name + f".{uuid.uuid4().hex}.new"
+        with open(hidden, "wb") as f:
+            f.write(data)
+        os.replace(hidden, name)
 
     def read_chunk_neighbors(self, chunk: int, path: str | None = None, source: str | None = None, before: int = 2, after: int = 2) -> DataFrame:
         if (path is None) == (source is None) or chunk < 0 or not (0 <= before <= 50 and 0 <= after <= 50):
@@ -188,9 +261,10 @@ class Engine:
     def list_files(self, scope: str | list[str] | None = None) -> tuple[DataFrame, DataFrame]:
         """(files on disk with what is stored of them, stored files that aren't there)."""
         disk = self.spark.createDataFrame([(p,) for p in self._scan()[0]], "filePath string")
-        files, rest = sync.listed(disk, self.store.read()), sync.sources(disk, self.store.read())
+        self._warn(scope)
+        files, rest = sync.listed(disk, self.store.read()), sync.sources(disk, self.store.read(), scope, self.db)
         if scope:
-            files, rest = (x.where(search.in_scope(F.col("filePath"), scope)) for x in (files, rest))
+            files = files.where(search.in_scope(F.col("filePath"), scope))
         return files.orderBy("filePath"), rest.withColumn("source", tx.raw_source(F.col("filePath"), self.db)).orderBy("filePath")
 
     def delete_file(self, path: str | None = None, source: str | None = None) -> dict:
@@ -199,48 +273,78 @@ class Engine:
         target = path or self.raw_path(source)
         with self._write_lock():
             n = self.store.delete(target)
+            if n:
+                self.store.optimize()
         gone = False
-        if scan.below(target, os.path.join(self.db, "raw-data")):
+        if self.managed(target):
             for name in (target, target[:-3] + ".meta.json"):
                 if os.path.exists(name):
                     os.unlink(name)
                     gone = True
-        return {"filePath": target, "deleted": True, "removedChunks": n, "existed": n > 0 or gone}
+        return {"filePath": target, "deleted": True, "removedChunks": n, "existed": n > 0 or gone, "timestamp": datetime.datetime.now(datetime.UTC).isoformat(timespec="milliseconds").replace("+00:00", "Z")}
 
     def status(self) -> dict:
         return self.store.status() | {"ftsIndexEnabled": True, "searchMode": "hybrid" if self.settings.hybrid_weight > 0 else "vector"}
 
-    def sync(self, path: str | None = None) -> dict:
-        """Stored chunks brought in line with the folders (or one of them) in a single commit."""
-        if path:
-            scan.validate(path, self.settings.roots)
-        files, seen = self._scan(path)
+    def sync(self, path: str | None = None, progress: Callable[[int, int], None] = lambda total, completed: None) -> dict:
+        """Stored chunks brought in line with the folders (or one of them, or one file) in a single commit.
+
+        Files are taken in order up to the first that can't be read, whose error is in the result; then nothing is
+        pruned.  A file of which no chunk is left is counted as empty and keeps what is stored of it.
+        """
+        kind = None
+        if path is not None:
+            path = os.path.normpath(path.strip())
+            kind = scan.requested(path, self.settings.roots, [self.db])
+        if kind == "file":
+            files, seen = [path], scan.Coverage()
+            if os.path.getsize(path) > self.settings.most_bytes:
+                files, seen.oversized = [], [path]
+        else:
+            files, seen = self._scan(path)
         with self._write_lock():
-            protected = [self.db, *seen.unobserved()]
-            plan = sync.plan_sync(self._disk(files), self.store.read(), [path] if path else self.settings.roots, protected)
-            todo = {a: [] for a in ("upsert", "prune", "skip", "keep")}
-            for p, action in plan.where("action <> 'keep'").collect():
-                todo[action].append(p)
-            out = {"upserted": 0, "skipped": len(todo["skip"]), "empty": 0, "pruned": len(todo["prune"])}
-            if todo["upsert"]:
-                staged = self._stage(readers.read_files(self.spark, todo["upsert"], self.settings.most_bytes, self.pdf))
-                made = [r[0] for r in staged.select("filePath").distinct().collect()]
-                out |= {"upserted": len(made), "empty": len(todo["upsert"]) - len(made)}
-                self.store.replace_files(staged, made + todo["prune"])
-            elif todo["prune"]:
-                self.store.replace_files(self.spark.createDataFrame([], SCHEMA), todo["prune"])
-            if out["upserted"] or out["pruned"]:
+            plan = sync.plan_sync(self._disk(files), self.store.read(), [path] if path else self.settings.roots, [self.db, *seen.unobserved()], path if kind == "file" else None, self.db)
+            todo = {a: [] for a in ("upsert", "prune", "skip")}
+            for p, action, others in plan.where("action <> 'keep'").orderBy("filePath").collect():
+                todo[action].append((p, others))
+            total = len(todo["upsert"]) + len(todo["skip"])
+            progress(total, len(todo["skip"]))
+            out = {"upserted": 0, "skipped": len(todo["skip"]), "empty": 0, "pruned": 0, "error": None, "coverage": vars(seen)}
+            changed, gone, staged = [p for p, _ in todo["upsert"]], [], self.spark.createDataFrame([], SCHEMA)
+            if changed:
+                found = self._parsed(changed)
+                staged = self._stage(found)
+                failed = found.where("error IS NOT NULL").orderBy("filePath").select("filePath", "error").first()
+                if failed:
+                    out["error"] = f"{failed[0]}: {failed[1]}"
+                    changed = [p for p in changed if p < failed[0]]
+                    staged = staged.where(F.col("filePath") < failed[0])
+                made = {r[0] for r in staged.select("filePath").distinct().collect()}
+                out |= {"upserted": len(made), "empty": len(changed) - len(made)}
+                gone = [q for p, others in todo["upsert"] if p in made for q in (p, *others)]
+            if not out["error"]:
+                out["pruned"] = len(todo["prune"])
+                gone += [q for p, others in todo["prune"] for q in (p, *others)]
+            if gone:
+                self.store.replace_files(staged, gone)
                 self.store.optimize()
+            progress(total, out["upserted"] + out["skipped"] + out["empty"])
         return out
 
     def sync_start(self, path: str | None = None) -> dict:
-        """Sync in the background; only the latest job is remembered."""
-        job = self._job = {"jobId": str(uuid.uuid4()), "state": "running", "summary": None, "error": None}
+        """Sync in the background; only the latest job is remembered, and none is started while one runs."""
+        if self._job and self._job["state"] == "running" or self._writing.locked():
+            raise RuntimeError("another change is under way")
+        job = self._job = {"jobId": str(uuid.uuid4()), "state": "running", "total": None, "completed": 0, "summary": None, "error": None}
+
+        def step(total: int, completed: int) -> None:
+            job["total"], job["completed"] = total, completed
 
         def run() -> None:
             try:
-                job["summary"] = self.sync(path)
-                job["state"] = "done"
+                job["summary"] = self.sync(path, step)
+                job["error"] = job["summary"]["error"]
+                job["state"] = "failed" if job["error"] else "done"
             except Exception as e:  # the job's record is where it is reported
                 job["error"], job["state"] = str(e), "failed"
 
@@ -248,6 +352,8 @@ class Engine:
         return {"jobId": job["jobId"]}
 
     def sync_status(self, job: str) -> dict:
+        if not _JOB.fullmatch(job):
+            raise ValueError("a job's id is made of hexadecimal digits and hyphens")
         if not self._job or self._job["jobId"] != job:
             raise ValueError("no such job")
         return dict(self._job)
