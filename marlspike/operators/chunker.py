@@ -9,7 +9,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -51,6 +51,24 @@ def sentences(text: str) -> list[str]:
     return [s for s in shown if s]
 
 
+def units(text: str) -> int:
+    """Length in UTF-16 units."""
+    return len(text.encode("utf-16-le", "surrogatepass")) // 2
+
+
+def sentence_units(text: str, ranges: Sequence[tuple[int, int]] = ()) -> list[tuple[str, bool]]:
+    """(sentence, whole) in order; what ``ranges`` (begin, end in characters) mark is one unit each and never split."""
+    out: list[tuple[str, bool]] = []
+    at = 0
+    for begin, end in ranges:
+        if not (isinstance(begin, int) and isinstance(end, int) and at <= begin < end <= len(text)) or not text[begin:end].strip():
+            raise ValueError(f"the range from {begin} to {end} doesn't fit the text or the one before it")
+        out += [(s, False) for s in sentences(text[at:begin])]
+        out.append((text[begin:end].strip(), True))
+        at = end
+    return out + [(s, False) for s in sentences(text[at:])]
+
+
 def is_garbage(text: str) -> bool:
     t = text.strip()
     if not t:
@@ -86,6 +104,27 @@ def hashed_vectors(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
+def embedded(parts: list[str], embed: Callable[[list[str]], np.ndarray], most: int = 16, waste: float = 1.5) -> np.ndarray:
+    """The vectors of all parts in their order, embedded ``most`` at a time.
+
+    A model pads a batch to its longest text and its work grows with the square of that, so the longest texts wait for
+    a later batch while the padded work is over ``waste`` times the needed one.
+    """
+    left, out = list(range(len(parts))), [None] * len(parts)
+    while left:
+        batch = left[:most]
+        while len(batch) > 1 and len(batch) * max(len(parts[k]) for k in batch) ** 2 > waste * sum(max(1, len(parts[k])) ** 2 for k in batch):
+            batch.remove(max(batch, key=lambda k: len(parts[k])))
+        taken = set(batch)
+        left = [k for k in left if k not in taken]
+        vectors = np.asarray(embed([parts[k] for k in batch]), np.float32)
+        if vectors.ndim != 2 or len(vectors) != len(batch):
+            raise ValueError(f"{len(batch)} texts were given {vectors.shape} vectors")
+        for k, v in zip(batch, vectors):
+            out[k] = v
+    return np.stack(out) if out else np.zeros((0, DIMENSIONS), np.float32)
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
     return np.divide(vectors, norm, out=np.zeros(vectors.shape, np.result_type(vectors, np.float32)), where=norm > 0)
@@ -116,17 +155,18 @@ def groups(vectors: np.ndarray, hard: float = HARD) -> list[int]:
     return out
 
 
-def chunks_of(text: str, embed: Callable[[list[str]], np.ndarray] = hashed_vectors, shortest: int = SHORTEST, hard: float = HARD) -> list[str]:
-    """Chunks of a text in order, without those that are short or garbage."""
-    parts = sentences(text)
+def chunks_of(text: str, embed: Callable[[list[str]], np.ndarray] = hashed_vectors, shortest: int = SHORTEST, hard: float = HARD, ranges: Sequence[tuple[int, int]] = ()) -> list[str]:
+    """Chunks of a text in order, without garbage and those that are short, unless they hold a unit of ``ranges``."""
+    parts = sentence_units(text, ranges)
     if not parts:
         return []
-    merged: dict[int, list[str]] = {}
-    vectors = np.concatenate([np.asarray(embed(parts[a : a + BLOCK]), np.float32) for a in range(0, len(parts), BLOCK)])
-    for g, s in zip(groups(vectors, hard), parts):
-        merged.setdefault(g, []).append(s)
-    joined = (" ".join(m) for m in merged.values())
-    return [c for c in joined if len(c.encode("utf-16-le")) // 2 >= shortest and not is_garbage(c)]
+    merged: dict[int, list[tuple[str, bool]]] = {}
+    texts = [s for s, _ in parts]
+    vectors = np.concatenate([np.asarray(embed(texts[a : a + BLOCK]), np.float32) for a in range(0, len(texts), BLOCK)])
+    for g, part in zip(groups(vectors, hard), parts):
+        merged.setdefault(g, []).append(part)
+    joined = ((" ".join(s for s, _ in m), any(whole for _, whole in m)) for m in merged.values())
+    return [c for c, whole in joined if (whole or units(c) >= shortest) and not is_garbage(c)]
 
 
 def chunked(docs: DataFrame, key: str, text: str, embed: Callable[[list[str]], np.ndarray] = hashed_vectors, shortest: int = SHORTEST) -> DataFrame:

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import chunker, pdf
+
 FORMATS = (".pdf", ".docx", ".txt", ".md")
 MOST_BYTES = 100 << 20
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -165,41 +167,50 @@ def docx_text(content: bytes) -> tuple[str, str, list[tuple[int, int]]]:
     return "\n\n".join(out), title, ranges
 
 
-def parse(path: str, content: bytes, pdf: Callable[[bytes], tuple[str, str]] | None = None) -> tuple[str, str]:
-    """(text, own title) of a file by its extension."""
+def parse(path: str, content: bytes, read_pdf: Callable[[bytes], pdf.Document] | None = None, caption: Callable | None = None, embed: Callable = chunker.hashed_vectors) -> tuple[str, str, list[tuple[int, int]], list[str]]:
+    """(text, own title, ranges that stay whole, captions) of a file by its extension."""
     kind = path[path.rfind(".") :].lower()
     if kind in (".txt", ".md"):
-        return content.decode("utf-8", "replace"), ""
+        return content.decode("utf-8", "replace"), "", [], []
     if kind == ".docx":
-        return docx_text(content)[:2]
+        return *docx_text(content), []
     if kind == ".pdf":
-        if pdf is None:
+        if read_pdf is None:
             raise ValueError("reading PDF takes a provider")
-        return pdf(content)
+        document = read_pdf(content)
+        texts = pdf.without_boundaries(document.pages, embed)
+        first = chunker.chunks_of(texts[0], embed)[:1] if texts else []
+        captions = pdf.captions_of(document, content, caption) if caption else []
+        return "\n\n".join(t for t in texts if t), pdf.title_of(document, "".join(first)), [], captions
     raise ValueError(f"{path}: only {', '.join(FORMATS)} can be read")
 
 
-def read_files(spark: SparkSession, paths: list[str], most_bytes: int = MOST_BYTES, pdf: Callable[[bytes], tuple[str, str]] | None = None) -> DataFrame:
-    """(filePath, contentHash, text, title, error) of each file, read and parsed by the executors.
+def read_files(spark: SparkSession, paths: list[str], most_bytes: int = MOST_BYTES, read_pdf: Callable[[bytes], pdf.Document] | None = None, caption: Callable | None = None, embed: Callable = chunker.hashed_vectors) -> DataFrame:
+    """(filePath, contentHash, text, title, error, ranges, captions) of each file, read and parsed by the executors.
 
     A file over ``most_bytes`` or one that can't be parsed has an error and no text.
     """
     found = spark.read.format("binaryFile").load([f"file://{p}" for p in paths])
     small = found.where(F.col("length") <= most_bytes)
     hashed = small.select(F.regexp_replace("path", "^file:/+", "/").alias("filePath"), "content", F.sha2("content", 256).alias("contentHash"))
+    span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+    kinds = [pa.string()] * 5 + [pa.list_(span), pa.list_(pa.string())]
+    schema = "filePath string, contentHash string, text string, title string, error string, ranges array<struct<start: int, end: int>>, captions array<string>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 path, content, digest = (batch.column(j)[k].as_py() for j in range(3))
                 try:
-                    text, title, error = *parse(path, content, pdf), None
+                    text, title, ranges, captions = parse(path, content, read_pdf, caption, embed)
+                    row = path, digest, text, title, None, [{"start": x, "end": y} for x, y in ranges], captions
                 except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError) as e:
-                    text, title, error = None, None, str(e)
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in (path, digest, text, title, error)], ["filePath", "contentHash", "text", "title", "error"])
+                    row = path, digest, None, None, str(e), None, None
+                yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, kinds)], ["filePath", "contentHash", "text", "title", "error", "ranges", "captions"])
 
-    read = hashed.mapInArrow(run, "filePath string, contentHash string, text string, title string, error string")
-    large = found.where(F.col("length") > most_bytes).select(F.regexp_replace("path", "^file:/+", "/").alias("filePath"), *(F.lit(None).cast("string").alias(c) for c in ("contentHash", "text", "title")), F.lit(f"larger than {most_bytes} bytes").alias("error"))
+    read = hashed.mapInArrow(run, schema)
+    none = (F.lit(None).cast(f.dataType).alias(f.name) for f in read.schema if f.name not in ("filePath", "error"))
+    large = found.where(F.col("length") > most_bytes).select(F.regexp_replace("path", "^file:/+", "/").alias("filePath"), F.lit(f"larger than {most_bytes} bytes").alias("error"), *none)
     return read.unionByName(large)
 
 
