@@ -1,4 +1,4 @@
-"""All pairs of vectors by tiles: every tile meets every other that may hold a larger id, and a product of matrices gives their cosines."""
+"""A set of query vectors against all vectors, by tiles: a product of matrices gives the cosines of two tiles."""
 
 from __future__ import annotations
 
@@ -13,15 +13,15 @@ from pyspark.sql import functions as F
 TILE = 1024
 
 
-def _pack(ids: pa.Array, vectors: pa.Array) -> tuple[int, int, bytes, bytes, bytes, bytes]:
-    """Least and largest id, ids, sizes (-1: null), which vectors hold a null, and all numbers one after the other."""
+def _pack(ids: pa.Array, vectors: pa.Array) -> tuple[bytes, bytes, bytes, bytes]:
+    """Ids, sizes (-1: null), which vectors hold a null, and all numbers one after the other."""
     own = ids.to_numpy(zero_copy_only=False).astype(np.int64)
     sizes = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = vectors.flatten()
     holes = np.zeros(len(own), bool)
     holes[np.repeat(np.arange(len(own)), np.maximum(sizes, 0))[flat.is_null().to_numpy(zero_copy_only=False)]] = True
     numbers = pc.fill_null(flat, 0.0).to_numpy(zero_copy_only=False).astype(np.float64)
-    return int(own.min()), int(own.max()), own.tobytes(), sizes.tobytes(), holes.tobytes(), numbers.tobytes()
+    return own.tobytes(), sizes.tobytes(), holes.tobytes(), numbers.tobytes()
 
 
 def _by_size(sizes: np.ndarray, flat: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -40,35 +40,36 @@ def cosines(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
         (r, x), (c, y) = left[n], right[n]
         norm = np.sqrt((x * x).sum(axis=1))[:, None] * np.sqrt((y * y).sum(axis=1))
         like[np.ix_(r, c)] = np.divide(x @ y.T, norm, out=np.zeros_like(norm), where=norm != 0)
-    null = (sa < 0)[:, None] | (sb < 0) | (sa[:, None] == sb) & (ha[:, None] | hb)
+    null = (sa < 0)[:, None] | (sb < 0) & (sa != 0)[:, None] | (sa[:, None] == sb) & (ha[:, None] | hb)
     return like, null
 
 
-def all_pairs(t: DataFrame, key: str, vector: str, tile: int = TILE) -> DataFrame:
-    """(i, j, cosine) of all rows with i < j; a null key pairs with nothing, repeated rows pair each."""
-    parts = int(t.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = ["low", "high", "ids", "sizes", "holes", "flat"]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+def tiles(t: DataFrame, key: str, vector: str, tile: int = TILE) -> DataFrame:
+    """(ids, sizes, holes, flat): ``tile`` rows each, a null key left out."""
+    names = ["ids", "sizes", "holes", "flat"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, tile):
                 part = batch.slice(k, tile)
-                yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(_pack(part.column(0), part.column(1)), kinds)], names)
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in _pack(part.column(0), part.column(1))], names)
+
+    source = t.select(F.col(key).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("x")).where("i IS NOT NULL")
+    return source.mapInArrow(cut, "ids binary, sizes binary, holes binary, flat binary")
+
+
+def against(queries: DataFrame, t: DataFrame, key: str, vector: str, tile: int = TILE) -> DataFrame:
+    """(i, j, cosine) of every query i with every row j of another key, in blocks; repeated rows pair each, a null key with nothing."""
+    names = ["ids", "sizes", "holes", "flat"]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 ids, sizes, holes, flat, *other = (np.frombuffer(c[k].as_buffer(), kind) for c, kind in zip(batch.columns, (np.int64, np.int64, bool, np.float64) * 2))
                 like, null = cosines((sizes, holes, flat), tuple(other[1:]))
-                r, c = np.nonzero(ids[:, None] < other[0])
+                r, c = np.nonzero(ids[:, None] != other[0])
                 yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(other[0][c]), pa.array(like[r, c], mask=null[r, c])], ["i", "j", "cosine"])
 
-    source = t.select(F.col(key).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("x")).where("i IS NOT NULL")
-    ranged = source.repartitionByRange(parts, "i").sortWithinPartitions("i")
-    tiles = ranged.mapInArrow(cut, "low long, high long, ids binary, sizes binary, holes binary, flat binary").repartition(parts)
-    others = tiles.toDF(*(f"other_{n}" for n in names))
-    held = [n for n in names if n not in ("low", "high")]
-    met = tiles.join(others, F.col("low") < F.col("other_high")).select(*held, *(f"other_{n}" for n in held))
-    found = met.mapInArrow(meet, "i long, j long, cosine double")
-    return found.select("i", "j", (F.round("cosine", 6) + 0.0).alias("cosine"))
+    # blocks of a stated query set meet blocks of the table
+    met = tiles(queries, key, vector, tile).crossJoin(tiles(t, key, vector, tile).toDF(*(f"other_{n}" for n in names)))
+    return met.mapInArrow(meet, "i long, j long, cosine double").select("i", "j", (F.round("cosine", 6) + 0.0).alias("cosine"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.vectors import cosine
-from ..operators import chunker, ngrams, pairs, search, sync
+from ..operators import chunker, ngrams, pairs, pdf, search, sync
 from ..sources import readers
 
 VECTOR, TEXT = 7, "the and"
@@ -20,8 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with vectors as chunks: a file for each language and source."""
-    joined = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "embeddings"), F.col("doc_id") == F.col("vec_id"))
+    """All documents as chunks, with the vector of those that have one: a file for each language and source."""
+    joined = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "embeddings"), F.col("doc_id") == F.col("vec_id"), "left")
     number = F.row_number().over(Window.partitionBy("lang", "source").orderBy("doc_id")) - 1
     day = F.format_string("2024-01-%02dT00:00:00.000Z", (F.col("doc_id") % 28 + 1).cast("int"))
     path = F.concat(F.lit("/corpus/"), "lang", F.lit("/"), "source", F.lit(".txt"))
@@ -31,7 +31,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHUNKS = """chunks AS (SELECT '/corpus/' || lang || '/' || source || '.txt' AS filePath,
     (row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) - 1)::INT AS chunkIndex, text, embedding AS vector, sha256(text) AS contentHash,
     '2024-01-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') || 'T00:00:00.000Z' AS timestamp
-    FROM documents JOIN embeddings ON doc_id = vec_id)"""
+    FROM documents LEFT JOIN embeddings ON doc_id = vec_id)"""
 
 
 def vector(spark: SparkSession, sf_dir: str) -> list[float]:
@@ -46,7 +46,7 @@ def search_sql(text: str = "", limit: int = 10, scope: list[str] | None = None,
     """The search in DuckDB's SQL."""
     order = "score, filePath, chunkIndex"
     ctes = [CHUNKS, f"q AS (SELECT embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id = {VECTOR})"]
-    ctes.append("measured AS (SELECT filePath, chunkIndex, text, round(1 - list_inner_product(vector::DOUBLE[], qv), 9) + 0.0 AS score FROM chunks, q)")
+    ctes.append("measured AS (SELECT filePath, chunkIndex, text, round(1 - list_inner_product(vector::DOUBLE[], qv), 9) + 0.0 AS score FROM chunks, q WHERE vector IS NOT NULL)")
     where = " AND ".join(["true", *([f"({_in_sql(scope)})"] if scope else []), *([f"score < {max_distance}"] if max_distance is not None else [])])
     ctes.append(f"near AS (SELECT * FROM measured WHERE {where} ORDER BY {order} LIMIT {2 * limit})")
     last = "near"
@@ -136,13 +136,24 @@ _over_chunks(
 )
 
 
+def fts_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 from postings, as the store keeps them beside its rows."""
+    held, grams = chunks(spark, sf_dir), tx.query_grams(TEXT)
+    n, total = held.where("text IS NOT NULL").agg(F.count("*"), F.coalesce(F.sum(ngrams.length(F.lower("text"))), F.lit(0))).first()
+    found = search.bm25_of_postings(ngrams.chunk_postings(held).where(F.col("gram").isin(grams)), n, total / max(1, n))
+    return found.orderBy(F.desc("bm25"), *search.KEY).limit(20).select(*search.KEY, F.round("bm25", 6).alias("bm25"))
+
+
+add("fts_index_topk", fts_index, ORACLES["fts_bm25_topk"])
+
+
 def neighbours(turns: DataFrame, before: int = 2, after: int = 2) -> DataFrame:
-    """Each row with the texts around it in order."""
+    """Each row with the whole texts around it in order."""
     frame = Window.partitionBy("conv_id").orderBy("turn").rangeBetween(-before, after)
-    return turns.select("conv_id", "turn", F.concat_ws("|", F.collect_list("role").over(frame)).alias("around"))
+    return turns.select("conv_id", "turn", F.concat_ws("|", F.collect_list("text").over(frame)).alias("around"))
 
 
-_over("chunk_neighbors", "conversations", neighbours, "SELECT conv_id, turn, string_agg(role, '|') OVER (PARTITION BY conv_id ORDER BY turn RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS around FROM conversations")
+_over("chunk_neighbors", "conversations", neighbours, "SELECT conv_id, turn, string_agg(text, '|') OVER (PARTITION BY conv_id ORDER BY turn RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS around FROM conversations")
 
 
 def neighbour_texts(turns: DataFrame, before: int = 2, after: int = 2) -> DataFrame:
@@ -152,9 +163,7 @@ def neighbour_texts(turns: DataFrame, before: int = 2, after: int = 2) -> DataFr
     return found.withColumn("around", F.transform("around", lambda x: F.struct(x["turn"].alias("turn"), x["text"].alias("text"), (x["turn"] == F.col("turn")).alias("target"))))
 
 
-# chunk_neighbors and caption_postprocess are what their SQL says; these return the texts
 _over("chunk_neighbor_texts", "conversations", neighbour_texts)
-_over("caption_text", "documents", lambda t: t.select("doc_id", tx.caption(F.concat(F.lit("\x07 "), "text")).alias("caption")))
 
 
 def manifests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -172,7 +181,7 @@ _PLAN = """plan AS (SELECT coalesce(d.filePath, s.filePath) AS filePath, CASE WH
 
 
 def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sync.plan_sync(*manifests(spark, sf_dir), roots=["/docs/en", "/docs/de"], protected=["/docs/de"])
+    return sync.plan_sync(*manifests(spark, sf_dir), roots=["/docs/en", "/docs/de"], protected=["/docs/de"]).select("filePath", "action")
 
 
 add("sync_plan", _plan, f"WITH {MANIFESTS}, {_PLAN} SELECT * FROM plan")
@@ -181,6 +190,20 @@ add("sync_prune_protected", lambda s, d: _plan(s, d).where("action = 'keep'").se
 add("list_files_join", lambda s, d: sync.listed(*manifests(s, d)), f"WITH {MANIFESTS}, c AS (SELECT filePath, count(*) AS n FROM stored GROUP BY 1) SELECT filePath, n IS NOT NULL AS ingested, coalesce(n, 0) AS chunkCount, CASE WHEN n IS NOT NULL THEN '2024-01-01T00:00:00.000Z' END AS timestamp FROM disk LEFT JOIN c USING (filePath)")
 add("list_sources_anti", lambda s, d: sync.sources(*manifests(s, d)), f"WITH {MANIFESTS} SELECT DISTINCT filePath FROM stored WHERE filePath NOT IN (SELECT filePath FROM disk)")
 
+_SPELLED = """CASE doc_id % 4 WHEN 0 THEN '/docs/./' || lang || '//' || doc_id::VARCHAR WHEN 1 THEN '/docs/x/y/../../' || lang || '/' || doc_id::VARCHAR || '/' WHEN 2 THEN '/../docs/' || lang || '/' || doc_id::VARCHAR ELSE '/docs/' || lang || '/' || doc_id::VARCHAR END"""
+_over("sync_path_keys", "documents", lambda t: t.selectExpr("doc_id", f"{_SPELLED.replace('::VARCHAR', '')} AS path").select("doc_id", "path", tx.path_key(F.col("path")).alias("key")), f"SELECT doc_id, {_SPELLED} AS path, '/docs/' || lang || '/' || doc_id::VARCHAR AS key FROM documents")
+
+
+def scoped_sources(t: DataFrame) -> DataFrame:
+    """Stored files that aren't on disk: raw data in any scope, others in the scope."""
+    path = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("/db/raw-data/"), F.sha2("text", 256), F.lit(".md"))).otherwise(F.concat(F.lit("/docs/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    stored = t.select("doc_id", path.alias("filePath"))
+    return sync.sources(stored.where("doc_id % 10 NOT IN (0, 3, 5)"), stored, ["/docs/en"], "/db")
+
+
+_over("sources_scoped", "documents", scoped_sources, """WITH s AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '/db/raw-data/' || sha256(text) || '.md' ELSE '/docs/' || lang || '/' || doc_id::VARCHAR || '.txt' END AS filePath FROM documents)
+    SELECT DISTINCT filePath FROM s WHERE filePath NOT IN (SELECT filePath FROM s WHERE doc_id % 10 NOT IN (0, 3, 5)) AND (starts_with(filePath, '/db/raw-data/') OR starts_with(filePath, '/docs/en/'))""")
+
 _over("content_hash", "documents", lambda t: t.select("doc_id", F.sha2("text", 256).alias("hash")), "SELECT doc_id, sha256(text) AS hash FROM documents")
 _over("base64url_roundtrip", "pages", lambda t: t.select("page_id", tx.base64url(F.col("url")).alias("code"), tx.unbase64url(tx.base64url(F.col("url"))).alias("back")), "SELECT page_id, rtrim(translate(to_base64(encode(url)), '+/', '-_'), '=') AS code, url AS back FROM pages")
 _URL_SQL = """regexp_extract(url, '^([Hh][Tt][Tt][Pp][Ss]?)://([^/?#@]*@)?([^/?#:]+)(:[0-9]*)?([^?#]*)', ['scheme', 'user', 'host', 'port', 'path'])"""
@@ -212,19 +235,25 @@ _over(
     SELECT doc_id, sum(CASE WHEN t = '' THEN 1 WHEN regexp_matches(t, '[A-Za-z0-9]') THEN 0 WHEN regexp_full_match(t, '[-=_.*#|~`@!%^&*()\[\]{}\\/<>:+\s]+') THEN 1
         WHEN list_max(list_transform(list_distinct(string_split(t, '')), lambda c: (length(t) - length(replace(t, c, ''))))) / length(t) > 0.8 THEN 1 ELSE 0 END)::BIGINT AS garbage FROM p GROUP BY 1""",
 )
-_over("caption_postprocess", "documents", lambda t: t.select("doc_id", tx.caption(F.concat(F.lit("\x07 "), "text")).alias("caption")).select("doc_id", F.length("caption").alias("length"), F.substring("caption", -10, 10).alias("end")), r"WITH x AS (SELECT doc_id, trim(regexp_replace(text, '[\x00-\x08\x0B-\x1F\x7F-\x{9F}]', '', 'g'), ' ' || chr(9) || chr(10)) AS t FROM documents), y AS (SELECT doc_id, CASE WHEN length(t) > 1000 THEN substr(t, 1, 1000) || '…' ELSE t END AS c FROM x) SELECT doc_id, length(c)::INT AS length, right(c, 10) AS end FROM y")
+_over("caption_postprocess", "documents", lambda t: t.select("doc_id", tx.caption(F.concat(F.lit("\x07 "), "text")).alias("caption")), r"WITH x AS (SELECT doc_id, trim(regexp_replace(text, '[\x00-\x08\x0B-\x1F\x7F-\x{9F}]', '', 'g'), ' ' || chr(9) || chr(10)) AS t FROM documents), y AS (SELECT doc_id, CASE WHEN length(t) > 1000 THEN substr(t, 1, 1000) || '…' ELSE t END AS c FROM x) SELECT doc_id, c AS caption FROM y")
 _over("ngram_tokenize", "benchmark", lambda t: t.select("item_id", F.explode(tx.grams(F.col("text"))).alias("gram")).groupBy("item_id", "gram").agg(F.count("*").alias("n")), "WITH x AS (SELECT item_id, lower(text) AS t, unnest([2, 3]) AS k FROM benchmark), y AS (SELECT item_id, substr(t, unnest(range(1, length(t) - k + 2))::INT, k) AS gram FROM x) SELECT item_id, gram, count(*) AS n FROM y GROUP BY 1, 2")
 # ngram_tokenize is what its SQL says, over the short benchmark; this one is over the corpus, too much for the SQL
 _over("ngram_tokenize_documents", "documents", lambda t: ngrams.postings(t, "doc_id", "text"))
-_over("paragraph_split", "documents", lambda t: t.select("doc_id", F.posexplode(tx.paragraphs(F.col("text")))).select("doc_id", F.col("pos").cast("int").alias("n"), F.col("col").alias("paragraph")))
+_over(
+    "paragraph_split",
+    "documents",
+    lambda t: t.select("doc_id", F.posexplode(tx.paragraphs(F.col("text")))).select("doc_id", F.col("pos").cast("int").alias("n"), F.col("col").alias("paragraph")),
+    r"""WITH x AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '\n{2,}', chr(1), 'g'), '\n([^\s])', chr(1) || '\1', 'g'), chr(1)) AS ps FROM documents),
+    y AS (SELECT doc_id, list_filter(list_transform(ps, lambda p: trim(p, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160))), lambda p: p <> '') AS l FROM x)
+    SELECT doc_id, (unnest(range(1, len(l) + 1)) - 1)::INT AS n, unnest(l) AS paragraph FROM y""",
+)
+# every hundredth vector is a query, held against all of them
 _over(
     "cosine_pairwise",
     "embeddings",
-    lambda t: (a := t.where("label = 3").select(F.col("vec_id").alias("i"), F.col("embedding").alias("x"))).join(a.toDF("j", "y"), F.col("i") < F.col("j")).select("i", "j", (F.round(cosine(F.col("x"), F.col("y")), 6) + 0.0).alias("cosine")),
-    "WITH a AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE label = 3) SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.v, b.v), 6) + 0.0 AS cosine FROM a JOIN a b ON a.vec_id < b.vec_id",
+    lambda t: pairs.against(t.where("vec_id % 100 = 0"), t, "vec_id", "embedding"),
+    "WITH a AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.v, b.v), 6) + 0.0 AS cosine FROM a JOIN a b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0",
 )
-# cosine_pairwise is what its SQL says, one label; this one is the whole table, too much for the SQL
-_over("cosine_pairwise_all", "embeddings", lambda t: pairs.all_pairs(t, "vec_id", "embedding"))
 
 
 def median_similarity(t: DataFrame) -> DataFrame:
@@ -243,58 +272,83 @@ _over("html_markdown", "pages", lambda t: readers.html_table(t.select("page_id",
 
 
 def layout_items(t: DataFrame) -> DataFrame:
-    """Line items as text items on pages."""
+    """Line items as text items on pages, eight order keys a document."""
     page, y = F.col("l_orderkey"), F.round(700 - F.col("l_linenumber") / 2 * 12)
-    return t.select(page.alias("page"), y.alias("y"), F.col("l_extendedprice").alias("x"), F.col("l_returnflag").alias("text"), (F.col("l_quantity") % 20 + 6).alias("size"))
-
-
-def page_lines(items: DataFrame) -> DataFrame:
-    """Text of each page: items of one rounded height by x, lines from the top."""
-    line = F.floor(F.col("y") + 0.5)
-    lines = items.groupBy("page", line.alias("line")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "text"))), lambda i: i["text"]), " ").alias("text"))
-    return lines.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("line")).alias("line"), "text"))), lambda i: i["text"]), "\n").alias("text"))
-
-
-_ITEMS = "items AS (SELECT l_orderkey AS page, floor(round(700 - l_linenumber / 2 * 12) + 0.5) AS line, l_extendedprice AS x, l_returnflag AS text, l_quantity % 20 + 6 AS size FROM lineitem)"
-_over("pdf_line_join", "lineitem", lambda t: page_lines(layout_items(t)), f"WITH {_ITEMS}, l AS (SELECT page, line, string_agg(text, ' ' ORDER BY x, text) AS text FROM items GROUP BY 1, 2) SELECT page, string_agg(text, chr(10) ORDER BY line DESC) AS text FROM l GROUP BY 1")
-
-
-def small_margins(items: DataFrame, height: float = 720.0) -> DataFrame:
-    """Heights whose font is under 0.7 of the page's median and that stand in the upper or lower tenth."""
-    median = items.groupBy("page").agg(F.percentile("size", 0.5).alias("median"))
-    hints = items.join(median, "page").where("size < 0.7 * median").withColumn("line", F.floor(F.col("y") + 0.5))
-    return hints.where((F.col("y") > 0.9 * height) | (F.col("y") < 0.1 * height)).select("page", "line").distinct()
+    return t.select(F.floor(page / 8).alias("document"), page.alias("page"), (F.col("l_linenumber") * 100_000_000 + F.round(F.col("l_extendedprice") * 100)).cast("long").alias("n"), y.alias("y"), F.col("l_extendedprice").alias("x"), F.col("l_returnflag").alias("text"), (F.col("l_quantity") % 20 + 6).alias("size"))
 
 
-_over("pdf_header_candidates", "lineitem", lambda t: small_margins(layout_items(t)), f"WITH {_ITEMS}, m AS (SELECT page, quantile_cont(size, 0.5) AS median FROM items GROUP BY 1) SELECT DISTINCT page, line::BIGINT AS line FROM items JOIN m USING (page) WHERE size < 0.7 * median AND (line > 648 OR line < 72)")
-
-
-def visual_pages(rects: DataFrame, width: float = 612.0, height: float = 792.0) -> DataFrame:
-    """Pages with an image of a tenth, or images of 15 % of the page, and the padded crop; small corner images aside."""
-    area = F.greatest(F.lit(0.0), F.col("x1") - F.col("x0")) * F.greatest(F.lit(0.0), F.col("y1") - F.col("y0")) / (width * height)
-    side = (F.col("x0") <= 0.15 * width) | (F.col("x1") >= 0.85 * width)
-    edge = (F.col("y0") <= 0.15 * height) | (F.col("y1") >= 0.85 * height)
-    kept = rects.withColumn("area", area).where(~((F.col("area") <= 0.03) & side & edge))
-    found = kept.groupBy("page").agg(F.max("area").alias("most"), F.sum("area").alias("total"), *(f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))))
-    padx, pady = (F.greatest(F.lit(12.0), (F.col(b) - F.col(a)) * 0.08) for a, b in (("x0", "x1"), ("y0", "y1")))
-    crop = found.where("most >= 0.10 OR total >= 0.15").select("page", *(F.round(F.greatest(F.lit(0.0), F.least(F.lit(top), c)), 4).alias(n) for n, c, top in (("x0", F.col("x0") - padx, width), ("y0", F.col("y0") - pady, height), ("x1", F.col("x1") + padx, width), ("y1", F.col("y1") + pady, height))))
-    return crop.withColumn("whole", (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) / (width * height) > 0.85)
+_ITEMS = "items AS (SELECT l_orderkey // 8 AS document, l_orderkey AS page, (l_linenumber * 100000000 + round(l_extendedprice * 100))::BIGINT AS n, round(700 - l_linenumber / 2 * 12) AS y, floor(round(700 - l_linenumber / 2 * 12) + 0.5)::BIGINT AS line, l_extendedprice AS x, l_returnflag AS text, l_quantity % 20 + 6 AS size FROM lineitem)"
+_LINES = "l AS (SELECT document, page, line, string_agg(text, ' ' ORDER BY x, text) AS text FROM items GROUP BY 1, 2, 3), p AS (SELECT document, page, trim(string_agg(text, chr(10) ORDER BY line DESC)) AS text FROM l GROUP BY 1, 2)"
+_MIDDLE = "k AS (SELECT document, page, row_number() OVER (PARTITION BY document ORDER BY page) - 1 AS k, count(*) OVER (PARTITION BY document) AS m FROM (SELECT DISTINCT document, page FROM items)), middle AS (SELECT document, page, m FROM k WHERE k >= greatest(0, m // 2 - 2) AND k < greatest(0, m // 2 - 2) + 5)"
+_over("pdf_line_join", "lineitem", lambda t: pdf.page_texts(layout_items(t)).drop("document"), f"WITH {_ITEMS}, {_LINES} SELECT page, text FROM p")
+_over("pdf_page_join", "lineitem", lambda t: pdf.document_texts(pdf.page_texts(layout_items(t))), f"WITH {_ITEMS}, {_LINES} SELECT document, string_agg(text, chr(10) || chr(10) ORDER BY page) AS text FROM p WHERE text <> '' GROUP BY 1")
+_over("pdf_center_pages", "lineitem", lambda t: pdf.middle_pages(layout_items(t).select("document", "page").distinct()), f"WITH {_ITEMS}, {_MIDDLE} SELECT document, page FROM middle")
+_over(
+    "pdf_header_candidates",
+    "lineitem",
+    lambda t: pdf.margin_lines(layout_items(t)),
+    f"WITH {_ITEMS}, {_MIDDLE}, h AS (SELECT * FROM items JOIN middle USING (document, page) WHERE m >= 3), f AS (SELECT document, quantile_cont(size, 0.5) FILTER (size > 0) AS median, max(y) AS height FROM h GROUP BY 1) SELECT DISTINCT document, line, y > 0.9 * height AS upper FROM h JOIN f USING (document) WHERE size < 0.7 * median AND (y > 0.9 * height OR y < 0.1 * height)",
+)
+_over(
+    "pdf_title_run",
+    "lineitem",
+    lambda t: pdf.title_hints(layout_items(t)),
+    f"WITH {_ITEMS}, f AS (SELECT *, max(size) OVER (PARTITION BY document) AS most FROM (SELECT *, min(page) OVER (PARTITION BY document) AS first FROM items) WHERE page = first), b AS (SELECT *, sum((size <> most)::INT) OVER (PARTITION BY document ORDER BY n) AS breaks FROM f WHERE most > 0), c AS (SELECT *, min(breaks) OVER (PARTITION BY document) AS least FROM b WHERE size = most) SELECT document, trim(string_agg(text, ' ' ORDER BY n)) AS title, any_value(most) AS size FROM c WHERE breaks = least GROUP BY 1",
+)
+_over(
+    "pdf_same_y_merge",
+    "events",
+    lambda t: pdf.merged_lines(t.select(F.col("user_id").alias("document"), F.col("event_id").alias("n"), (F.floor("value") % 3).alias("y"), F.col("event_type").alias("text"))),
+    "WITH r AS (SELECT user_id AS document, event_id AS n, floor(value)::BIGINT % 3 AS y, event_type AS text FROM events), m AS (SELECT *, coalesce((y <> lag(y) OVER (PARTITION BY document ORDER BY n))::INT, 1) AS new FROM r), i AS (SELECT *, sum(new) OVER (PARTITION BY document ORDER BY n) AS island FROM m) SELECT document, min(n) AS n, any_value(y) AS y, string_agg(text, ' ' ORDER BY n) AS text FROM i GROUP BY document, island",
+)
+_PARTS = [
+    "CASE doc_id % 5 WHEN 0 THEN source || '/a' WHEN 1 THEN '  ' || lang || ' own ' WHEN 2 THEN ' ' END AS own",
+    "CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE lang || ' hint' END AS hint",
+    "CAST(doc_id % 30 AS DOUBLE) AS size",
+    "CASE WHEN doc_id % 7 = 0 THEN NULL ELSE text END AS chunk",
+]
+_over(
+    "pdf_title",
+    "documents",
+    lambda t: t.selectExpr("doc_id", *_PARTS).select("doc_id", tx.pdf_title(F.col("own"), F.col("hint"), F.col("size"), F.col("chunk"), F.lit("my-file_v2.pdf")).alias("title")),
+    rf"WITH x AS (SELECT doc_id, {', '.join(_PARTS)} FROM documents) SELECT doc_id, coalesce(CASE WHEN NOT regexp_matches(own, '[/\\]') THEN nullif(trim(own), '') END, CASE WHEN size > 14 THEN nullif(trim(hint), '') END, nullif(trim(chunk, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)), ''), 'my file v2') AS title FROM x",
+)
 
 
 def rectangles(t: DataFrame) -> DataFrame:
-    x, y = F.col("l_partkey") % 400, F.col("l_suppkey") % 500
-    return t.select(F.col("l_orderkey").alias("page"), x.cast("double").alias("x0"), y.cast("double").alias("y0"), (x + F.col("l_quantity") * 4).cast("double").alias("x1"), (y + F.col("l_quantity") * 3).cast("double").alias("y1"))
+    """Line items as pictures and strokes on pages, some of them reaching beyond the page."""
+    x, y = F.col("l_partkey") % 640 - 40, F.col("l_suppkey") % 800 - 10
+    grown = F.col("l_quantity") * F.when(F.col("l_linenumber") % 3 == 0, 20).otherwise(6)
+    kind = F.when((F.col("l_orderkey") % 4 == 0) | (F.col("l_linenumber") % 4 == 3), "stroke").otherwise("picture")
+    return t.select(F.col("l_orderkey").alias("page"), kind.alias("kind"), x.cast("double").alias("x0"), y.cast("double").alias("y0"), (x + grown).cast("double").alias("x1"), (y + grown).cast("double").alias("y1"))
 
 
 _over(
     "visual_candidates",
     "lineitem",
-    lambda t: visual_pages(rectangles(t)),
-    """WITH r AS (SELECT l_orderkey AS page, (l_partkey % 400)::DOUBLE AS x0, (l_suppkey % 500)::DOUBLE AS y0, (l_partkey % 400 + l_quantity * 4)::DOUBLE AS x1, (l_suppkey % 500 + l_quantity * 3)::DOUBLE AS y1 FROM lineitem),
-    a AS (SELECT *, greatest(0, x1 - x0) * greatest(0, y1 - y0) / (612.0 * 792.0) AS area FROM r),
-    k AS (SELECT page, max(area) AS most, sum(area) AS total, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM a
-        WHERE NOT (area <= 0.03 AND (x0 <= 0.15 * 612 OR x1 >= 0.85 * 612) AND (y0 <= 0.15 * 792 OR y1 >= 0.85 * 792)) GROUP BY 1),
-    c AS (SELECT page, round(greatest(0, least(612, x0 - greatest(12, (x1 - x0) * 0.08))), 4) AS x0, round(greatest(0, least(792, y0 - greatest(12, (y1 - y0) * 0.08))), 4) AS y0,
-        round(greatest(0, least(612, x1 + greatest(12, (x1 - x0) * 0.08))), 4) AS x1, round(greatest(0, least(792, y1 + greatest(12, (y1 - y0) * 0.08))), 4) AS y1 FROM k WHERE most >= 0.10 OR total >= 0.15)
-    SELECT *, (x1 - x0) * (y1 - y0) / (612.0 * 792.0) > 0.85 AS whole FROM c""",
+    lambda t: pdf.picture_pages(rectangles(t)),
+    """WITH r AS (SELECT l_orderkey AS page, CASE WHEN l_orderkey % 4 = 0 OR l_linenumber % 4 = 3 THEN 'stroke' ELSE 'picture' END AS kind, (l_partkey % 640 - 40)::DOUBLE AS a, (l_suppkey % 800 - 10)::DOUBLE AS b, (l_quantity * CASE WHEN l_linenumber % 3 = 0 THEN 20 ELSE 6 END)::DOUBLE AS g FROM lineitem),
+    c AS (SELECT page, kind, greatest(0.0, least(612.0, a)) AS x0, greatest(0.0, least(792.0, b)) AS y0, greatest(0.0, least(612.0, a + g)) AS x1, greatest(0.0, least(792.0, b + g)) AS y1 FROM r),
+    m AS (SELECT *, greatest(0, x1 - x0) AS w, greatest(0, y1 - y0) AS h, greatest(0, x1 - x0) * greatest(0, y1 - y0) / (612.0 * 792.0) AS share FROM c),
+    pictures AS (SELECT * FROM m WHERE kind = 'picture' AND w >= 80 AND h >= 80 AND share >= 0.01 AND share <= 0.85
+        AND NOT (share <= 0.03 AND (x0 <= 0.15 * 612 OR x1 >= 0.85 * 612) AND (y0 <= 0.15 * 792 OR y1 >= 0.85 * 792))),
+    strokes AS (SELECT * FROM m WHERE kind = 'stroke' AND w >= 10 AND h >= 10 AND share >= 0.0001 AND share <= 0.85),
+    pictured AS (SELECT page FROM pictures GROUP BY 1 HAVING max(share) >= 0.10 OR sum(share) >= 0.15),
+    drawn AS (SELECT page FROM strokes WHERE page NOT IN (SELECT page FROM pictured) GROUP BY 1 HAVING count(*) >= 5),
+    rects AS (SELECT * FROM pictures WHERE page IN (SELECT page FROM pictured UNION ALL SELECT page FROM drawn) UNION ALL SELECT * FROM strokes WHERE page IN (SELECT page FROM drawn)),
+    u AS (SELECT page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM rects GROUP BY 1),
+    k AS (SELECT page, round(greatest(0.0, least(612.0, x0 - greatest(12.0, (x1 - x0) * 0.08))), 4) AS x0, round(greatest(0.0, least(792.0, y0 - greatest(12.0, (y1 - y0) * 0.08))), 4) AS y0,
+        round(greatest(0.0, least(612.0, x1 + greatest(12.0, (x1 - x0) * 0.08))), 4) AS x1, round(greatest(0.0, least(792.0, y1 + greatest(12.0, (y1 - y0) * 0.08))), 4) AS y1 FROM u)
+    SELECT *, (x1 - x0) * (y1 - y0) / (612.0 * 792.0) > 0.85 AS whole FROM k""",
 )
+
+
+def boundary_texts(t: DataFrame) -> DataFrame:
+    """Pages of documents made of the lines of each source, without the sentences that stand on all of them."""
+    marked = F.concat(F.lit("Report of "), "source", F.lit(" in "), "lang", F.lit("."))
+    own = t.select(F.concat_ws("/", "lang", "source").alias("document"), F.col("doc_id").alias("page"), marked.alias("head"), "text")
+    items = own.select("document", "page", F.posexplode(F.concat(F.array("head"), tx.paragraphs(F.col("text"))))).select("document", "page", F.col("pos").alias("n"), F.col("col").alias("text"), F.lit(0.0).alias("x"), (10_000_000 - 20.0 * F.col("pos")).alias("y"), F.lit(12.0).alias("size"))
+    return pdf.filtered_pages(items)
+
+
+_over("pdf_boundary_filter", "documents", boundary_texts)

@@ -122,8 +122,10 @@ def test_engine_end_to_end(spark, tmp_path):
     os.symlink(root / "a.txt", root / "link.txt")
     engine = Engine(spark, str(tmp_path / "db"), Settings(roots=[str(root)]))
     assert engine.status()["chunkCount"] == 0 and engine.query_documents("anything").count() == 0
-    assert engine.sync() == {"upserted": 2, "skipped": 0, "empty": 0, "pruned": 0}
-    assert engine.sync() == {"upserted": 0, "skipped": 2, "empty": 0, "pruned": 0}
+    counts = lambda out: {k: out[k] for k in ("upserted", "skipped", "empty", "pruned")}
+    first = engine.sync()
+    assert counts(first) == {"upserted": 2, "skipped": 0, "empty": 0, "pruned": 0} and first["coverage"]["symlinks"] == [str(root / "link.txt")]
+    assert counts(engine.sync()) == {"upserted": 0, "skipped": 2, "empty": 0, "pruned": 0}
     top = engine.query_documents("tomatoes water", 5).collect()
     assert top[0]["filePath"].endswith("b.md") and top[0]["fileTitle"] == "Gardening" and [r["score"] for r in top] == sorted(r["score"] for r in top)
     assert {r["filePath"] for r in engine.query_documents("tomatoes", 5, str(root / "sub")).collect()} == {str(root / "sub" / "b.md")}
@@ -136,7 +138,7 @@ def test_engine_end_to_end(spark, tmp_path):
     assert len(around) == 1 and around[0]["isTarget"]
     (root / "a.txt").write_text(TEXT.upper())
     (root / "sub" / "b.md").unlink()
-    assert engine.sync() == {"upserted": 1, "skipped": 0, "empty": 0, "pruned": 1}
+    assert counts(engine.sync()) == {"upserted": 1, "skipped": 0, "empty": 0, "pruned": 1}
     gone = engine.delete_file(source="https://ex.org/p")
     assert gone["removedChunks"] == 1 and not os.path.exists(gone["filePath"]) and not engine.delete_file(source="https://ex.org/p")["existed"]
     for bad in ("relative.txt", "/etc/passwd", str(root / "missing" / ".." / ".." / "x.txt")):
