@@ -54,6 +54,17 @@ def work_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Outputs that queries have written in this process.
+OUTPUTS: list[str] = []
+
+
+def output_path(spark: SparkSession, name: str) -> str:
+    """A fresh path under the shared folder for files that are a query's output: they stay until their user removes them."""
+    path = f"{shared_dir(spark)}/marlspike/{name}-{uuid.uuid4().hex[:12]}"
+    OUTPUTS.append(path)
+    return path
+
+
 def release() -> None:
     """Remove the work tables made so far."""
     gone, _LIVE[:] = _LIVE[:], []

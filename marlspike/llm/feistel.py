@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import filesystem, shipped, work_path, written
+from .common import filesystem, output_path, shipped, work_path, written
 from .words import U, mix, row_slices, texts
 
 LENGTH = 1024
@@ -309,8 +309,8 @@ def write_indexed(docs: DataFrame, path: str, vocabulary: str = bpe.VOCABULARY,
 
 
 def materialised(docs: DataFrame) -> DataFrame:
-    """The index of the shards, their files in the cluster's shared folder."""
-    return write_indexed(docs, work_path(docs.sparkSession, "shards"))
+    """The index of the shards; their files stay in the cluster's shared folder (``common.OUTPUTS`` has the path)."""
+    return write_indexed(docs, output_path(docs.sparkSession, "shards"))
 
 
 def read_slots(path: str, start: int, stop: int, length: int = LENGTH, per_shard: int = PER_SHARD, kind: str = "<u2") -> Iterator[np.ndarray]:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, work_path
+from .common import filesystem, output_path
 
 FILE_BYTES = 64 << 20
 DICTIONARY_BYTES = 112_640
@@ -138,8 +138,8 @@ def write_warc(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES, date:
 
 
 def archived(pages: DataFrame) -> DataFrame:
-    """The archive's index, its files in the cluster's shared folder."""
-    return write_warc(pages, work_path(pages.sparkSession, "warc"))
+    """The archive's index; its files stay in the cluster's shared folder (``common.OUTPUTS`` has the path)."""
+    return write_warc(pages, output_path(pages.sparkSession, "warc"))
 
 
 def fields_of(head: bytes) -> dict[str, str]:

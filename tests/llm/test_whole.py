@@ -7,9 +7,9 @@ from marlspike.llm import common, decontaminate, feistel, langid, queries
 
 
 def test_training_order_query_writes_its_shards(spark, sf):
-    before = set(common._LIVE)
+    before = set(common.OUTPUTS)
     index = queries.QUERIES["op2_training_order"](spark, sf).collect()
-    (path,) = [p for p in common._LIVE if p not in before and "/shards-" in p]
+    (path,) = [p for p in common.OUTPUTS if p not in before and "/shards-" in p]
     want = feistel.ordered(common.table(spark, sf, "documents")).orderBy("slot").collect()
     assert [r["slot"] for r in sorted(index, key=lambda r: r["slot"])] == list(range(len(want)))
     read = list(feistel.read_slots(path, 0, len(want)))
@@ -17,6 +17,7 @@ def test_training_order_query_writes_its_shards(spark, sf):
     for got, w in zip(read, want):
         assert got.tobytes() == w["record"]
     files, base = common.filesystem(path)
+    common.release()  # the end of the process doesn't take the output away
     for r in index:
         w = want[r["slot"]]
         assert (r["shard"], r["byte_offset"], r["doc_id"], r["sequence"], r["n_tokens"]) == tuple(w[1:6])
