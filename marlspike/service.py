@@ -181,7 +181,7 @@ class Engine:
 
     def _stage(self, files: DataFrame) -> DataFrame:
         """The rows, written once in the store's folder so that they are parsed and embedded once."""
-        at = os.path.join(self.db, "chunks", f".staged-{uuid.uuid4().hex}")
+        at = f"{self.store.path}/.staged-{uuid.uuid4().hex}"
         self._rows(files.where("error IS NULL")).write.parquet(at)
         return self.spark.read.schema(SCHEMA).parquet(at)
 
@@ -193,12 +193,7 @@ class Engine:
                 engine._write(wait)
 
             def __exit__(self, *_):
-                import shutil
-
-                base = os.path.join(engine.db, "chunks")
-                for name in os.listdir(base) if os.path.isdir(base) else []:
-                    if name.startswith(".staged-"):
-                        shutil.rmtree(os.path.join(base, name), ignore_errors=True)
+                engine.store.drop_hidden(".staged-")
                 engine._writing.release()
 
         return Held()

@@ -134,7 +134,8 @@ def _table(node) -> list[str]:
     nested = any(True for c in node.iter(_WORD + "tc") for _ in c.iter(_WORD + "tbl"))
     if len(rows) < 2 or spans or nested or len({len(r) for r in rows}) != 1:
         return [" ".join(x for r in rows for x in r if x)]
-    return ["\n".join(f"{h}: {v}" for h, v in zip(rows[0], row) if v) for row in rows[1:]]
+    names = [h or f"Column {k}" for k, h in enumerate(rows[0], 1)]
+    return ["\n".join(f"{h}: {v}" for h, v in zip(names, row) if v) for row in rows[1:]]
 
 
 def docx_text(content: bytes) -> tuple[str, str, list[tuple[int, int]]]:
@@ -156,8 +157,10 @@ def docx_text(content: bytes) -> tuple[str, str, list[tuple[int, int]]]:
             name = style.get(_WORD + "val", "") if style is not None else ""
             level = int(name[-1]) if re.fullmatch(r"[Hh]eading ?[1-6]", name) else 0
             title = title or (text if level == 1 else "")
-            item = node.find(f"{_WORD}pPr/{_WORD}numPr") is not None
-            blocks.append(("#" * level + " " + text if level else "- " + text if item else text, False))
+            item = node.find(f"{_WORD}pPr/{_WORD}numPr")
+            depth = item.find(_WORD + "ilvl") if item is not None else None
+            indent = "  " * int(depth.get(_WORD + "val", "0")) if depth is not None else ""
+            blocks.append(("#" * level + " " + text if level else indent + "- " + text if item is not None else text, False))
     out, ranges, at = [], [], 0
     for text, atomic in blocks:
         if atomic:

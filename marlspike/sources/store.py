@@ -177,6 +177,12 @@ class Store:
             if stem[:2] in ("c-", "m-") and info.base_name != now and stem not in used and time.time_ns() - int(stem.split("-")[1]) > grace * 1e9:
                 (self.files_.delete_dir if info.type == pafs.FileType.Directory else self.files_.delete_file)(info.path)
 
+    def drop_hidden(self, prefix: str) -> None:
+        """Remove the folders beside the rows whose names begin so."""
+        for info in self.files_.get_file_info(pafs.FileSelector(self.base, allow_not_found=True)):
+            if info.base_name.startswith(prefix):
+                self.files_.delete_dir(info.path)
+
     def files(self, scope: str | list[str] | None = None) -> DataFrame:
         rows = self.read().where("filePath IS NOT NULL")
         if scope:

@@ -244,6 +244,9 @@ def test_whole_units():
     row = lambda *c: "<w:tr>" + "".join(f"<w:tc>{p(x)}</w:tc>" for x in c) + "</w:tr>"
     body, _, ranges, _ = readers.parse("/x.docx", docx(p("Intro.") + "<w:tbl>" + row("A", "B") + row("1. x", "2") + "</w:tbl>"))
     assert ("A: 1. x\nB: 2", True) in chunker.sentence_units(body, ranges)
+    item = lambda t, k: f'<w:p><w:pPr><w:numPr><w:ilvl w:val="{k}"/></w:numPr></w:pPr><w:r><w:t>{t}</w:t></w:r></w:p>'
+    body = readers.docx_text(docx(item("one", 0) + item("two", 1) + "<w:tbl>" + row("", "B") + row("1", "") + "</w:tbl>"))[0]
+    assert body == "- one\n\n  - two\n\nColumn 1: 1"
 
 
 def test_batches_keep_order_and_defer_long_texts():
