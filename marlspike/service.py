@@ -228,11 +228,13 @@ class Engine:
             f.write(data)
         os.replace(hidden, name)
 
-    def read_chunk_neighbors(self, chunk: int, path: str | None = None, source: str | None = None, before: int = 2, after: int = 2) -> DataFrame:
+    def read_chunk_neighbors(self, chunk: int, path: str | None = None, source: str | None = None, before: int = 2, after: int = 2) -> list[dict]:
+        """The chunks around one in order, the target flagged; none if there are none."""
         if (path is None) == (source is None) or chunk < 0 or not (0 <= before <= 50 and 0 <= after <= 50):
             raise ValueError("either path or source, an index from 0, and 0 to 50 neighbours on either side")
-        rows = self.store.chunk_range(path or self.raw_path(source), max(0, chunk - before), chunk + after)
-        return rows.withColumn("isTarget", F.col("chunkIndex") == chunk)
+        target = path or self.raw_path(source)
+        known = {"source": source} if source is not None else {}
+        return [r | {"isTarget": r["chunkIndex"] == chunk} | known for r in self.store.range_rows(target, max(0, chunk - before), chunk + after)]
 
     def _disk(self, files: list[str]) -> DataFrame:
         if not files:

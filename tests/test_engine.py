@@ -134,7 +134,7 @@ def test_engine_end_to_end(spark, tmp_path):
     files, rest = engine.list_files()
     assert [(os.path.basename(r["filePath"]), r["ingested"]) for r in files.collect()] == [("a.txt", True), ("b.md", True)]
     assert [r["source"] for r in rest.collect()] == ["https://ex.org/p"]
-    around = engine.read_chunk_neighbors(0, source="https://ex.org/p").collect()
+    around = engine.read_chunk_neighbors(0, source="https://ex.org/p")
     assert len(around) == 1 and around[0]["isTarget"]
     (root / "a.txt").write_text(TEXT.upper())
     (root / "sub" / "b.md").unlink()
