@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import query_grams
-from ..functions.vectors import distance, literal
+from ..functions.vectors import distance_to
 
 KEY = ["filePath", "chunkIndex"]
 HITS = "filePath string, chunkIndex int, bm25 double"
@@ -44,7 +44,7 @@ def nearest(chunks: DataFrame, vector: Sequence[float], limit: int = 10, scope:
         raise ValueError(f"limit must be from 1 to {MOST}, not {limit}")
     if scope:
         chunks = chunks.where(in_scope(F.col("filePath"), scope))
-    scored = chunks.where("vector IS NOT NULL").withColumn("score", distance(F.col("vector"), literal(vector))).drop("vector")
+    scored = chunks.where("vector IS NOT NULL").withColumn("score", distance_to(vector)(F.col("vector"))).drop("vector").where("score IS NOT NULL")
     if max_distance is not None:
         scored = scored.where(F.col("score") < max_distance)
     return scored.orderBy("score", *KEY).limit(2 * limit)

@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 from marlspike import __main__ as cli
 from marlspike.functions import text as tx
+from marlspike.functions import vectors
 from marlspike.operators import chunker, pdf, search, sync
 from marlspike.plans import catalog
 from marlspike.service import Engine, Settings
@@ -94,6 +95,17 @@ def test_keywords_that_fail_leave_the_vectors_order(spark):
     assert search.not_absolute(["a/b", "/c", "C:\\x", "~/d"]) == ["a/b", "~/d"] and search.not_absolute(None) == []
 
 
+def test_distances_are_those_of_the_column_function(spark):
+    rng = np.random.default_rng(2)
+    made = [(k, rng.normal(size=5).astype(np.float32).tolist()) for k in range(200)]
+    df = spark.createDataFrame(made, "k int, v array<float>")
+    want = rng.normal(size=5).tolist()
+    got = df.select(vectors.distance_to(want)(F.col("v")).alias("a"), vectors.distance(F.col("v"), vectors.literal(want)).alias("b")).collect()
+    assert all(abs(r["a"] - r["b"]) < 2e-9 for r in got)
+    odd = spark.createDataFrame([(None,), ([],), ([1.0, None],), ([1.0, 2.0, 3.0],), ([1.0, 0.0],)], "v array<double>")
+    assert [r[0] for r in odd.select(vectors.distance_to([1.0, 0.0])(F.col("v"))).collect()] == [None, None, None, None, 0.0]
+
+
 # sync
 
 
