@@ -25,6 +25,9 @@ DIMENSIONS = 384
 _CODE = regex.compile(r"```.*?```|`[^`\n]+`", regex.S)
 _BREAK = regex.compile(r"\n{2,}|\n(?=\S)|(?<=\x00)\n")
 _END = regex.compile(r"""(?:[.!?…]+["'”’)\]]*(?=\s+(?!\p{Ll}))|[。？！]["'”’」』)]*)\s*""")
+_HEADING = regex.compile(r"#{1,6}\s")
+_HIDDEN = regex.compile(r"\x00(\d+)\x00")
+_LATIN = regex.compile("[A-Za-z0-9]")
 _DECORATION = regex.compile(r"[-=_.*#|~`@!%^&*()\[\]{}\\/<>:+\s]+")
 
 
@@ -39,7 +42,7 @@ def sentences(text: str) -> list[str]:
     out: list[str] = []
     for part in _BREAK.split(_CODE.sub(hide, text.replace("\x00", ""))):
         part = part.strip()
-        if regex.match(r"#{1,6}\s", part):
+        if _HEADING.match(part):
             out.append(part)
             continue
         at = 0
@@ -47,7 +50,7 @@ def sentences(text: str) -> list[str]:
             out.append(part[at : m.end()])
             at = m.end()
         out.append(part[at:])
-    shown = (regex.sub(r"\x00(\d+)\x00", lambda m: codes[int(m[1])], s).strip() for s in out)
+    shown = (_HIDDEN.sub(lambda m: codes[int(m[1])], s).strip() if codes else s.strip() for s in out)
     return [s for s in shown if s]
 
 
@@ -73,7 +76,7 @@ def is_garbage(text: str) -> bool:
     t = text.strip()
     if not t:
         return True
-    if regex.search("[A-Za-z0-9]", t):
+    if _LATIN.search(t):
         return False
     return bool(_DECORATION.fullmatch(t)) or max(map(t.count, set(t))) / (len(t.encode("utf-16-le")) / 2) > 0.8
 
