@@ -52,7 +52,7 @@ def main(args: list[str] | None = None) -> int:
             "query": lambda: rows(engine.query_documents(a.text, a.limit, a.scope)),
             "ingest": lambda: engine.ingest_files(list(dict.fromkeys(f for p in a.paths for f in scan.files_of(os.path.abspath(p), settings.roots, [engine.db])))),
             "read-neighbors": lambda: engine.read_chunk_neighbors(a.chunk, a.path, a.source, a.before, a.after),
-            "list": lambda: dict(zip(("files", "sources"), map(rows, engine.list_files(a.scope)))),
+            "list": lambda: engine.base_dirs() | dict(zip(("files", "sources"), map(rows, engine.list_files(a.scope)))),
             "delete": lambda: engine.delete_file(a.path, a.source),
             "status": engine.status,
             "sync": lambda: engine.sync(a.path),

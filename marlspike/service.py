@@ -6,7 +6,9 @@ import datetime
 import json
 import os
 import re
+import resource
 import threading
+import time
 import uuid
 import warnings
 from collections.abc import Callable
@@ -86,6 +88,7 @@ class Engine:
     def __init__(self, spark: SparkSession, db: str, settings: Settings | None = None, embed: Callable[[list[str]], np.ndarray] = chunker.hashed_vectors, pdf: Callable | None = None, caption: Callable | None = None):
         self.spark, self.db, self.settings, self.embed, self.pdf = spark, os.path.abspath(db), (settings or Settings()).checked(), embed, pdf
         self.caption = caption
+        self._began = time.monotonic()
         self.store = Store(spark, os.path.join(self.db, "chunks"))
         self._writing = threading.Lock()
         self._job: dict | None = None
@@ -119,11 +122,24 @@ class Engine:
     def query_documents(self, query: str, limit: int = 10, scope: str | list[str] | None = None) -> DataFrame:
         if not query.strip():
             raise ValueError("the query is empty")
+        if not isinstance(limit, int) or isinstance(limit, bool):
+            raise ValueError("the limit is a whole number")
+        scope = self._scopes(scope)
         s = self.settings
         self._warn(scope)
         found = search.search(self.store.read(), self.embed([query])[0].tolist(), query, limit, scope, s.max_distance, s.grouping, s.hybrid_weight, s.max_files, self.store.postings)
         return found.select("filePath", "chunkIndex", "text", "score", "fileTitle", tx.raw_source(F.col("filePath"), self.db).alias("source"))
 
+    @staticmethod
+    def _scopes(scope: str | list[str] | None) -> list[str] | None:
+        """The scopes without space around them; none may be blank."""
+        if scope is None:
+            return None
+        found = [s.strip() if isinstance(s, str) else "" for s in ([scope] if isinstance(scope, str) else scope)]
+        if not all(found):
+            raise ValueError("a scope is a path or a list of paths")
+        return found or None
+
     @staticmethod
     def _warn(scope: str | list[str] | None) -> None:
         for s in search.not_absolute(scope):
@@ -257,6 +273,7 @@ class Engine:
 
     def list_files(self, scope: str | list[str] | None = None) -> tuple[DataFrame, DataFrame]:
         """(files on disk with what is stored of them, stored files that aren't there)."""
+        scope = self._scopes(scope)
         disk = self.spark.createDataFrame([(p,) for p in self._scan()[0]], "filePath string")
         self._warn(scope)
         files, rest = sync.listed(disk, self.store.read()), sync.sources(disk, self.store.read(), scope, self.db)
@@ -280,8 +297,13 @@ class Engine:
                     gone = True
         return {"filePath": target, "deleted": True, "removedChunks": n, "existed": n > 0 or gone, "timestamp": datetime.datetime.now(datetime.UTC).isoformat(timespec="milliseconds").replace("+00:00", "Z")}
 
+    def base_dirs(self) -> dict:
+        return {"baseDir": self.settings.roots[0], "baseDirs": list(self.settings.roots)}
+
     def status(self) -> dict:
-        return self.store.status() | {"ftsIndexEnabled": True, "searchMode": "hybrid" if self.settings.hybrid_weight > 0 else "vector"}
+        """Counts of the store, the driver's memory in MB and the seconds since the engine began."""
+        memory = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+        return self.store.status() | {"memoryUsage": round(memory, 1), "uptime": round(time.monotonic() - self._began, 3), "ftsIndexEnabled": True, "searchMode": "hybrid" if self.settings.hybrid_weight > 0 else "vector"}
 
     def sync(self, path: str | None = None, progress: Callable[[int, int], None] = lambda total, completed: None) -> dict:
         """Stored chunks brought in line with the folders (or one of them, or one file) in a single commit.

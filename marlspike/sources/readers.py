@@ -20,6 +20,7 @@ MOST_BYTES = 100 << 20
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _DROP = frozenset("script style nav header footer aside noscript template iframe form svg head".split())
 _PARAGRAPH = frozenset("p div section article main ul ol table tr blockquote pre h1 h2 h3 h4 h5 h6 body".split())
+_MARKS = {"em": "_", "i": "_", "strong": "**", "b": "**", "code": "`"}
 _VOID = frozenset("br hr img input link meta area base col embed source track wbr".split())
 
 
@@ -31,6 +32,7 @@ class _Markdown(HTMLParser):
         self.hidden: list[str] = []
         self.lists: list[list] = []
         self.links: list[str] = []
+        self.marks: list[str] = []
         self.code = False
         self.in_title = False
 
@@ -55,12 +57,9 @@ class _Markdown(HTMLParser):
             kind = self.lists[-1] if self.lists else ["ul", 0]
             kind[1] += 1
             self.out.append("\n" + "  " * max(0, len(self.lists) - 1) + ("- " if kind[0] == "ul" else f"{kind[1]}. "))
-        elif tag in ("em", "i"):
-            self.out.append("_")
-        elif tag in ("strong", "b"):
-            self.out.append("**")
-        elif tag == "code" and not self.code:
-            self.out.append("`")
+        elif tag in _MARKS and not (tag == "code" and self.code):
+            self.marks.append(tag)
+            self.out.append(_MARKS[tag])
         elif tag == "br":
             self.out.append("\n")
         elif tag == "a":
@@ -80,12 +79,9 @@ class _Markdown(HTMLParser):
         if tag == "pre":
             self.out.append("\n```")
             self.code = False
-        elif tag in ("em", "i"):
-            self.out.append("_")
-        elif tag in ("strong", "b"):
-            self.out.append("**")
-        elif tag == "code" and not self.code:
-            self.out.append("`")
+        elif tag in self.marks:  # one that wasn't opened closes nothing
+            self.marks.remove(tag)
+            self.out.append(_MARKS[tag])
         elif tag == "a" and self.links:
             to = self.links.pop()
             self.out.append(f"]({to})" if to else "]")
@@ -99,12 +95,87 @@ class _Markdown(HTMLParser):
             self.out.append(data if self.code else re.sub(r"\s+", " ", data))
 
 
+_HOLDS = frozenset("body div section article main td blockquote".split())
+_COUNTS = frozenset("p pre td li blockquote div".split())
+
+
+class _Scores(HTMLParser):
+    """Where the containers of a page begin and end, with a score for the running text right inside them."""
+
+    def __init__(self, html: str):
+        super().__init__(convert_charrefs=True)
+        self.lines = [0, *(m.end() for m in re.finditer("\n", html))]
+        self.stack: list[dict] = []
+        self.found: list[dict] = []
+        self.hidden = self.links = 0
+        self.feed(html)
+        self.close()
+        while self.stack:
+            self._end(len(html))
+
+    def _at(self) -> int:
+        line, column = self.getpos()
+        return self.lines[line - 1] + column
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in _DROP
+        self.links += tag == "a"
+        if tag not in _VOID:
+            if tag in ("p", "li", "td") and self.stack and self.stack[-1]["tag"] == tag:
+                self._end(self._at())
+            self.stack.append({"tag": tag, "start": self._at(), "text": 0, "linked": 0, "commas": 0, "score": 0.0})
+
+    def handle_endtag(self, tag):
+        if any(x["tag"] == tag for x in self.stack):
+            while self.stack[-1]["tag"] != tag:
+                self._end(self._at())
+            self._end(self._at())
+
+    def _end(self, at: int) -> None:
+        x = self.stack.pop()
+        self.hidden -= x["tag"] in _DROP
+        self.links -= x["tag"] == "a"
+        x["end"] = at
+        above = self.stack[-1] if self.stack else None
+        if x["tag"] in _COUNTS and x.get("own", 0) >= 25:
+            gain = 1 + x["commas"] + min(3, x["own"] / 100)
+            for share, holder in zip((1.0, 0.5), reversed([y for y in self.stack if y["tag"] in _HOLDS])):
+                holder["score"] += gain * share
+        if above:
+            above["text"] += x["text"]
+            above["linked"] += x["linked"]
+        if x["tag"] in _HOLDS:
+            self.found.append(x)
+
+    def handle_data(self, data):
+        n = len(data.strip())
+        if n and self.stack and not self.hidden:
+            x = self.stack[-1]
+            x["text"] += n
+            x["linked"] += n if self.links else 0
+            near = next((y for y in reversed(self.stack) if y["tag"] in _COUNTS), x)
+            near["own"] = near.get("own", 0) + n
+            near["commas"] += len(re.findall("[,，、]", data))
+
+
 def _main(html: str) -> str:
-    """The page's article or main part, if it has just one."""
+    """The part of a page that holds its content.
+
+    That is its article or main part, if it has just one.  Otherwise each paragraph of 25 characters or more scores for
+    the containers around it, by its length and commas, and links count against a container; the best one is the
+    content if it holds half of the visible text, else all of the page is.
+    """
     for tag in ("article", "main"):
         found = re.findall(rf"<{tag}\b.*?</{tag}\s*>", html, re.S | re.I)
         if len(found) == 1:
             return found[0]
+    found = _Scores(html).found
+    whole = max((x["text"] for x in found), default=0)
+    scored = [(x["score"] * (1 - x["linked"] / x["text"]), -x["start"], x) for x in found if x["text"] and x["score"] > 0]
+    if scored:
+        best = max(scored, key=lambda y: y[:2])[2]
+        if best["tag"] != "body" and 2 * best["text"] >= whole:
+            return html[best["start"] : best["end"]]
     return html
 
 

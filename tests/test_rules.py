@@ -405,3 +405,35 @@ def test_captions_join_the_chunks(spark, tmp_path):
     assert plain["chunkCount"] == made["chunkCount"] - 2
     with pytest.raises(ValueError):
         Engine(spark, str(tmp_path / "db2"), Settings(roots=[str(root)]), pdf=read).ingest_file(str(root / "f.pdf"), visual=True)
+
+
+def test_content_of_pages():
+    text = "A long sentence about sailing, the sea, and boats, which goes on for a while."
+    bar = "".join(f"<li><a href=/{k}>link number {k} of the site</a></li>" for k in range(6))
+    page_ = f"<html><body><div id=side><ul>{bar}</ul></div><div id=top>short</div><div id=text><p>{text}</p><p>{text}</p><p>{text}</p></div></body></html>"
+    made, _ = readers.html_markdown(page_)
+    assert made.count("sailing") == 3 and "link number" not in made and "short" not in made
+    even = f"<body><div><p>{text}</p></div><section><p>{text.replace('sailing', 'rowing')}</p></section><div><p>{text.replace('sailing', 'diving')}</p></div></body>"
+    assert all(w in readers.html_markdown(even)[0] for w in ("sailing", "rowing", "diving"))
+    assert readers.html_markdown("<p>one<p>two</div></b>")[0] == "one\n\ntwo"
+    assert readers.html_markdown("<div>" * 2000 + text)[0] == text
+
+
+def test_arguments_of_tools(spark, tmp_path):
+    engine, root = engine_of(spark, tmp_path, {"a.txt": LINE.format(1)})
+    for scope in ("", " ", ["/a", ""], [3]):
+        with pytest.raises(ValueError):
+            engine.query_documents("q", scope=scope)
+        with pytest.raises(ValueError):
+            engine.list_files(scope)
+    for limit in (0, 21, 1.5, True):
+        with pytest.raises(ValueError):
+            engine.query_documents("q", limit)
+    engine.ingest_file(str(root / "a.txt"))
+    assert engine.query_documents("subject", scope=f"  {root} ").count() == 1
+    found = engine.status()
+    assert found["chunkCount"] == 1 and found["memoryUsage"] > 0 and found["uptime"] > 0 and engine.base_dirs() == {"baseDir": str(root), "baseDirs": [str(root)]}
+    with pytest.raises(ValueError):
+        engine.delete_file(path="/a", source="b")
+    with pytest.raises(ValueError):
+        engine.read_chunk_neighbors(0, path="/a", before=51)
