@@ -2,8 +2,8 @@
 
 For an item of n words every n-word window of a document that has a shingle in common with the item gets a
 64-bit SimHash of its words (a window without one has similarity 0 and can't be reported).  The items' own
-fingerprints stand in four tables, one for each 16-bit block: two fingerprints within ``radius`` differ in at
-most radius // 4 bits of some block, so probing every key that close in all four tables misses none.  A
+fingerprints stand in ``BLOCKS`` tables, one for each block of 10 or 11 bits: two fingerprints within ``radius`` differ in at
+most radius // ``BLOCKS`` bits of some block, so probing every key that close in all tables misses none.  A
 candidate within the radius is reported if the Jaccard similarity of the two sets of word shingles, weighted by
 the rarity of each shingle among the items, reaches ``least``.
 
@@ -34,9 +34,10 @@ from .common import loaded, shipped
 from .words import LETTERS, U, row_slices, shingles, texts, words
 
 SHINGLE = 3
-RADIUS = 11
+#: At least 0.9 of the edited passages that the verification would keep are this close, up to eight words replaced in a row.
+RADIUS = 15
 LEAST = 0.5
-BLOCKS = 4
+BLOCKS = 6
 SEGMENT = 200_000
 #: Bytes of benchmark text that one index may hold; a larger benchmark is searched in several passes.
 INDEX_BYTES = 16 << 20
@@ -85,28 +86,28 @@ class Index:
             flags = np.zeros(1 << _FLAGS_BITS, bool)
             flags[keys >> U(64 - _FLAGS_BITS)] = True
             self.lookup[k] = flags, keys, np.array([n for _, n in pairs], np.int64)
-        width = 64 // BLOCKS
-        self.width = width
+        edges = [64 * b // BLOCKS for b in range(BLOCKS + 1)]
         self.tables = []
-        for b in range(BLOCKS):
-            key = (self.prints >> U(b * width)) & U((1 << width) - 1)
+        for low, high in zip(edges, edges[1:]):
+            width = high - low
+            key = (self.prints >> U(low)) & U((1 << width) - 1)
             order = np.argsort(key, kind="stable")
-            self.tables.append((order, np.searchsorted(key[order], np.arange((1 << width) + 1, dtype=U))))
-        near = radius // BLOCKS
-        self.probes = np.array([sum(1 << x for x in c) for n in range(near + 1) for c in itertools.combinations(range(width), n)], U)
+            starts = np.searchsorted(key[order], np.arange((1 << width) + 1, dtype=U))
+            probes = [sum(1 << x for x in c) for n in range(radius // BLOCKS + 1) for c in itertools.combinations(range(width), n)]
+            self.tables.append((U(low), U((1 << width) - 1), np.array(probes, U), order, starts))
 
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All pairs (row of prints, item) within the radius."""
         rows, found = [], []
         for a in range(0, len(prints), 4096):
             part = prints[a : a + 4096]
-            for b, (order, starts) in enumerate(self.tables):
-                key = (((part >> U(b * self.width)) & U((1 << self.width) - 1))[:, None] ^ self.probes).astype(np.int64)
-                low = starts[key]
-                n = starts[key + 1] - low
+            for low, mask, probes, order, starts in self.tables:
+                key = (((part >> low) & mask)[:, None] ^ probes).astype(np.int64)
+                first = starts[key]
+                n = starts[key + 1] - first
                 r, c = np.nonzero(n)
                 m = n[r, c]
-                at = np.repeat(low[r, c], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                at = np.repeat(first[r, c], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
                 row, item = np.repeat(r, m), order[at]
                 near = np.bitwise_count(part[row] ^ self.prints[item]) <= self.radius
                 rows.append(row[near] + a)

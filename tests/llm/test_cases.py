@@ -337,3 +337,20 @@ def test_words_of_one_kind_only():
     doc, key, at, n = passages.segments(h, first, 50, 8)
     assert n.tolist() == [2951]
     assert len(words(*texts(pa.array([None, ""], pa.string()), True), LETTERS)[0]) == 0
+
+
+def test_radius_finds_nine_in_ten_edited_passages(spark):
+    """Fingerprints against the verification alone, passages with a block of words replaced."""
+    items = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()]
+    index, rng = decontaminate.Index(items), np.random.default_rng(1)
+    for block in (1, 3, 5, 8):
+        near = []
+        for i, own in enumerate(index.words):
+            n = min(block, len(own))
+            at = rng.integers(0, len(own) - n + 1)
+            edited = own.copy()
+            edited[at : at + n] = rng.integers(0, 2**63, n, dtype=np.uint64)
+            if index.similarity(edited, i) >= decontaminate.LEAST:
+                print_ = decontaminate.fingerprints(decontaminate.bits(edited).sum(axis=0, dtype=np.int32)[None])
+                near.append(i in index.candidates(print_)[1])
+        assert len(near) > 100 and np.mean(near) >= (0.85 if block == 8 else 0.9)
