@@ -6,7 +6,7 @@ segment of text.  Minimizers that only one document has go no further, and equal
 partition's segments, cut to the windows whose hash occurs twice among the segments of a minimizer (no other window
 can recur), form a text whose suffixes are sorted by external induction (``induced``); neighbours that have
 50 words in common are one passage, and belong to the document with the smallest ``doc_id``.  The segments of a
-minimizer that outgrow ``_BATCH`` bytes are sorted uncut.
+minimizer that outgrow ``_BATCH`` bytes are sorted uncut; those of one that has more than ``HOT`` of them are cut in Spark before.
 
 Places don't travel with the text.  A task numbers its different segments and writes (number, document, place) for
 each occurrence beside (number, segment); sorting gives ranges of segments, which are joined to the places by number.  A
@@ -42,6 +42,8 @@ from .words import SPACES, U, mix, row_slices, shingles, texts, words
 
 WINDOW = 50
 GRAM = 8
+#: Segments of a minimizer beyond which its windows are counted in Spark before they are sorted; the result is the same.
+HOT = 10_000
 _BATCH = 4 << 20
 _NOBODY = (1 << 63) - 1
 _FACTOR = U(0xA0761D6478BD642F)
@@ -202,7 +204,41 @@ class Shard:
                     begin = k
 
 
-def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = ITEMS) -> DataFrame:
+def _with_cuts(source: DataFrame, cuts: DataFrame) -> DataFrame:
+    """(row, doc_id, text, cuts) of the documents that have some; rows are told apart by their hash and their id."""
+    wanted = cuts.groupBy("row", "doc_id").agg(F.collect_list(F.struct("key", "at", "begin", "end")).alias("cuts"))
+    return source.alias("s").join(wanted.alias("w"), (F.col("s.row") == F.col("w.row")) & F.col("s.doc_id").eqNullSafe(F.col("w.doc_id"))).select("s.row", "s.doc_id", "text", "cuts")
+
+
+def _recurring(joined: DataFrame, window: int) -> DataFrame:
+    """The cuts of hot minimizers, (row, doc_id, key, at, begin, end), narrowed to the windows that recur in another document.
+
+    Counting windows by their hash is spread over all tasks and combined before the shuffle; what is left of a passage that
+    stands in very many documents is the same in each of them, so that it reaches the sorter as one segment.
+    """
+    kinds = "row long, doc_id long, key long, at int, hash long, begin int, end int"
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in kinds.split(", ")]
+        for whole in batches:
+            for batch in row_slices(whole, "text"):
+                for row, doc, text, found in zip(*(batch.column(k).to_pylist() for k in (0, 1)), batch.column(2).cast(pa.large_binary()).to_pylist(), batch.column(3).to_pylist()):
+                    for c in found:
+                        data = np.frombuffer(text, np.uint8)[c["begin"] : c["end"]]
+                        h, start, end, _ = words(data, np.array([0, len(data)]), SPACES)
+                        n = len(h) - window + 1
+                        columns = [np.full(n, row), None, np.full(n, c["key"]), c["at"] + np.arange(n), window_hashes(h, window).view(np.int64), c["begin"] + start[:n], c["begin"] + end[window - 1 :]]
+                        yield pa.RecordBatch.from_arrays([pa.array([doc] * n, pa.int64()) if x is None else pa.array(x, t) for x, t in zip(columns, (pa.int64(), None, pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()))], names)
+
+    spots = written(joined.mapInArrow(spread, kinds), "windows")
+    again = spots.groupBy("key", "hash").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low <> high").select("key", "hash")
+    kept = spots.join(again, ["key", "hash"], "left_semi").select("row", "doc_id", "key", "at", "begin", "end").distinct()
+    own = Window.partitionBy("row", "doc_id", "key").orderBy("at")
+    spans = kept.withColumn("island", F.col("at") - F.row_number().over(own)).groupBy("row", "doc_id", "key", "island")
+    return spans.agg(F.min("at").alias("at"), F.min("begin").alias("begin"), F.max("end").alias("end")).select("row", "doc_id", "key", "at", "begin", "end")
+
+
+def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = ITEMS, hot: int = HOT) -> DataFrame:
     """(doc_id, word_start, n_words, owner_id) of every passage that recurs in another document."""
     shared = shared_dir(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text") >= 2 * window - 1).withColumn("row", F.xxhash64("doc_id", "text"))
@@ -217,10 +253,12 @@ def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int
                 yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "key", "at", "begin", "end"])
 
     cuts = written(source.select("text", "row", "doc_id").mapInArrow(cut, "row long, doc_id long, key long, at int, begin int, end int"), "cuts")
-    keys = cuts.groupBy("key").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low <> high").select("key")
-    wanted = cuts.join(keys, "key", "left_semi").groupBy("row", "doc_id").agg(F.collect_list(F.struct("key", "at", "begin", "end")).alias("cuts"))
-    # rows are told apart by their hash and their id
-    joined = source.alias("s").join(wanted.alias("w"), (F.col("s.row") == F.col("w.row")) & F.col("s.doc_id").eqNullSafe(F.col("w.doc_id"))).select("s.row", "s.doc_id", "text", "cuts")
+    keys = written(cuts.groupBy("key").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", (F.col("n") > hot).alias("hot")), "keys")
+    known = cuts.join(keys, "key")
+    wanted = known.where("NOT hot").drop("hot")
+    if not keys.where("hot").isEmpty():
+        wanted = wanted.unionByName(_recurring(_with_cuts(source, known.where("hot")), window))
+    joined = _with_cuts(source, wanted)
     kinds = "number long, row long, doc_id long, at int, key long, seg binary, low long, high long, owner long"
     names = [x.split()[0] for x in kinds.split(", ")]
     arrow = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]

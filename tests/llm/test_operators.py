@@ -350,6 +350,7 @@ def test_suffixes_are_sorted(spark, most):
 
 def test_passages_are_the_sqls(spark, sf):
     same(queries.QUERIES["op5_repeated_passages"](spark, sf), queries.ORACLES["op5_repeated_passages"], sf)
+    same(passages.repeated(table(spark, sf, "documents"), hot=1), queries.ORACLES["op5_repeated_passages"], sf)
 
 
 @pytest.mark.parametrize("most", [64, 200_000])
@@ -360,7 +361,8 @@ def test_passages_of_odd_rows(spark, tmp_path, most):
     rows = [(4, f"{filler()} {shared} {filler()}"), (2, f"{shared}\n{filler()}"), (3, f"{other} {filler()} {other}"), (5, f"x {' '.join(shared.split()[10:70])} {other}")]
     rows += [(6, f"{other} own {other}"), (7, None), (8, ""), (9, filler()), (None, shared), (2, rows[1][1]), (10, "a " * 500), (11, "a " * 300)]
     docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
-    same(passages.repeated(docs(spark, rows), most=most), passages.oracle(), str(tmp_path))
+    for hot in (1, 10_000):  # with all shared minimizers counted in Spark, and with none
+        same(passages.repeated(docs(spark, rows), most=most, hot=hot), passages.oracle(), str(tmp_path))
     assert passages.repeated(docs(spark, [])).count() == 0
 
 
