@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -117,6 +119,20 @@ def raw_source(path: Column, db: str) -> Column:
     return F.when(is_raw_path(path, db), unbase64url(F.regexp_extract(path, r"([^/]+)\.md$", 1)))
 
 
+def sidecar(text: Column) -> Column:
+    """title, source and format of a raw-data file's sidecar; nulls for what isn't one."""
+    return F.from_json(text, "title string, source string, format string")
+
+
+def entry_kind(path: Column, link: Column, folder: Column, regular: Column, excluded: Sequence[str], formats: Sequence[str]) -> Column:
+    """What a scan takes an entry for, as ``scan.classify``."""
+    out = F.lit(False)
+    for x in excluded:
+        out = out | (path == x) | path.startswith(x.rstrip("/") + "/")
+    known = F.lower(path).rlike("(" + "|".join(f.replace(".", "\\.") for f in formats) + ")$")
+    return F.when(link, "symlink").when(out, "excluded").when(folder, "directory").when(~regular, "irregular").when(known, "file").otherwise("unsupported")
+
+
 def paragraphs(text: Column) -> Column:
     """Non-empty parts between blank lines and line starts."""
     return F.filter(F.transform(F.split(text, r"\n{2,}|\n(?=\S)"), trimmed), lambda p: p != "")

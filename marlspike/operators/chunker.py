@@ -15,9 +15,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
+
 HARD, INITIAL, FACTOR, RECENT, LONGEST = 0.6, 1.5, 0.9, 5, 15
 SHORTEST = 50
 BLOCK = 512
@@ -195,3 +197,9 @@ def vector_groups(vectors: DataFrame, document: str, order: str, vector: str) ->
         return pd.DataFrame({document: rows[document], order: rows[order], "group": np.array(groups(np.stack(rows[vector].to_list())), np.int32)})
 
     return vectors.select(document, order, F.col(vector)).groupBy(document).applyInPandas(fold, f"{kinds}, group int")
+
+
+def numbered(parts: DataFrame, document: str, order: str, text: str, shortest: int = SHORTEST) -> DataFrame:
+    """(document, chunkIndex, text) of the parts that are long enough and no garbage, numbered from 0 without gaps."""
+    kept = parts.where((tx.units(F.col(text)) >= shortest) & ~tx.is_garbage(F.col(text)))
+    return kept.select(document, (F.row_number().over(Window.partitionBy(document).orderBy(order)) - 1).alias("chunkIndex"), F.col(text).alias("text"))

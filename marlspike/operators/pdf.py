@@ -311,6 +311,16 @@ def picture_pages(rects: DataFrame, width: float = 612.0, height: float = 792.0)
     return crop.withColumn("whole", (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) / (width * height) > LARGEST)
 
 
+def with_captions(texts: DataFrame, captions: DataFrame) -> DataFrame:
+    """(page, chunkIndex, text): the chunks of (page, n, text) in order, then those of (page, caption) that say something."""
+    own = texts.select("page", (F.row_number().over(Window.partitionBy("page").orderBy("n")) - 1).alias("chunkIndex"), "text")
+    said = captions.select("page", tx.caption(F.col("caption")).alias("caption")).where("caption IS NOT NULL")
+    counts = texts.groupBy("page").agg(F.count("*").cast("int").alias("held"))
+    rank = F.row_number().over(Window.partitionBy("page").orderBy("caption")) - 1
+    more = said.join(counts, "page", "left").select("page", (F.coalesce("held", F.lit(0)) + rank).alias("chunkIndex"), tx.caption_chunk(F.col("page"), F.col("caption")).alias("text"))
+    return own.unionByName(more)
+
+
 def filtered_pages(items: DataFrame, embed: Callable[[list[str]], np.ndarray] = hashed_vectors) -> DataFrame:
     """(document, page, text) of every page, without the sentences that begin or end the pages of its document alike.
 

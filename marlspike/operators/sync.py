@@ -59,3 +59,19 @@ def sources(disk: DataFrame, chunks: DataFrame, scope: str | Iterable[str] | Non
         return found
     raw = tx.is_raw_path(F.col("filePath"), db) if db else F.lit(False)
     return found.where(raw | in_scope(F.col("filePath"), scope))
+
+
+def nested_roots(roots: DataFrame) -> DataFrame:
+    """(root, ancestor) of each different root: the nearest root it lies in that lies in none itself, null for such a one.
+
+    Every folder above a root is looked up by its name, so no root meets every other.
+    """
+    named = roots.select("root").distinct()
+    parts = F.split("root", "/")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    folders = named.select("root", F.explode(above).alias("folder")).where("folder <> '' AND folder <> root")
+    inside = folders.join(named.select(F.col("root").alias("folder")), "folder")
+    lost = inside.select("root").distinct()
+    whole = inside.join(lost.select(F.col("root").alias("folder")), "folder", "left_anti")
+    nearest = whole.groupBy("root").agg(F.max_by("folder", F.length("folder")).alias("ancestor"))
+    return named.join(nearest, "root", "left")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +14,7 @@ from ..functions import text as tx
 from ..functions.vectors import cosine
 from ..operators import chunker, ngrams, pairs, pdf, search, sync
 from ..sources import readers
+from ..sources.store import SCHEMA, Store
 
 VECTOR, TEXT = 7, "the and"
 SCOPE = ["/corpus/en", "/corpus/de"]
@@ -136,6 +142,48 @@ _over_chunks(
 )
 
 
+def stored(spark: SparkSession, sf_dir: str) -> Store:
+    """A new store with all chunks, in the cluster's shared folder (a temporary one where a local session names none)."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="marlspike-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
+    store = Store(spark, f"{at.rstrip('/')}/store-{uuid.uuid4().hex[:12]}")
+    none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMA}
+    held = chunks(spark, sf_dir)
+    store.insert(held.select(*(f.name if f.name in held.columns else none[f.name] for f in SCHEMA)))
+    return store
+
+
+def _over_store(name: str, change, shape, sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        store = stored(spark, sf_dir)
+        change(store)
+        return shape(store)
+
+    add(name, run, f"WITH {CHUNKS} {sql}")
+
+
+_KEPT = ["filePath", "chunkIndex", "text", "contentHash", "timestamp"]
+_over_store("store_insert", lambda s: None, lambda s: s.read().select(*_KEPT, F.size("vector").alias("dims")), f"SELECT {', '.join(_KEPT)}, len(vector)::INT AS dims FROM chunks")
+_over_store("store_delete", lambda s: s.delete(FILE), lambda s: s.read().select(*_KEPT), f"SELECT {', '.join(_KEPT)} FROM chunks WHERE filePath <> '{FILE}'")
+_over_store(
+    "store_replace",
+    lambda s: s.replace_files(s.of_file(FILE).where("chunkIndex < 2").withColumns({"text": F.upper("text"), "contentHash": F.sha2(F.upper("text"), 256)}), [FILE]),
+    lambda s: s.read().select(*_KEPT),
+    f"SELECT {', '.join(_KEPT)} FROM chunks WHERE filePath <> '{FILE}' UNION ALL SELECT filePath, chunkIndex, upper(text) AS text, sha256(upper(text)) AS contentHash, timestamp FROM chunks WHERE filePath = '{FILE}' AND chunkIndex < 2",
+)
+_over_store("store_optimize", lambda s: (s.insert(s.of_file(FILE).withColumn("filePath", F.lit("/corpus/more.txt"))), s.optimize(0)), lambda s: s.files(), f"SELECT filePath, count(*) AS chunkCount, max(timestamp) AS timestamp FROM (SELECT filePath, timestamp FROM chunks UNION ALL SELECT '/corpus/more.txt', timestamp FROM chunks WHERE filePath = '{FILE}') GROUP BY 1")
+_over_store(
+    "store_search",
+    lambda s: s.delete(FILE),
+    lambda s: search.bm25_of_postings(*s.postings(tx.query_grams(TEXT))).orderBy(F.desc("bm25"), *search.KEY).limit(20).select(*search.KEY, F.round("bm25", 6).alias("bm25")),
+    f", kept AS (SELECT * FROM chunks WHERE filePath <> '{FILE}'), {', '.join(x.replace('FROM chunks', 'FROM kept') for x in bm25_sql(TEXT, None))} SELECT filePath, chunkIndex, round(s, 6) AS bm25 FROM bm ORDER BY s DESC, filePath, chunkIndex LIMIT 20",
+)
+
+
 def fts_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 from postings, as the store keeps them beside its rows."""
     held, grams = chunks(spark, sf_dir), tx.query_grams(TEXT)
@@ -247,6 +295,17 @@ _over(
     y AS (SELECT doc_id, list_filter(list_transform(ps, lambda p: trim(p, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160))), lambda p: p <> '') AS l FROM x)
     SELECT doc_id, (unnest(range(1, len(l) + 1)) - 1)::INT AS n, unnest(l) AS paragraph FROM y""",
 )
+_over(
+    "paragraph_chunks",
+    "documents",
+    lambda t: chunker.numbered(t.select("doc_id", F.posexplode(tx.paragraphs(F.col("text")))), "doc_id", "pos", "col"),
+    r"""WITH x AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '\n{2,}', chr(1), 'g'), '\n([^\s])', chr(1) || '\1', 'g'), chr(1)) AS ps FROM documents),
+    y AS (SELECT doc_id, list_filter(list_transform(ps, lambda p: trim(p, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160))), lambda p: p <> '') AS l FROM x),
+    z AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS n, unnest(l) AS text FROM y),
+    k AS (SELECT * FROM z WHERE length(text) + length(regexp_replace(text, '[^\x{10000}-\x{10FFFF}]', '', 'g')) >= 50 AND (regexp_matches(text, '[A-Za-z0-9]') OR NOT (regexp_full_match(text, '[-=_.*#|~`@!%^&*()\[\]{}\\/<>:+\s]+')
+        OR list_max(list_transform(list_distinct(string_split(text, '')), lambda c: (length(text) - length(replace(text, c, ''))))) / length(text) > 0.8)))
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1)::INT AS chunkIndex, text FROM k""",
+)
 # every hundredth vector is a query, held against all of them
 _over(
     "cosine_pairwise",
@@ -352,3 +411,50 @@ def boundary_texts(t: DataFrame) -> DataFrame:
 
 
 _over("pdf_boundary_filter", "documents", boundary_texts)
+
+
+def caption_chunks(t: DataFrame) -> DataFrame:
+    """The text chunks of each page, and after them one for its picture where it has any."""
+    texts = t.select(F.col("l_orderkey").alias("page"), (F.col("l_linenumber") * 100_000_000 + F.round(F.col("l_extendedprice") * 100)).cast("long").alias("n"), F.concat("l_returnflag", "l_linestatus").alias("text"))
+    captions = pdf.picture_pages(rectangles(t)).select("page", F.concat(F.lit("\x07 picture of "), F.col("page").cast("string")).alias("caption"))
+    return pdf.with_captions(texts, captions)
+
+
+_over(
+    "caption_chunks",
+    "lineitem",
+    caption_chunks,
+    ORACLES["visual_candidates"].replace("\n    SELECT *, (x1 - x0)", ",\n    v AS (SELECT *, (x1 - x0)") + """),
+    t AS (SELECT l_orderkey AS page, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 100000000 + round(l_extendedprice * 100)) - 1)::INT AS chunkIndex, l_returnflag || l_linestatus AS text FROM lineitem)
+    SELECT * FROM t UNION ALL SELECT page, (SELECT count(*) FROM t WHERE t.page = v.page)::INT AS chunkIndex, '[Visual content on page ' || page::VARCHAR || ': picture of ' || page::VARCHAR || ']' AS text FROM v""",
+)
+_SIDECAR = "CASE doc_id % 4 WHEN 0 THEN '{\"title\": null, \"source\": \"' || source || '\", \"format\": \"text\"}' WHEN 1 THEN 'no json' ELSE '{\"title\": \"T' || doc_id || '\", \"source\": \"' || source || '\", \"format\": \"html\"}' END"
+_over(
+    "sidecar_fields",
+    "documents",
+    lambda t: t.selectExpr("doc_id", f"{_SIDECAR} AS side").select("doc_id", tx.sidecar(F.col("side")).alias("s")).select("doc_id", "s.title", "s.source", "s.format"),
+    "SELECT doc_id, CASE WHEN doc_id % 4 > 1 THEN 'T' || doc_id END AS title, CASE WHEN doc_id % 4 <> 1 THEN source END AS source, CASE WHEN doc_id % 4 = 0 THEN 'text' WHEN doc_id % 4 > 1 THEN 'html' END AS format FROM documents",
+)
+_ENTRY = "CASE doc_id % 6 WHEN 0 THEN '/docs/' || lang || '/a.TXT' WHEN 1 THEN '/docs/db/' || lang || '.md' WHEN 2 THEN '/docs/' || source || '.exe' WHEN 3 THEN '/docs/dbx/' || source || '.docx' WHEN 4 THEN '/docs/' || lang ELSE '/docs/pdf' END"
+_over(
+    "entry_kinds",
+    "documents",
+    lambda t: t.selectExpr("doc_id", f"{_ENTRY} AS path", "doc_id % 7 = 0 AS link", "doc_id % 6 = 4 AS folder", "doc_id % 11 <> 0 AS regular").select("doc_id", "path", tx.entry_kind(F.col("path"), F.col("link"), F.col("folder"), F.col("regular"), ["/docs/db"], readers.FORMATS).alias("kind")),
+    f"""WITH x AS (SELECT doc_id, {_ENTRY} AS path, doc_id % 7 = 0 AS link, doc_id % 6 = 4 AS folder, doc_id % 11 <> 0 AS regular FROM documents)
+    SELECT doc_id, path, CASE WHEN link THEN 'symlink' WHEN path = '/docs/db' OR starts_with(path, '/docs/db/') THEN 'excluded' WHEN folder THEN 'directory' WHEN NOT regular THEN 'irregular' WHEN regexp_matches(lower(path), '\\.(pdf|docx|txt|md)$') THEN 'file' ELSE 'unsupported' END AS kind FROM x""",
+)
+
+
+def root_paths(t: DataFrame) -> DataFrame:
+    """Folders of languages, sources and topics, some inside others."""
+    return t.selectExpr("CASE doc_id % 3 WHEN 0 THEN '/docs/' || lang WHEN 1 THEN '/docs/' || lang || '/' || source ELSE '/more/' || source || '/' || lang END AS root")
+
+
+_over(
+    "nested_roots",
+    "documents",
+    lambda t: sync.nested_roots(root_paths(t)),
+    """WITH r AS (SELECT DISTINCT CASE doc_id % 3 WHEN 0 THEN '/docs/' || lang WHEN 1 THEN '/docs/' || lang || '/' || source ELSE '/more/' || source || '/' || lang END AS root FROM documents),
+    s AS (SELECT root FROM r WHERE NOT EXISTS (SELECT 1 FROM r o WHERE starts_with(r.root, o.root || '/')))
+    SELECT root, (SELECT max(s.root) FROM s WHERE starts_with(r.root, s.root || '/')) AS ancestor FROM r""",
+)
