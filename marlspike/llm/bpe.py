@@ -40,9 +40,9 @@ from .words import BYTES, INVERSE, POWERS, U, mix, row_slices, slices, texts
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 21
 #: Bytes that the splitter reads at once.
-BLOCK = 1 << 18
+BLOCK = 1 << 20
 _WORD = 48
 _READ = 1 << 16
 _OTHER, _LETTER, _DIGIT, _SPACE = range(4)
@@ -175,6 +175,11 @@ class Merges:
         self.code = "H" if max(self.tokens) < 1 << 16 else "I"
         self.longest = max(map(len, ranks))
         self.pair_table = None
+        self.byte_pairs = np.full(1 << 16, _NONE, np.int32)
+        letter = {i: b for b, i in enumerate(self.single)}
+        for (u, v), rank in self.pairs.items():
+            if u in letter and v in letter:
+                self.byte_pairs[letter[u] << 8 | letter[v]] = rank
 
     def _lookahead(self) -> int:
         """Bytes after a token's end beyond which nothing can change the token."""
@@ -239,12 +244,13 @@ class Merges:
         single = np.array(self.single, np.int32)
         counts, rows = np.zeros(len(sizes), np.int64), []
         order = np.argsort(sizes, kind="stable")
-        for a in range(0, len(order), 1024):
-            own = order[a : a + 1024]
+        for a in range(0, len(order), 4096):
+            own = order[a : a + 4096]
             width = int(sizes[own].max())
             at = np.minimum(starts[own, None] + np.arange(width + 1), len(data) - 1)
-            symbols = np.where(np.arange(width + 1) < sizes[own, None], single[data[at]], -1)
-            found = self._ranks(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()).reshape(len(own), width)
+            raw, inside = data[at], np.arange(width + 1) < sizes[own, None]
+            symbols = np.where(inside, single[raw], -1)
+            found = np.where(inside[:, 1:], self.byte_pairs[raw[:, :-1].astype(np.int32) << 8 | raw[:, 1:]], _NONE)
             while True:
                 place = found.argmin(axis=1) if found.shape[1] else np.zeros(len(own), np.int64)
                 line = np.arange(len(own))
