@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -103,6 +103,36 @@ def test_near_drop(spark):
     assert simhash.drop_near_copies(docs(spark, [])).count() == 0 == simhash.near_copies(docs(spark, [])).count()
 
 
+@pytest.mark.parametrize(("blocks", "cell"), [(1, 300), (3, 100), (8, 64), (21, 10_000), (None, 50)])
+def test_near_prints_in_any_blocks_are_those_of_all_pairs(spark, blocks, cell):
+    rng = random.Random(5)
+    flipped = lambda x, n: x ^ sum(1 << k for k in rng.sample(range(128), n))
+    prints = {flipped(middle, rng.randrange(14)) for middle in [rng.getrandbits(128) for _ in range(30)] for _ in range(12)}
+    prints |= {flipped(rng.getrandbits(9), rng.randrange(4)) for _ in range(200)} | {rng.getrandbits(128) for _ in range(100)}
+    # of exactly the radius, spread over all blocks, and one bit more
+    middle = rng.getrandbits(128)
+    prints |= {middle, middle ^ sum(1 << 6 * k for k in range(20)), middle ^ sum(1 << 6 * k + 3 for k in range(21))}
+    prints = sorted(prints)
+    want = groups(len(prints), [(i, j) for i, j in itertools.combinations(range(len(prints)), 2) if (prints[i] ^ prints[j]).bit_count() <= simhash.RADIUS])
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(signed(x >> 64), signed(x & (1 << 64) - 1)) for x in prints]
+    found = {(r[0], r[1]): r[2] for r in simhash.components(spark.createDataFrame([*rows, rows[0], (None, None)], "a long, b long"), cell=cell, blocks=blocks).collect()}
+    sizes = Counter(want)
+    assert found.keys() == {r for r, g in zip(rows, want) if sizes[g] > 1}
+    both = {(g, found[r]) for r, g in zip(rows, want) if r in found}
+    assert len(both) == len({g for g, _ in both}) == len({g for _, g in both}) > 10
+
+
+@pytest.mark.parametrize(("n", "share"), [(100_000, 0.15), (1_000_000, 0.03)])
+def test_few_pairs_of_prints_are_compared(n, share):
+    a, b = np.random.default_rng(1).integers(0, 1 << 64, (2, n), np.uint64)
+    compared = 0
+    for at, width, most, _ in simhash.Plan(n, simhash.RADIUS, simhash.CELL).blocks:
+        each = np.bincount(simhash.field(a, b, at, width).astype(np.int64), minlength=1 << width)
+        compared += sum(int((each * each[np.arange(1 << width) ^ m]).sum()) for m in simhash.masks(width, most).tolist())
+    assert compared < share * n * n
+
+
 def test_components_on_driver_and_in_spark(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 340)]
