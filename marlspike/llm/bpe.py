@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import loaded, shipped
+from .common import kept, lean, loaded, shipped
 from .words import BYTES, INVERSE, POWERS, U, mix, row_slices, slices, texts
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -522,9 +522,6 @@ class Decoder:
 
 
 _BUILT: dict[tuple, Merges] = {}
-_MADE: dict[str, tuple[Encoder, list[bytes]]] = {}
-
-
 def merges_of(path: str) -> Merges:
     """The merge list of a rank file, built once in the driver."""
     key = path, os.path.getsize(path), os.path.getmtime(path)
@@ -535,11 +532,12 @@ def merges_of(path: str) -> Merges:
 
 def coder(path: str) -> tuple[Encoder, list[bytes]]:
     """Encoder and the tokens' bytes by id of a shipped merge list, made once in each Python worker."""
-    if path not in _MADE:
+    made = kept("merges")
+    if path not in made:
+        made.clear()
         merges = loaded(path)
-        _MADE.clear()
-        _MADE[path] = Encoder(merges), [merges.tokens.get(i, b"") for i in range(max(merges.tokens) + 1)]
-    return _MADE[path]
+        made[path] = Encoder(merges), [merges.tokens.get(i, b"") for i in range(max(merges.tokens) + 1)]
+    return made[path]
 
 
 def decoded(ids: np.ndarray, tokens: list[bytes], part: int = _READ) -> str:
@@ -565,4 +563,4 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int32), mask=missing), lists, pa.array(intact, mask=missing)], ["doc_id", "n_tokens", "tokens", "intact"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return source.mapInArrow(run, "doc_id long, n_tokens int, tokens array<int>, intact boolean")
+    return source.mapInArrow(lean(run, "merges"), "doc_id long, n_tokens int, tokens array<int>, intact boolean")

@@ -8,14 +8,16 @@ setting is missing a local session (tests) gets a folder of its own and a cluste
 from __future__ import annotations
 
 import atexit
+import ctypes
 import pickle
 import posixpath
 import shutil
 import struct
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -101,6 +103,37 @@ def loaded(path: str) -> object:
         return pickle.loads(data.read())
 
 
+_KEPT: dict[str, dict] = {}
+
+
+def kept(kind: str) -> dict:
+    """What a Python worker keeps of this kind from one task to the next."""
+    return _KEPT.setdefault(kind, {})
+
+
+def forget(kind: str | None) -> None:
+    """Drop what is kept of other kinds, and give free memory back to the system: Arrow and the C library hold on to it."""
+    for other, own in _KEPT.items():
+        if other != kind:
+            own.clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kind: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` in a worker that serves several operators: it keeps ``kind`` alone, and no free memory after the task."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(kind)
+        try:
+            yield from run(batches)
+        finally:
+            forget(kind)
+
+    return task
+
+
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
     """Column names that ``df`` doesn't have in any spelling, one for each wanted name."""
     taken = {c.lower() for c in df.columns}

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import loaded, shipped
+from .common import kept, lean, loaded, shipped
 from .words import LETTERS, U, row_slices, shingles, texts, words
 
 SHINGLE = 3
@@ -254,15 +254,13 @@ def indexes(benchmark: DataFrame, radius: int, least: float, item_id: str = "ite
         yield Index(sorted(((r[0], r[1]) for r in part.select(item_id, text).collect()), key=repr), radius, least, shared)
 
 
-_LOADED: dict[str, Index] = {}
-
-
 def index_of(path: str) -> Index:
     """A shipped index, kept in the Python worker until the next one."""
-    if path not in _LOADED:
-        _LOADED.clear()
-        _LOADED[path] = loaded(path)
-    return _LOADED[path]
+    held = kept("index")
+    if path not in held:
+        held.clear()
+        held[path] = loaded(path)
+    return held[path]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, least: float = LEAST) -> DataFrame:
@@ -282,7 +280,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, least:
                     ids = batch.column(0).to_pylist()
                     yield pa.RecordBatch.from_arrays([pa.array([ids[f[0]] for f in found], pa.int64()), pa.array([index.ids[f[1]] for f in found], pa.int64()), pa.array([round(f[2], 9) for f in found], pa.float64()), pa.array([f[3] for f in found], pa.int64()), pa.array([f[4] for f in found], pa.int64())], ["doc_id", "item_id", "similarity", "word_start", "n_words"])
 
-        part = source.mapInArrow(run, schema)
+        part = source.mapInArrow(lean(run, "index"), schema)
         out = part if out is None else out.unionAll(part)
     return out
 
@@ -302,5 +300,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIU
                     keep[[f[0] for f in index.search(h, first)]] = False
                     yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = docs.mapInArrow(lean(run, "index"), schema)
     return docs

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Scratch, fresh, put_record, records, shared_dir, written
+from .common import Scratch, fresh, lean, put_record, records, shared_dir, written
 
 MAP_BYTES = 32 << 20
 TRIE_BYTES = 96 << 20
@@ -314,8 +314,8 @@ def duplicate_owners(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
         finally:
             home.close()
 
-    combined = written(keyed.mapInArrow(combine, "number long, doc_id long, rows long, text string, length int, digest long"), "texts")
-    found = written(combined.where("length IS NOT NULL").repartition("length", "digest").mapInArrow(own, "number long, group long, owner_id long"), "owners")
+    combined = written(keyed.mapInArrow(lean(combine), "number long, doc_id long, rows long, text string, length int, digest long"), "texts")
+    found = written(combined.where("length IS NOT NULL").repartition("length", "digest").mapInArrow(lean(own), "number long, group long, owner_id long"), "owners")
     owners = found.where("number IS NULL").select("group", "owner_id")
     links = found.where("number IS NOT NULL").select("number", "group").join(owners, "group").select("number", "owner_id")
     return combined.where("length IS NULL").select("number", "doc_id").join(links, "number").where(~F.col("doc_id").eqNullSafe(F.col("owner_id"))).select("doc_id", "owner_id")
@@ -376,7 +376,7 @@ def drop_exact_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
                 if home:
                     home.close()
 
-        return run
+        return lean(run)
 
     combined = keyed.mapInArrow(sift(arrow, MAP_BYTES, False), keyed.schema)
     return combined.repartition(length, digest).mapInArrow(sift(final, TRIE_BYTES, True), docs.schema).unionAll(none)

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept, lean
 from .words import U, mix, slices
 
 DIMENSIONS = 1024
@@ -138,14 +139,12 @@ def threshold(grams: np.ndarray, least: float = LEAST) -> np.ndarray:
     return least * (1 - np.sqrt(EVEN / np.maximum(grams, 1)))
 
 
-_ENCODERS: dict[tuple[int, int], Encoder] = {}
-
-
 def encoder(dimensions: int, seed: int) -> Encoder:
     """One encoder for each Python worker."""
-    if (dimensions, seed) not in _ENCODERS:
-        _ENCODERS[dimensions, seed] = Encoder(dimensions, seed)
-    return _ENCODERS[dimensions, seed]
+    encoders = kept("trigrams")
+    if (dimensions, seed) not in encoders:
+        encoders[dimensions, seed] = Encoder(dimensions, seed)
+    return encoders[dimensions, seed]
 
 
 def _blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -181,7 +180,7 @@ def prototypes(docs: DataFrame, per_language: int = PER_LANGUAGE, dimensions: in
         return pd.DataFrame({"lang": [part["lang"].iloc[0]], "sums": [np.sum(np.stack(part["sums"].to_list()), axis=0)]})
 
     kind = "lang string, sums array<long>"
-    found = sorted(sample.mapInArrow(bundle, kind).groupBy("lang").applyInPandas(add, kind).collect())
+    found = sorted(sample.mapInArrow(lean(bundle, "trigrams"), kind).groupBy("lang").applyInPandas(add, kind).collect())
     if not found:
         return [], np.zeros((0, dimensions))
     m = np.array([r[1] for r in found], np.float64)
@@ -219,7 +218,7 @@ def identify(docs: DataFrame, least: float = LEAST, per_language: int = PER_LANG
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(best, pa.string()), pa.array(cosine), pa.array(lead), pa.array(keep)], ["doc_id", "lang", "detected", "cosine", "lead", "accepted"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    return source.mapInArrow(run, "doc_id long, lang string, detected string, cosine double, lead double, accepted boolean")
+    return source.mapInArrow(lean(run, "trigrams"), "doc_id long, lang string, detected string, cosine double, lead double, accepted boolean")
 
 
 def drop_rejected(docs: DataFrame, least: float = LEAST, per_language: int = PER_LANGUAGE, dimensions: int = DIMENSIONS, seed: int = SEED) -> DataFrame:
@@ -231,4 +230,4 @@ def drop_rejected(docs: DataFrame, least: float = LEAST, per_language: int = PER
             keep = score(batch.column(batch.schema.get_field_index("text")).to_pylist(), names, profile, least, dimensions, seed)[3]
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run, "trigrams"), docs.schema)

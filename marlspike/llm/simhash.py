@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, written
+from .common import fresh, lean, written
 from .components import roots
 from .words import LETTERS, U, mix, row_slices, texts, words
 
@@ -88,7 +88,7 @@ def _with_prints(docs: DataFrame, text: str, a: str, b: str, row: str) -> DataFr
                 at += len(has)
                 yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, a, b, row])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 class Forest:
@@ -266,7 +266,7 @@ def _spread(points: DataFrame, plan: Plan) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(other, pa.bool_()), pa.array(data, pa.binary())], ["task", "other", "points"])
 
     tasks = max(1, len(plan.targets))
-    return points.mapInArrow(cut, "task int, other boolean, points binary").repartitionById(tasks, "task").sortWithinPartitions("task", "other")
+    return points.mapInArrow(lean(cut), "task int, other boolean, points binary").repartitionById(tasks, "task").sortWithinPartitions("task", "other")
 
 
 def components(prints: DataFrame, radius: int = RADIUS, cell: int = CELL, blocks: int | None = None) -> DataFrame:
@@ -334,7 +334,7 @@ def components(prints: DataFrame, radius: int = RADIUS, cell: int = CELL, blocks
                 n += held[-1].shape[1]
         yield from done()
 
-    edges = written(spread.mapInArrow(compare, "u long, v long, ua long, ub long, va long, vb long"), "near")
+    edges = written(spread.mapInArrow(lean(compare), "u long, v long, ua long, ub long, va long, vb long"), "near")
     names = edges.select(F.col("u").alias("node"), F.col("ua").alias("a"), F.col("ub").alias("b")).union(edges.select("v", "va", "vb")).distinct()
     return names.join(roots(edges.select("u", "v")), "node").select("a", "b", "root")
 

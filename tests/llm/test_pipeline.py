@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
+import pyarrow as pa
 import tiktoken
-from marlspike.llm import bpe, decontaminate, langid
+from marlspike.llm import bpe, common, decontaminate, langid, simhash
 from marlspike.llm.common import table
 from test_operators import DOCS, brute_groups
 
@@ -49,3 +50,21 @@ def test_stages_keep_the_columns_and_bear_odd_rows(spark, tmp_path):
         assert len(out) <= len(content) and all(r["intact"] for r in out)
         if content:
             assert 1 in [r["doc_id"] for r in out]
+
+
+def test_workers_keep_nothing_of_earlier_stages(spark):
+    docs = spark.createDataFrame([(1, "the same text", "en"), (2, "the same text", "en")], "doc_id long, text string, lang string").coalesce(1)
+
+    def held(batches):
+        list(batches)
+        yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, common._KEPT.values()))])], ["n"])
+
+    def now():
+        return spark.range(64, numPartitions=64).mapInArrow(held, "n long").agg({"n": "sum"}).first()[0]
+
+    for stage in (lambda: langid.drop_rejected(docs), lambda: decontaminate.drop_contaminated(docs, docs.withColumnRenamed("doc_id", "item_id")), lambda: bpe.encoded(docs)):
+        stage().collect()
+        assert now() > 0
+    # more tasks than workers, so that all of them have one
+    simhash.drop_near_copies(spark.range(256, numPartitions=64).selectExpr("id doc_id", "'the same text' text")).collect()
+    assert now() == 0
