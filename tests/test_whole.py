@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
+import numpy as np
 from marlspike.functions.vectors import cosine
 from marlspike.operators import ngrams, pairs
 from marlspike.plans import catalog
@@ -37,3 +39,26 @@ def test_neighbours_are_whole(spark, sf):
     want = sorted((c, n, tuple((m, t, m == n) for m, t in sorted(((m, t) for d, m, t in rows if d == c and abs(m - n) <= 2), key=key))) for c, n, _ in rows)
     got = sorted((r["conv_id"], r["turn"], tuple(tuple(x) for x in r["around"])) for r in catalog.QUERIES["chunk_neighbor_texts"](spark, sf).collect())
     assert got == want
+
+
+def test_medians_of_large_groups(spark):
+    """Groups in blocks and passes have the median of all pairs, as a join of them has it."""
+    rng = np.random.default_rng(7)
+    rows = [(0, k, [float(x) for x in rng.normal(size=4)]) for k in range(61)]  # an odd number of pairs
+    rows += [(1, k, [1.0 + 1e-7 * float(x) for x in rng.normal(size=3)]) for k in range(40)]  # all in one bin
+    rows += [(2, k, [1.0, 0.0] if k < 7 else [0.0, 1.0]) for k in range(10)]  # the ranks far apart
+    rows += [(2, 9, [1.0, 0.0]), (2, None, [1.0, 1.0]), (3, 1, [1.0]), (3, 1, [2.0]), (None, 1, [1.0]), (None, 2, [1.0])]
+    rows += [(4, 1, [1.0, 2.0]), (4, 2, [2.0, 1.0]), (4, 3, None), (4, 4, [1.0]), (4, 5, []), (4, 6, [0.0, 0.0]), (4, 7, [1.0, None]), (4, 8, [3.0, 1.0]), (5, 1, [1.0])]
+    rows += [(6, k, [math.nan if k < 5 else 1.0, 1.0]) for k in range(6)]
+    t = spark.createDataFrame(rows, "label long, vec_id long, embedding array<double>")
+    a = t.select("label", F.col("vec_id").alias("i"), F.col("embedding").alias("x"))
+    joined = a.join(a.toDF("label", "j", "y"), "label").where("i < j").groupBy("label").agg(F.percentile(cosine(F.col("x"), F.col("y")), 0.5).alias("m"))
+    want = {r["label"]: r["m"] for r in joined.where("m IS NOT NULL").collect()}
+    for options in ({}, {"whole": 8, "block": 7, "bins": 16, "most": 4}, {"whole": 1, "block": 1000, "bins": 64, "most": 1}):
+        got = {r["label"]: r["m"] for r in pairs.group_medians(t, "label", "vec_id", "embedding", **options).collect()}
+        assert got.keys() == want.keys() and all(np.isclose(got[g], want[g], rtol=0, atol=1e-12, equal_nan=True) for g in want), (options, got, want)
+
+
+def test_median_of_a_group_in_passes(spark):
+    t = spark.range(3000).select((F.col("id") % 1).alias("label"), F.col("id").alias("vec_id"), F.array(F.sin("id"), F.cos("id")).alias("embedding"))
+    assert catalog.median_similarity(t).first()["median"] == round(float(np.median([math.cos(d) for d in range(1, 3000) for _ in range(3000 - d)])), 6) + 0.0
