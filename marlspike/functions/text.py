@@ -12,8 +12,8 @@ SPACE = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\
 CAPTION = 1000
 
 
-def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+def trimmed(text: Column, space: str = SPACE) -> Column:
+    return F.regexp_replace(text, rf"^{space}+|{space}+\z", "")
 
 
 def units(text: Column) -> Column:
@@ -64,10 +64,10 @@ def pdf_title(own: Column, hint: Column, size: Column, first_chunk: Column, name
     return F.coalesce(F.when(~own.rlike(r"[/\\]"), filled(own)), F.when(size > least, filled(hint)), filled(first_chunk), name_title(name))
 
 
-def caption(text: Column) -> Column:
-    """A model's caption without control characters; null if nothing is left, cut beyond ``CAPTION`` units."""
-    t = trimmed(F.regexp_replace(text, r"[\x00-\x08\x0B-\x1F\x7F-\x9F]", ""))
-    return F.when(t == "", None).when(units(t) > CAPTION, F.concat(F.substring(t, 1, CAPTION), F.lit("…"))).otherwise(t)
+def caption(text: Column, space: str = SPACE) -> Column:
+    """A model's caption without control characters and without ``space`` around it; null if nothing is left, cut beyond ``CAPTION`` characters."""
+    t = trimmed(F.regexp_replace(text, r"[\x00-\x08\x0B-\x1F\x7F-\x9F]", ""), space)
+    return F.when(t == "", None).when(F.length(t) > CAPTION, F.concat(F.substring(t, 1, CAPTION), F.lit("…"))).otherwise(t)
 
 
 def caption_chunk(page: Column, text: Column) -> Column:
