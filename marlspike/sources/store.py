@@ -33,6 +33,7 @@ _META = T.StructType([T.StructField("fileName", T.StringType()), T.StructField("
 _KINDS = [("id", T.StringType()), ("filePath", T.StringType()), ("chunkIndex", T.IntegerType()), ("text", T.StringType()), ("vector", T.ArrayType(T.FloatType())), ("metadata", _META), ("fileTitle", T.StringType()), ("contentHash", T.StringType()), ("timestamp", T.StringType())]
 SCHEMA = T.StructType([T.StructField(name, kind) for name, kind in _KINDS])
 POSTINGS = T.StructType([T.StructField("filePath", T.StringType()), T.StructField("chunkIndex", T.IntegerType()), T.StructField("gram", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("dl", T.LongType())])
+LISTS = T.StructType([T.StructField("filePath", T.StringType()), T.StructField("gram", T.StringType()), *(T.StructField(c, T.ArrayType(k)) for c, k in (("chunkIndexes", T.IntegerType()), ("tfs", T.IntegerType()), ("dls", T.LongType())))])
 #: Seconds that a replaced folder stays for readers that are under way.
 GRACE = 60.0
 #: Buckets of a new store; a large one takes more, as a deletion rewrites whole buckets.
@@ -110,8 +111,11 @@ class Store:
         n, total = (sum(x[k] for x in m["totals"].values()) for k in range(2))
         parts = {f"part={zlib.crc32(g.encode()) % PARTS}" for g in grams}
         folders = [f"{self.path}/{f}" for own in m["grams"].values() for f in own if f.rsplit("/", 1)[1] in parts]
-        found = self.spark.read.schema(POSTINGS).parquet(*folders) if folders else self.spark.createDataFrame([], POSTINGS)
-        return found.where(F.col("gram").isin(grams)), n, total / max(1, n)
+        of_kind = lambda kind, schema: self.spark.read.schema(schema).parquet(*own) if (own := [f for f in folders if f.rsplit("/", 3)[1] == kind]) else self.spark.createDataFrame([], schema)
+        wanted = F.col("gram").isin(grams)
+        # older folders have a row for each posting
+        found = ngrams.flat(of_kind("lists", LISTS).where(wanted)).unionByName(of_kind("grams", POSTINGS).where(wanted))
+        return found, n, total / max(1, n)
 
     def _write(self, rows: DataFrame, touched: set[int] | None, add: bool) -> None:
         """``rows`` instead of (or, to ``add``, beside) what the touched buckets have, in one commit; None: all buckets."""
@@ -126,15 +130,15 @@ class Store:
         made = there("rows")
         if made:
             new = self.spark.read.schema(T.StructType([*SCHEMA.fields, T.StructField("bucket", T.IntegerType())])).parquet(f"{self.path}/{name}/rows").where("text IS NOT NULL")
-            listed = ngrams.chunk_postings(new, "bucket").withColumn("part", _checksum("gram", PARTS))
-            listed.hint("rebalance", "bucket", "part").sortWithinPartitions("bucket", "part", "gram").write.option("compression", "zstd").partitionBy("bucket", "part").parquet(f"{self.path}/{name}/grams")
+            listed = ngrams.posting_lists(new, "bucket").withColumn("part", _checksum("gram", PARTS))
+            listed.hint("rebalance", "bucket", "part").sortWithinPartitions("bucket", "part", "gram").write.option("compression", "zstd").partitionBy("bucket", "part").parquet(f"{self.path}/{name}/lists")
             totals = {r[0]: (r[1], r[2]) for r in new.groupBy("bucket").agg(F.count("*"), F.sum(ngrams.length(F.lower("text")))).collect()}
-        parts = {b: sorted(x.base_name for x in self.files_.get_file_info(pafs.FileSelector(posixpath.join(self.base, folder("grams", b)))) if x.type == pafs.FileType.Directory) for b in (there("grams") if made else ())}
+        parts = {b: sorted(x.base_name for x in self.files_.get_file_info(pafs.FileSelector(posixpath.join(self.base, folder("lists", b)))) if x.type == pafs.FileType.Directory) for b in (there("lists") if made else ())}
         for b in touched:
             key = str(b)
             old = {k: m[k].get(key, [] if k != "totals" else [0, 0]) if add else ([] if k != "totals" else [0, 0]) for k in ("rows", "grams", "totals")}
             n, dl = totals.get(b, (0, 0)) if made else (0, 0)
-            new_ = {"rows": old["rows"] + [folder("rows", b)] * (b in made), "grams": old["grams"] + [f"{folder('grams', b)}/{x}" for x in parts.get(b, ())], "totals": [old["totals"][0] + n, old["totals"][1] + int(dl or 0)]}
+            new_ = {"rows": old["rows"] + [folder("rows", b)] * (b in made), "grams": old["grams"] + [f"{folder('lists', b)}/{x}" for x in parts.get(b, ())], "totals": [old["totals"][0] + n, old["totals"][1] + int(dl or 0)]}
             for k, v in new_.items():
                 if new_["rows"]:
                     m[k][key] = v

@@ -437,3 +437,23 @@ def test_arguments_of_tools(spark, tmp_path):
         engine.delete_file(path="/a", source="b")
     with pytest.raises(ValueError):
         engine.read_chunk_neighbors(0, path="/a", before=51)
+
+
+def test_postings_of_older_folders_are_read(spark, tmp_path):
+    """A folder of an older store has a row for each posting; a query reads it beside the lists of newer ones."""
+    from marlspike.operators import ngrams
+
+    store = Store(spark, str(tmp_path / "s"))
+    store.insert(rows(spark, [("/a", 0, "the first"), ("/a", 1, "the second")]))
+    m = store.manifest()
+    old = f"{store.path}/c-{1:020d}-old"
+    (b,) = m["rows"]
+    flat = ngrams.flat(spark.read.parquet(*[f"{store.path}/{f}" for f in m["grams"][b]])).withColumn("part", F.pmod(F.crc32(F.encode("gram", "UTF-8")), F.lit(16)).cast("int"))
+    flat.write.partitionBy("part").parquet(f"{old}/grams/bucket={b}")
+    before = sorted(map(tuple, store.postings(["th", "he", "sec"])[0].collect()))
+    m["grams"][b] = [f.replace(f.split("/lists/")[0] + "/lists/", f"c-{1:020d}-old/grams/") for f in m["grams"][b]]
+    store._put("m-old.json", json.dumps(m).encode())
+    store._put("_CURRENT", b"m-old.json")
+    assert sorted(map(tuple, store.postings(["th", "he", "sec"])[0].collect())) == before and len(before) == 5
+    store.insert(rows(spark, [("/a", 2, "the third")]))
+    assert store.postings(["th"])[0].count() == 3

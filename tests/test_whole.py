@@ -62,3 +62,16 @@ def test_medians_of_large_groups(spark):
 def test_median_of_a_group_in_passes(spark):
     t = spark.range(3000).select((F.col("id") % 1).alias("label"), F.col("id").alias("vec_id"), F.array(F.sin("id"), F.cos("id")).alias("embedding"))
     assert catalog.median_similarity(t).first()["median"] == round(float(np.median([math.cos(d) for d in range(1, 3000) for _ in range(3000 - d)])), 6) + 0.0
+
+
+def test_posting_lists_are_whole_and_few(spark):
+    odd = [("/a", None, "Ab ab"), ("/a", 1, "x"), (None, 2, "ab\0b\0\0"), ("/b", 3, None), ("/b", 4, "\U0001f600é\U0001f600é"), ("/b", 4, ""), *(("/c", k, f"the same words in text {k}") for k in range(50))]
+    t = spark.createDataFrame(odd, "filePath string, chunkIndex int, text string").coalesce(1)
+    want = Counter((p, i, g, n, max(0, len(x) - 1) + max(0, len(x) - 2)) for p, i, x in odd if x is not None for g, n in Counter(x.lower()[k : k + m] for m in (2, 3) for k in range(len(x) - m + 1)).items())
+    lists = ngrams.posting_lists(t)
+    assert Counter(tuple(r) for r in ngrams.flat(lists).select("filePath", "chunkIndex", "gram", "tf", "dl").collect()) == want
+    assert lists.count() * 5 < want.total()  # a row for each posting was what made the store's writes slow
+    letters = "".join(chr(k) for k in (*range(0x20, 0xD800), *range(0xE000, 0x60000)))  # so many that the texts don't fit one number
+    lows = [letters[k::7] for k in range(7)] * 9
+    got = Counter((i, g) for grams, held, owner, n in ngrams._grouped(lows, np.arange(len(lows)) % 4) for i, g in zip(owner.tolist(), np.repeat(np.array(grams.to_pylist(), object), held)))
+    assert got.total() == len(got) == sum(2 * len(x) - 3 for x in lows)
