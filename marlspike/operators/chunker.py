@@ -1,6 +1,6 @@
 """Semantic chunks: sentences, and the ordered fold that groups them by similarity.
 
-A document is one row, so folding needs no shuffle; vectors come with the rows or from an embedder that each
+A document is one row, so folding needs no shuffle but one that spreads the rows; vectors come with the rows or from an embedder that each
 Python worker makes once.
 """
 
@@ -185,7 +185,9 @@ def chunked(docs: DataFrame, key: str, text: str, embed: Callable[[list[str]], n
                 rows = [(k, i, c) for k, t in zip(part.column(0), part.column(1).to_pylist()) for i, c in enumerate(chunks_of(t or "", embed, shortest))]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0].as_py() for r in rows], part.schema.field(0).type), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())], [key, "chunkIndex", "text"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, chunkIndex int, text string")
+    # a table of few row groups would be a few tasks' work; hashing moves the texts once, which is little beside their vectors
+    spread = docs.select(key, text).repartition(4 * docs.sparkSession.sparkContext.defaultParallelism, key, F.xxhash64(text))
+    return spread.mapInArrow(run, f"`{key}` {kind}, chunkIndex int, text string")
 
 
 def vector_groups(vectors: DataFrame, document: str, order: str, vector: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 from marlspike.functions.vectors import cosine
-from marlspike.operators import ngrams, pairs
+from marlspike.operators import chunker, ngrams, pairs
 from marlspike.plans import catalog
 from pyspark.sql import functions as F
 
@@ -75,3 +75,10 @@ def test_posting_lists_are_whole_and_few(spark):
     lows = [letters[k::7] for k in range(7)] * 9
     got = Counter((i, g) for grams, held, owner, n in ngrams._grouped(lows, np.arange(len(lows)) % 4) for i, g in zip(owner.tolist(), np.repeat(np.array(grams.to_pylist(), object), held)))
     assert got.total() == len(got) == sum(2 * len(x) - 3 for x in lows)
+
+
+def test_chunking_is_spread(spark):
+    """The rows of one file, in one partition, are chunked by more than one task."""
+    t = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("A sentence that is long enough to be a chunk, number "), F.col("id").cast("string")).alias("text")).coalesce(1)
+    found = chunker.chunked(t, "doc_id", "text").withColumn("part", F.spark_partition_id()).collect()
+    assert len(found) == 400 and len({r["part"] for r in found}) > 4
